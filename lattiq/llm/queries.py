@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, simhash
+from . import castore, exact, mixing, packing, simhash
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,16 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op2_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = castore.write_store(load(spark, sf_dir, "documents"))
+    store.verify()
+    return castore.read_store(store)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"))
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -25,7 +35,7 @@ def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op6_simhash_bktree, op7_block_naming)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op6_simhash_bktree, op7_block_naming)}
 
 
 def oracle_sql() -> dict[str, str]:
