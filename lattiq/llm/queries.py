@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, exact, mixing, packing, simhash
+from . import castore, exact, mixing, packing, simhash, warc
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +34,25 @@ def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(load(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op6_simhash_bktree, op7_block_naming)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op6_simhash_bktree, op7_block_naming, op10_zstd_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op10_zstd_warc": """
+            WITH p AS (
+              SELECT page_id, coalesce(html, '') AS h, row_number() OVER (PARTITION BY page_id, coalesce(html, '')) AS turn FROM pages),
+            k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id DESC, turn DESC) AS n, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+            SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+                   CASE WHEN strlen(h) >= 1000 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN strlen(h) >= 1000 AND n > 1 THEN keep END AS refers_to
+            FROM k""",
         "op7_block_naming": """
             WITH n AS (
               SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
