@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, exact, mixing, packing, simhash, warc
+from . import castore, exact, langid, mixing, packing, quality, simhash, warc
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op4_shrinkage_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -34,13 +38,17 @@ def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op9_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(load(spark, sf_dir, "documents"))
+
+
 def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(load(spark, sf_dir, "pages"))
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op6_simhash_bktree, op7_block_naming, op10_zstd_warc)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op6_simhash_bktree, op7_block_naming, op9_ppm_langid, op10_zstd_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
