@@ -70,8 +70,22 @@ def ship(spark: SparkSession) -> None:
     setattr(sc, _SHIPPED, True)
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+#: Rows and bytes of an Arrow batch of whole texts; texts run to hundreds of kB, and Spark's 10,000 rows are too many.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound Arrow batches, unless the session has bounds of its own."""
     ship(spark)
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES)):
+        now = spark._jsparkSession.conf().get(key)
+        if usual is None and not spark.conf.get("lattiq.batches", "") or now == usual:
+            spark.conf.set(key, str(value))
+    spark.conf.set("lattiq.batches", "set")
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -98,6 +112,7 @@ def byte_batches(texts: list, limit: int = 2_000_000) -> Iterator[tuple[int, int
 
 def arrow_map(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
     """mapInArrow where fn takes a RecordBatch and yields lists of columns in the order of schema."""
+    prepare(df.sparkSession)
     names = schema.names
     kinds = _arrow_types(schema)
 

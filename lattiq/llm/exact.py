@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, only, staged
+from .common import arrow_map, byte_batches, only, staged
 
 BLOCK_BYTES = 8192
 
@@ -44,22 +44,24 @@ def _cutter(block_bytes: int):
 
         base = TaskContext.get().partitionId() << 36
         seen: dict[bytes, int] = {}
-        out: list[list] = [[] for _ in range(6)]
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            raw = (text.as_py() or "").encode().lower()  # bytes.lower folds A-Z only
-            refs, fresh = [], []
-            for at in range(0, max(len(raw), 1), block_bytes):
-                block = raw[at : at + block_bytes]
-                ref = seen.get(block)
-                if ref is None:
-                    ref = seen[block] = base + count["refs"]
-                    count["refs"] += 1
-                    fresh.append({"ref": ref, "block": block})
-                refs.append(ref)
-            for col, x in zip(out, (base + count["rows"], doc_id, hashlib.sha256(raw).hexdigest(), len(refs), refs, fresh)):
-                col.append(x)
-            count["rows"] += 1
-        yield out
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for lo, hi in byte_batches(texts):
+            out: list[list] = [[] for _ in _CUT.fields]
+            for doc_id, text in zip(ids[lo:hi], texts[lo:hi]):
+                raw = (text or "").encode().lower()  # bytes.lower folds A-Z only
+                refs, fresh = [], []
+                for at in range(0, max(len(raw), 1), block_bytes):
+                    block = raw[at : at + block_bytes]
+                    ref = seen.get(block)
+                    if ref is None:
+                        ref = seen[block] = base + count["refs"]
+                        count["refs"] += 1
+                        fresh.append({"ref": ref, "block": block})
+                    refs.append(ref)
+                for col, x in zip(out, (base + count["rows"], doc_id, hashlib.sha256(raw).hexdigest(), len(refs), refs, fresh)):
+                    col.append(x)
+                count["rows"] += 1
+            yield out
 
     return cut
 
