@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, exact, langid, mixing, packing, quality, simhash, warc
+from . import castore, embeddings, exact, langid, mixing, packing, quality, simhash, warc
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op8_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_dedup(load(spark, sf_dir, "embeddings"))
+
+
 def op9_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(load(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op6_simhash_bktree, op7_block_naming, op9_ppm_langid, op10_zstd_warc)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op6_simhash_bktree, op7_block_naming, op8_spherical_kmeans, op9_ppm_langid, op10_zstd_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
