@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, embeddings, exact, langid, mixing, packing, quality, simhash, warc
+from . import castore, embeddings, exact, html, langid, mixing, packing, quality, simhash, warc
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_shrinkage_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages"))
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op6_simhash_bktree, op7_block_naming, op8_spherical_kmeans, op9_ppm_langid, op10_zstd_warc)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op5_wrapper_extraction, op6_simhash_bktree, op7_block_naming, op8_spherical_kmeans, op9_ppm_langid, op10_zstd_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
