@@ -121,19 +121,21 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(b: pa.RecordBatch):
         enc = encoder(path)
         ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for lo, hi in byte_batches(texts):
+        for lo, hi in byte_batches(texts, 4_000_000):
             out: list[list] = [[] for _ in fields]
-            for doc_id, raw in zip(ids[lo:hi], enc.encode([x or "" for x in texts[lo:hi]])):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    piece = raw[at : at + 4 * capacity]
-                    for col, x in zip(out, (doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece)):
+            flat, cuts = enc.encode([x or "" for x in texts[lo:hi]], end_id)
+            raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
+            for doc_id, first, last in zip(ids[lo:hi], cuts.tolist(), cuts[1:].tolist()):
+                for k, at in enumerate(range(first, last, capacity)):
+                    piece = raw[4 * at : 4 * min(at + capacity, last)]
+                    for col, x in zip(out, (doc_id, k, at - first, len(piece) // 4, zlib.crc32(piece), piece)):
                         col.append(x)
+            if with_ids:
+                out[-1] = list(map(bytes, out[-1]))
             yield out
 
     return arrow_map(only(docs, doc_id="long", text="string"), run, T.StructType(fields))

@@ -10,11 +10,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept in each of the cache's two generations, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 250_000, 40
+CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: A lower-cased word and its space: Latin letters that no normal form changes, then marks that are one token group
+#: (no digit, apostrophe or angle bracket); or anything else.
+_PARTS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?|)(*$%&#+=-]*) |([^ ]*) ")
+_LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -40,37 +47,112 @@ class WordEncoder:
         with open(path) as f:
             spec = json.load(f)
         self.by_word = _drops_space(spec)
+        self.ends = _word_ends(spec) if self.by_word else None
+        #: For words of lower-case letters alone: the same model without the steps that leave such words as they are.
+        self.letters = Tokenizer.from_file(path)
+        if self.ends is not None:
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.letters.normalizer = normalizers.Sequence([])
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._plain(texts)
-        cut = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        young, old, missing, once = self.young, self.old, [], {}
-        for w in set().union(*cut) if cut else ():
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space. Words of letters, with marks after them or not, go to the library joined
+        by spaces, many in one call; the tokens that end a word tell them apart again."""
+        if self.ends is None:
+            return self._plain(words)
+        ids: dict[str, bytes] = {}
+        plain = pc.match_substring_regex(pa.array(words, pa.large_string()), _LETTERS).to_pylist()
+        rest = [w for w, ok in zip(words, plain) if not ok]
+        cores = [w for w, ok in zip(words, plain) if ok]
+        if rest:
+            parts = _PARTS.findall(" ".join(rest).lower() + " ")
+            if len(parts) != len(rest):  # lower-casing made a space
+                ids.update(zip(rest, self._plain(rest)))
+                parts = []
+            odd = [w for w, p in zip(rest, parts) if p[2]] + [t for t in {tail for _, tail, _ in parts} if t]
+            ids.update(zip(odd, self._plain(odd)))
+            have = set(cores)
+            for core in {core for core, _, _ in parts if core} - have:
+                known = self.young.get(core) or self.old.get(core)
+                if known is None:
+                    cores.append(core)
                 else:
-                    missing.append(w)
-        for w, ids in zip(missing, self._plain(missing)):
-            if len(w) <= CACHE_CHARS:
-                young[w] = ids
+                    ids[core] = known
+        for at in range(0, len(cores), 5000):
+            some = cores[at : at + 5000]
+            flat = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[flat]) + 1
+            if len(stops) != len(some) or stops[-1] != len(flat):
+                ids.update(zip(some, self._plain(some)))
+                continue
+            raw, ends = flat.tobytes(), (4 * stops).tolist()
+            ids.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+        if rest:
+            ids[""] = b""
+            ids.update([(w, ids[core] + ids[tail]) for w, (core, tail, odd) in zip(rest, parts) if not odd])
+        return list(map(ids.__getitem__, words))
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text begins (one number more than texts).
+
+        Arrow cuts the texts into words and numbers the distinct ones; only those are looked up, and the ids of all
+        words are gathered by number. An end id is put after each text where one is given.
+        """
+        flat, cuts = self._flat(texts)
+        if end_id is not None:
+            flat = np.insert(flat, cuts[1:], end_id)
+            cuts = cuts + np.arange(len(cuts))
+        return flat, cuts
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word or not texts:
+            parts = [np.frombuffer(x, "<u4") for x in self._plain(texts)]
+            return np.concatenate([np.zeros(0, "<u4"), *parts]), np.cumsum([0, *map(len, parts)])
+        column = pa.array(texts, pa.large_string())
+        for space in "\n\t\r":
+            column = pc.replace_substring(column, space, " ")
+        lists = pc.split_pattern(column, " ")
+        coded = lists.values.dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        young, old = self.young, self.old
+        ids = list(map(young.get, words))
+        new = []
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            known = old.get(words[k])
+            if known is None:
+                new.append(k)
             else:
-                once[w] = ids
-        if once:
-            out = [b"".join([young[w] if w in young else once[w] for w in words]) for words in cut]
-        else:
-            get = young.__getitem__
-            out = [b"".join(map(get, words)) for words in cut]
+                ids[k] = young[words[k]] = known
+        for k, x in zip(new, self._words([words[k] for k in new])):
+            ids[k] = x
+            if len(words[k]) <= CACHE_CHARS:
+                young[words[k]] = x
         if len(young) > CACHE_WORDS:
             self.old, self.young = young, {}
-        return out
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        ends = np.append(0, np.cumsum(own))
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])]
+        return flat, ends[lists.offsets.to_numpy()]
+
+
+def _word_ends(spec: dict) -> np.ndarray | None:
+    """Whether each id ends a word, for a model that marks word ends; else None."""
+    suffix = spec["model"].get("end_of_word_suffix")
+    if spec["model"].get("type") != "BPE" or not suffix:
+        return None
+    vocab = spec["model"]["vocab"]
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    for token, k in vocab.items():
+        ends[k] = token.endswith(suffix)
+    return ends
 
 
 def _drops_space(spec: dict) -> bool:
