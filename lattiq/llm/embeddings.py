@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, components, forest, staged
 
-THRESHOLD, MARGIN, MARGIN_SAFE, BLOCK_ROWS = 0.95, 0.22, 0.64, 1024
+THRESHOLD, MARGIN, MARGIN_SAFE, BLOCK_ROWS = 0.95, 0.16, 0.64, 1024
 #: Sample rows a centroid, rounds of k-means, and the most centroids.
 SAMPLE_PER_CELL, ROUNDS, MAX_CELLS = 12, 6, 32_768
 
@@ -50,15 +50,16 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def _unit_rows(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # vectors travel as they came
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"))
     size = F.coalesce(F.size("e"), F.lit(0))
     good = (size > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("e", lambda v: v != 0)
     rows = rows.select("vec_id", F.when(F.coalesce(good, F.lit(False)), F.transform("e", lambda v: v + F.lit(0.0))).alias("e"))
@@ -76,31 +77,32 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     centroids = spherical_kmeans(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(k, len(sample)))
     held = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS rows
 
-    dealt_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("v", T.BinaryType())])
+    dtype = np.float32 if kind == "float" else np.float64
+    placed_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("home", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("v", T.BinaryType())])
 
-    def deal(b: pa.RecordBatch):
+    def place(b: pa.RecordBatch):
         c = held.value
-        node, copies = b.column(1).to_numpy(), b.column(2).to_numpy()
-        x = _unit_rows(b.column(0))
+        x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(b.num_rows, -1)
         for a in range(0, len(x), 500):
-            u = x[a : a + 500]
-            s = u @ c.T
+            s = _unit(x[a : a + 500]) @ c.T
             best = np.argmax(s, axis=1)
-            r, cell = np.nonzero(s >= s[np.arange(len(u)), best][:, None] - margin)
-            raw = [v.tobytes() for v in u]
-            yield [node[a + r], copies[a + r], cell.astype(np.int32), pa.array(cell == best[r]), [raw[i] for i in r]]
-
-    dealt = staged(arrow_map(distinct.select("e", "node", "copies"), deal, dealt_schema), "dealt")
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    cut = dealt.join(F.broadcast(cells), "cell").withColumn("own", F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int"))  # a row a cell
+            near = s >= s[np.arange(len(s)), best][:, None] - margin
+            yield [b.column(1).slice(a, 500), b.column(2).slice(a, 500), best.astype(np.int32), [np.flatnonzero(r).astype(np.int32) for r in near], [v.tobytes() for v in x[a : a + 500]]]
+
+    placed = staged(arrow_map(distinct.select("e", "node", "copies"), place, placed_schema), "placed")
+    cells = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    cells = F.broadcast(staged(cells, "cells"))  # a row a cell
+    own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int").alias("own")
+    homes = placed.select("node", "copies", "v", F.col("home").alias("cell")).join(cells, "cell").select("*", own)
+    others = placed.select("node", "copies", "v", F.explode("cells").alias("cell")).join(cells, "cell").select("*", own)
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_home = cut.where("home").select("cell", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("home"), "node", "copies", "v")
-    as_other = cut.select("cell", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("home"), "node", "copies", "v")
+    as_home = homes.select("cell", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("home"), "node", "copies", "v")
+    as_other = others.select("cell", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("home"), "node", "copies", "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy(bool)
         nodes, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1)
+        x = _unit(np.frombuffer(b"".join(pdf["v"]), dtype).reshape(len(pdf), -1))
         hx, hn, hc, ox, on, oc = x[home], nodes[home], copies[home], x[~home], nodes[~home], copies[~home]
         links, a, b = np.zeros(len(hx), np.int64), [], []
         for at in range(0, len(hx), 256):
