@@ -34,20 +34,25 @@ END_ID = 2
 MIN_IDS, MEAN_IDS, MAX_IDS, WINDOW = 128, 512, 4096, 16
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places (ends, so 1 and up) where the rolling hash of the WINDOW ids before it meets the pattern."""
     n = len(ids)
     with np.errstate(over="ignore"):
         h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         span = 1
-        while span < WINDOW:  # the hash of the last 2 * span ids from two hashes of span ids
-            h[span:] += h[:-span] << np.uint64(span) if n > span else 0
+        while span < min(WINDOW, n):  # the hash of the last 2 * span ids from two hashes of span ids
+            h[span:] += h[:-span] << np.uint64(span)
             span *= 2
-    hits = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1
+    return np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1
+
+
+def boundaries(n: int, hits: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids with marks at hits. No chunk but the last is shorter than MIN_IDS, which
+    is more than WINDOW, so what stands before a stream has no part in its chunks."""
     ends, last = [], 0
-    for e in hits.tolist():
+    for e in hits:
         while e - last > MAX_IDS:
             last += MAX_IDS
             ends.append(last)
@@ -79,7 +84,6 @@ _CHUNKED = T.StructType([
 
 
 def _chunker(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
     count = {"rows": 0}
 
     def run(b: pa.RecordBatch):
@@ -88,23 +92,31 @@ def _chunker(path: str, end_id: int):
         enc, base = encoder(path), TaskContext.get().partitionId() << 36
         seen: set[bytes] = set()
         doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for lo, hi in byte_batches(texts):
+        for lo, hi in byte_batches(texts, 4_000_000):
             out: list[list] = [[] for _ in _CHUNKED.fields]
-            for doc_id, raw in zip(doc_ids[lo:hi], enc.encode([x or "" for x in texts[lo:hi]])):
-                ids = np.frombuffer(raw + end, "<u4")
-                digests, fresh, at = [], [], 0
-                for e in boundaries(ids):
-                    chunk = ids[at:e]
-                    digest = hashlib.sha256(chunk.tobytes()).digest()
+            flat, cuts = enc.encode([x or "" for x in texts[lo:hi]], end_id)
+            flat = flat.astype("<u4", copy=False)
+            hits = marks(flat)
+            spans = np.searchsorted(hits, cuts, side="right").tolist()
+            wide, raw, all_hits, cuts = bool((flat >= 65536).any()), memoryview(flat).cast("B"), hits.tolist(), cuts.tolist()
+            narrow = flat if wide else memoryview(flat.astype("<u2")).cast("B")
+            for k, doc_id in enumerate(doc_ids[lo:hi]):
+                first, n = cuts[k], cuts[k + 1] - cuts[k]
+                digests, fresh, at = [], [], first
+                for e in boundaries(n, [h - first for h in all_hits[spans[k] : spans[k + 1]]]):
+                    e += first
+                    digest = hashlib.sha256(raw[4 * at : 4 * e]).digest()
                     if digest not in seen:
                         seen.add(digest)
-                        width = 2 if int(chunk.max()) < 65536 else 4
-                        fresh.append({"digest": digest, "width": width, "data": chunk.astype(f"<u{width}").tobytes()})
+                        width = 4 if wide and int(flat[at:e].max()) >= 65536 else 2
+                        data = bytes(raw[4 * at : 4 * e]) if width == 4 else flat[at:e].astype("<u2").tobytes() if wide else bytes(narrow[2 * at : 2 * e])
+                        fresh.append((digest, width, data))
                     digests.append(digest)
                     at = e
-                for col, x in zip(out, (base + count["rows"], doc_id, len(ids), digests, merkle_root(digests), fresh)):
+                for col, x in zip(out, (base + count["rows"], doc_id, n, digests, merkle_root(digests), fresh)):
                     col.append(x)
                 count["rows"] += 1
+            out[-1] = _fresh_column(out[-1])
             yield out
 
     return run
@@ -125,6 +137,13 @@ def _segments(recipes: DataFrame) -> DataFrame:
     return rows.groupBy("segment").applyInPandas(seal, "segment long, documents long, n_tokens long, root binary")
 
 
+def _fresh_column(rows: list[list[tuple]]) -> pa.Array:
+    flat = [x for row in rows for x in row]
+    kinds = (pa.binary(), pa.int32(), pa.binary())
+    items = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], kind) for k, kind in enumerate(kinds)], ["digest", "width", "data"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), items)
+
+
 class Store:
     """A written store: its folder and tables."""
 
@@ -159,8 +178,9 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     incoming = spark.read.schema(_CHUNKED).parquet(raw)
     rows = running_total(incoming.select("uid", "doc_id", "n_tokens", "digests", "root"), ["doc_id", "root", "uid"], "n_tokens", "start", "recipes")
     rows.sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{store.path}/recipes")
-    fresh = incoming.select(F.explode("fresh").alias("f")).select("f.digest", "f.width", "f.data").dropDuplicates(["digest"])
-    writer = fresh.repartition(store.buckets, "digest").write.option("compression", "zstd").option("path", f"{store.path}/chunks")
+    fresh = incoming.select(F.explode("fresh").alias("f")).select("f.digest", "f.width", "f.data")
+    # dealt first: batches have no repeats within themselves, so aggregating before the shuffle would only sort
+    writer = fresh.repartition(store.buckets, "digest").dropDuplicates(["digest"]).write.option("compression", "zstd").option("path", f"{store.path}/chunks")
     writer.bucketBy(store.buckets, "digest").sortBy("digest").saveAsTable(store.table)
     _segments(store.recipes()).write.option("compression", "zstd").parquet(f"{store.path}/manifest")
     drop_path(spark, raw)
