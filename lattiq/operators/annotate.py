@@ -100,14 +100,14 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     n2 = lambda c: F.col(c) * (F.col(c) - 1) / 2
     t = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
     ra, rb = t.groupBy("a").agg(F.sum("n").alias("na")), t.groupBy("b").agg(F.sum("n").alias("nb"))
-    total = t.agg(F.sum("n").alias("N"), F.sum(n2("n")).alias("sij"), F.sum(F.when(F.col("a").cast("string") == F.col("b").cast("string"), F.col("n")).otherwise(0.0)).alias("same"))
-    ea = ra.crossJoin(F.broadcast(total.select("N"))).agg(F.sum(n2("na")).alias("sa"), F.sum(-F.col("na") / F.col("N") * F.log(F.col("na") / F.col("N"))).alias("ha"))
-    eb = rb.crossJoin(F.broadcast(total.select("N"))).agg(F.sum(n2("nb")).alias("sb"), F.sum(-F.col("nb") / F.col("N") * F.log(F.col("nb") / F.col("N"))).alias("hb"))
-    mi = t.join(ra, "a").join(rb, "b").crossJoin(F.broadcast(total.select("N"))).agg(F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("na") * F.col("nb")))).alias("mi"))
+    total = t.agg(F.sum("n").alias("tot"), F.sum(n2("n")).alias("sij"), F.sum(F.when(F.col("a").cast("string") == F.col("b").cast("string"), F.col("n")).otherwise(0.0)).alias("same"))
+    ea = ra.crossJoin(F.broadcast(total.select("tot"))).agg(F.sum(n2("na")).alias("sa"), F.sum(-F.col("na") / F.col("tot") * F.log(F.col("na") / F.col("tot"))).alias("ha"))
+    eb = rb.crossJoin(F.broadcast(total.select("tot"))).agg(F.sum(n2("nb")).alias("sb"), F.sum(-F.col("nb") / F.col("tot") * F.log(F.col("nb") / F.col("tot"))).alias("hb"))
+    mi = t.join(ra, "a").join(rb, "b").crossJoin(F.broadcast(total.select("tot"))).agg(F.sum(F.col("n") / F.col("tot") * F.log(F.col("n") * F.col("tot") / (F.col("na") * F.col("nb")))).alias("mi"))
     one = total.crossJoin(ea).crossJoin(eb).crossJoin(mi)  # one row each
-    expected = F.col("sa") * F.col("sb") / (F.col("N") * (F.col("N") - 1) / 2)
+    expected = F.col("sa") * F.col("sb") / (F.col("tot") * (F.col("tot") - 1) / 2)
     ari = F.coalesce(F.try_divide(F.col("sij") - expected, (F.col("sa") + F.col("sb")) / 2 - expected), F.lit(1.0))
-    return one.select((F.col("same") / F.col("N")).alias("concordance"), ari.alias("ari"), F.coalesce(F.try_divide(F.col("mi"), (F.col("ha") + F.col("hb")) / 2), F.lit(1.0)).alias("nmi"))
+    return one.select((F.col("same") / F.col("tot")).alias("concordance"), ari.alias("ari"), F.coalesce(F.try_divide(F.col("mi"), (F.col("ha") + F.col("hb")) / 2), F.lit(1.0)).alias("nmi"))
 
 
 def consensus(df: DataFrame, a: str, b: str, c: str):

@@ -111,15 +111,15 @@ def front(traj: DataFrame, coords: DataFrame, threshold: float = 0.5, q: float =
     per = rows.groupBy("run_id", "t_idx", "t").agg(F.avg(hit.cast("double")).alias("area"), F.coalesce(F.percentile(F.when(hit, dist), q), F.lit(0.0)).alias("radius"))
     by = Window.partitionBy("run_id")
     along = by.orderBy("t_idx")
-    per = per.withColumn("radius", F.max("radius").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("T", F.count("*").over(by))
-    width = F.least(F.lit(5), F.floor(F.col("T") / 10)).cast("int")
+    per = per.withColumn("radius", F.max("radius").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("samples", F.count("*").over(by))
+    width = F.least(F.lit(5), F.floor(F.col("samples") / 10)).cast("int")
     per = per.withColumn("win", width)
     # a centred mean of win samples, as a sum over the five around with those outside left out
     around = [F.when((F.lit(o) >= -F.floor(F.col("win") / 2)) & (F.lit(o) <= F.col("win") - 1 - F.floor(F.col("win") / 2)), F.lag("radius", -o).over(along) if o < 0 else F.lead("radius", o).over(along)) for o in range(-2, 3)]
-    mean = sum((F.coalesce(a, F.lit(0.0)) for a in around[1:]), F.coalesce(around[0], F.lit(0.0))) / F.col("win")
+    mean = sum((F.coalesce(a, F.lit(0.0)) for a in around[1:]), F.coalesce(around[0], F.lit(0.0))) / F.greatest(F.col("win"), F.lit(1))
     half = F.floor(F.col("win") / 2)
     tail = F.ceil(F.col("win") / 2)
-    own = (F.col("win") <= 1) | (F.col("t_idx") < half) | (F.col("t_idx") >= F.col("T") - tail)
+    own = (F.col("win") <= 1) | (F.col("t_idx") < half) | (F.col("t_idx") >= F.col("samples") - tail)
     per = per.withColumn("radius_smooth", F.when(own, F.col("radius")).otherwise(mean))
     return per.select("run_id", "t_idx", "t", "area", "radius", "radius_smooth", F.greatest(gradient("radius_smooth", "t", "run_id"), F.lit(0.0)).alias("velocity"))
 
