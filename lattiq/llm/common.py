@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +111,17 @@ def byte_batches(texts: list, limit: int = 2_000_000) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def column_batches(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """The same for an Arrow column of texts, by their bytes."""
+    upto = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < len(column):
+        base = upto[start - 1] if start else 0
+        end = min(int(np.searchsorted(upto, base + limit)) + 1, len(column))
+        yield start, end
+        start = end
+
+
 def arrow_map(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
     """mapInArrow where fn takes a RecordBatch and yields lists of columns in the order of schema."""
     prepare(df.sparkSession)

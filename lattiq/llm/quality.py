@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,12 +155,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of docs that are predicted good, in its own columns."""
     prepare(docs.sparkSession)
     model = fit(staged(features(docs), "statistics"), labels)
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x = np.array([statistics(t.as_py() or "") for t in b.column(at)], np.float64)
-                yield b.filter(pa.array(model.score(x) >= threshold))
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t or "") for t in texts], np.float64).reshape(-1, len(NAMES))
+        return pd.Series(model.score(x))
 
-    return docs.mapInArrow(run, docs.schema)
+    # only the text goes to Python and only scores come back; rows stay in the JVM
+    return docs.where(F.pandas_udf(score, "double")("text") >= threshold)
