@@ -110,13 +110,13 @@ def row_entropy(spark, sf_dir):
     return A.row_entropy(_abundance(spark, sf_dir)).select("spot", r6("entropy"))
 
 
-AGREE = "pr AS (SELECT s.macro AS a, tr.label AS b FROM spots s JOIN tr ON tr.i = s.spot), ct AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM pr GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS n FROM ct GROUP BY 1), rb AS (SELECT b, sum(n) AS n FROM ct GROUP BY 1), tot AS (SELECT sum(n) AS N FROM ct)"
+AGREE = "pr AS (SELECT s.macro AS a, tr.label AS b FROM spots s JOIN tr ON tr.i = s.spot), ct AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM pr GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS n FROM ct GROUP BY 1), rb AS (SELECT b, sum(n) AS n FROM ct GROUP BY 1), tot AS (SELECT sum(n) AS tt FROM ct)"
 
 
-@query(ctes(SPOTS, nn(15), VOTE, AGREE) + """SELECT round((SELECT sum(n) FROM ct WHERE a = b) / N, 6) AS concordance,
- round((sij - sa * sb / (N * (N - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (N * (N - 1) / 2)), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi
+@query(ctes(SPOTS, nn(15), VOTE, AGREE) + """SELECT round((SELECT sum(n) FROM ct WHERE a = b)/ tt, 6) AS concordance,
+ round((sij - sa * sb / (tt * (tt - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (tt * (tt - 1) / 2)), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi
 FROM tot, (SELECT sum(n * (n - 1) / 2) AS sij FROM ct), (SELECT sum(n * (n - 1) / 2) AS sa FROM ra), (SELECT sum(n * (n - 1) / 2) AS sb FROM rb),
- (SELECT sum(-n / N * ln(n / N)) AS ha FROM ra, tot), (SELECT sum(-n / N * ln(n / N)) AS hb FROM rb, tot), (SELECT sum(ct.n / N * ln(ct.n * N / (ra.n * rb.n))) AS mi FROM ct JOIN ra USING (a) JOIN rb USING (b), tot)""")
+ (SELECT sum(-n/ tt * ln(n/ tt)) AS ha FROM ra, tot), (SELECT sum(-n/ tt * ln(n/ tt)) AS hb FROM rb, tot), (SELECT sum(ct.n/ tt * ln(ct.n * tt / (ra.n * rb.n))) AS mi FROM ct JOIN ra USING (a) JOIN rb USING (b), tot)""")
 def agreement_ari_nmi(spark, sf_dir):
     s, t = _transfer(spark, sf_dir)
     pairs = s.select(F.col("spot").alias("i"), "macro").join(t, "i")
