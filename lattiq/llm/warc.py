@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, only, parts, prepare
+from .common import arrow_map, fresh_path, only, parts, prepare
 
 REVISIT_BYTES = 1000
 #: Payload bytes an archive is meant to hold, pages the dictionary is trained on at most, its size, the level.
@@ -149,8 +149,11 @@ def train_dictionary(pages: DataFrame) -> bytes:
         return b"".join(blobs)[-DICT_BYTES:]
 
 
-def classified(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with payload_bytes, payload_digest and refers_to (null for responses)."""
+def classified(pages: DataFrame, partitions: int, dictionary: bytes) -> DataFrame:
+    """page_id, url, packed (the payload's frame), payload_bytes, payload_digest, refers_to (null for responses), dealt by page_id.
+
+    Payloads are compressed where they are read and shuffled once; the window and the join keep that partitioning.
+    """
     rows = only(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
     digest = F.sha1(F.col("html").cast("binary"))
     # rows that repeat a page_id are numbered, alike in both uses of this window
@@ -159,11 +162,24 @@ def classified(pages: DataFrame) -> DataFrame:
     narrow = narrow.withColumn("turn", F.row_number().over(turn))
     groups = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "turn")).alias("keep"), F.count("*").alias("n")).where("n > 1")
     revisits = narrow.join(groups, ["payload_digest", "payload_bytes"]).where("page_id <> keep.page_id or turn <> keep.turn").select("page_id", "turn", F.col("keep.page_id").alias("refers_to"))
-    full = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html", F.octet_length("html").cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
-    full = full.withColumn("turn", F.row_number().over(turn))
+    fields = [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("packed", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())]
+
+    def pack(b: pa.RecordBatch):
+        packer = _packer(dictionary)
+        raw = [x.as_py().encode() for x in b.column(2)]
+        yield [b.column(0), b.column(1), [packer.compress(x) for x in raw], [len(x) for x in raw], [hashlib.sha1(x).hexdigest() for x in raw]]
+
+    full = arrow_map(rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html"), pack, T.StructType(fields))
+    full = full.repartition(partitions, "page_id").withColumn("turn", F.row_number().over(turn))
     return full.join(revisits, ["page_id", "turn"], "left")
 
 
+def _packer(dictionary: bytes):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
+
+
 def write_archives(pages: DataFrame) -> str:
     """Write a record for each row of pages; gives the archives' folder."""
     import zstandard
@@ -175,20 +191,19 @@ def write_archives(pages: DataFrame) -> str:
     path = fresh_path(spark, "warc")
 
     def run(batches):
-        data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=True)
+        packer = _packer(dictionary)
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         first = DICT_MAGIC.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary
         begun = False
         for b in batches:
             out = [] if begun else [first]
             begun = True
-            for page_id, url, html, n, digest, refers in zip(*(b.column(k).to_pylist() for k in range(6))):
-                out.append(packer.compress(record(page_id, url, html.encode(), n, digest, refers)))
+            for page_id, url, packed, n, digest, refers in zip(*(b.column(k).to_pylist() for k in range(6))):
+                out.append(packer.compress(record(page_id, url, reader.decompress(packed) if refers is None else b"", n, digest, refers)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    rows = classified(pages).select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
-    n = max(1, -(-size // ARCHIVE_BYTES), min(parts(spark), -(-size // (1 << 20))))
-    rows = rows.repartition(int(n), F.xxhash64("page_id"), F.xxhash64("url"))
+    n = int(max(1, -(-size // ARCHIVE_BYTES), min(parts(spark), -(-size // (1 << 20)))))
+    rows = classified(pages, n, dictionary).select("page_id", "url", "packed", "payload_bytes", "payload_digest", "refers_to")
     frame = rows.mapInArrow(run, T.StructType([T.StructField("frame", T.BinaryType())]))
     frame.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
     return path
