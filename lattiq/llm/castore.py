@@ -3,7 +3,7 @@
 A document's id stream is cut into chunks where a rolling hash of the last WINDOW ids meets a pattern, so
 equal passages give equal chunks wherever they stand. The store has three Parquet tables in one folder:
 
-chunks    digest (SHA-256 of the ids), width (bytes an id), data; each distinct chunk once, bucketed by digest
+chunks    digest (SHA-256 of data), width (bytes an id, the least of 2 and 4 that holds them), data; each distinct chunk once, bucketed by digest
 recipes   doc_id, start, n_tokens, digests in order, root (Merkle root of the digests); in ascending doc_id order
 manifest  one row a segment of SEGMENT_IDS ids: its documents, ids and the Merkle root of their roots
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, byte_batches, drop_path, fresh_path, only, parts, running_total
+from .common import arrow_map, column_batches, drop_path, fresh_path, only, parts, running_total
 from .tokens import encoder, tokenizer_path
 
 END_ID = 2
@@ -91,10 +91,10 @@ def _chunker(path: str, end_id: int):
 
         enc, base = encoder(path), TaskContext.get().partitionId() << 36
         seen: set[bytes] = set()
-        doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for lo, hi in byte_batches(texts, 4_000_000):
+        doc_ids, texts = b.column(0).to_pylist(), b.column(1)
+        for lo, hi in column_batches(texts, 4_000_000):
             out: list[list] = [[] for _ in _CHUNKED.fields]
-            flat, cuts = enc.encode([x or "" for x in texts[lo:hi]], end_id)
+            flat, cuts = enc.encode(texts.slice(lo, hi - lo), end_id)
             flat = flat.astype("<u4", copy=False)
             hits = marks(flat)
             spans = np.searchsorted(hits, cuts, side="right").tolist()
@@ -105,12 +105,12 @@ def _chunker(path: str, end_id: int):
                 digests, fresh, at = [], [], first
                 for e in boundaries(n, [h - first for h in all_hits[spans[k] : spans[k + 1]]]):
                     e += first
-                    digest = hashlib.sha256(raw[4 * at : 4 * e]).digest()
+                    width = 4 if wide and int(flat[at:e].max()) >= 65536 else 2
+                    data = raw[4 * at : 4 * e] if width == 4 else flat[at:e].astype("<u2").data.cast("B") if wide else narrow[2 * at : 2 * e]
+                    digest = hashlib.sha256(data).digest()
                     if digest not in seen:
                         seen.add(digest)
-                        width = 4 if wide and int(flat[at:e].max()) >= 65536 else 2
-                        data = bytes(raw[4 * at : 4 * e]) if width == 4 else flat[at:e].astype("<u2").tobytes() if wide else bytes(narrow[2 * at : 2 * e])
-                        fresh.append((digest, width, data))
+                        fresh.append((digest, width, bytes(data)))
                     digests.append(digest)
                     at = e
                 for col, x in zip(out, (base + count["rows"], doc_id, n, digests, merkle_root(digests), fresh)):
@@ -197,27 +197,33 @@ def read_store(store: Store, with_ids: bool = False) -> DataFrame:
         fields.append(T.StructField("ids", T.BinaryType()))
 
     def rebuild(batches):
-        whole: list = []
-        last = None
+        whole: list[bytes] = []
+        digests: list[bytes] = []
+        last: tuple | None = None
 
         def close():
-            _, doc_id, start, n, root, n_chunks, *_ = last
-            ids, digests = b"".join(x[0] for x in whole), [x[1] for x in whole]
+            _, doc_id, start, n, root, n_chunks = last
+            ids = b"".join(whole)
             if len(digests) != n_chunks or merkle_root(digests) != root or len(ids) != 4 * n:
                 raise ValueError(f"document {doc_id}: the stored chunks don't rebuild it")
             return (doc_id, start, n, n_chunks, zlib.crc32(ids), ids)
 
         for b in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if last is not None and row[0] != last[0]:
+            uids = b.column(0).to_numpy()
+            begins = np.flatnonzero(np.append(True, uids[1:] != uids[:-1])).tolist() if len(uids) else []
+            digest, width, data = (b.column(k).to_pylist() for k in (6, 7, 8))
+            for first, stop in zip(begins, [*begins[1:], len(uids)]):
+                head = tuple(b.column(k)[first].as_py() for k in range(6))
+                if last is not None and head[0] != last[0]:
                     out.append(close())
-                    whole = []
-                last = row
-                data = np.frombuffer(row[8], f"<u{row[7]}").astype("<u4").tobytes()
-                if hashlib.sha256(data).digest() != row[6]:
-                    raise ValueError("a chunk differs from its digest")
-                whole.append((data, row[6]))
+                    whole, digests = [], []
+                last = head
+                for k in range(first, stop):
+                    if hashlib.sha256(data[k]).digest() != digest[k]:
+                        raise ValueError("a chunk differs from its digest")
+                    whole.append(np.frombuffer(data[k], "<u2").astype("<u4").tobytes() if width[k] == 2 else data[k])
+                digests += digest[first:stop]
             yield _batch(out, fields)
         if last is not None:
             yield _batch([close()], fields)
