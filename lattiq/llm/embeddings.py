@@ -14,7 +14,7 @@ Cells that outgrow BLOCK_ROWS are cut into blocks, each pair of blocks a task of
 than two blocks. A task gives the number of links of each of its vectors and the links of a spanning forest,
 never all pairs; components come from rounds over distributed tables.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
+Defined cases: vectors that have no vec_id or are null, empty, zero, of another length than most, or hold null or non-finite
 components link with nothing; rows that repeat are separate vectors that link with each other; rows of one
 vec_id are one node of the components; an empty table gives an empty result; further columns are ignored.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, components, forest, staged
 
-THRESHOLD, MARGIN, MARGIN_SAFE, BLOCK_ROWS = 0.95, 0.16, 0.64, 1024
+THRESHOLD, MARGIN, MARGIN_SAFE, BLOCK_ROWS = 0.95, 0.16, 0.64, 4096
 #: Sample rows a centroid, rounds of k-means, and the most centroids.
 SAMPLE_PER_CELL, ROUNDS, MAX_CELLS = 12, 6, 32_768
 
@@ -62,7 +62,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"))
     size = F.coalesce(F.size("e"), F.lit(0))
     good = (size > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("e", lambda v: v != 0)
-    rows = rows.select("vec_id", F.when(F.coalesce(good, F.lit(False)), F.transform("e", lambda v: v + F.lit(0.0))).alias("e"))
+    rows = rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)), F.transform("e", lambda v: v + F.lit(0.0))).alias("e"))
     rows = staged(rows, "vectors")
     usual = rows.where("e is not null").groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if usual is None:
@@ -128,4 +128,4 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     groups = distinct.join(links, "node", "left").join(comp, "node", "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     out = rows.join(groups, "e", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

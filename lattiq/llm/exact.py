@@ -135,11 +135,11 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without exact copies, in its own columns."""
-    kept = exact_dedup(docs, block_bytes).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_dedup(docs, block_bytes).where("kept").select(F.col("doc_id").alias("__lattiq_id"), F.col("text_sha256").alias("__lattiq_sha"))
     folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("_sha", F.sha2(folded.cast("binary"), 256))
-    first = F.row_number().over(_by("doc_id", "_sha")).alias("_n")
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi").select("*", first).where("_n = 1").select(*docs.columns)
+    rows = docs.withColumn("__lattiq_sha", F.sha2(folded.cast("binary"), 256))
+    first = F.row_number().over(_by("doc_id", "__lattiq_sha")).alias("__lattiq_n")
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["__lattiq_id"]) & (rows["__lattiq_sha"] == kept["__lattiq_sha"]), "left_semi").select("*", first).where("__lattiq_n = 1").select(*docs.columns)
 
 
 def _by(*keys: str):

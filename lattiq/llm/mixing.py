@@ -133,9 +133,9 @@ def pareto_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, in its own columns."""
     plan = pareto_mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    rows = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("doc_id")))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_c"), F.col("rows").alias("_r"))
-    both = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["_size"] == plan["_z"]))
-    own = (F.floor(F.col("_c") / F.col("_r")) + F.when(F.col("_n") <= F.pmod(F.col("_c"), F.col("_r")), 1).otherwise(0)).cast("int")
-    return both.select(*docs.columns, own.alias("_own")).where("_own > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+    rows = docs.withColumn("__lattiq_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("__lattiq_n", F.row_number().over(Window.partitionBy("doc_id", "source", "__lattiq_size").orderBy("doc_id")))
+    plan = plan.select(F.col("doc_id").alias("__lattiq_d"), F.col("source").alias("__lattiq_s"), F.col("size").alias("__lattiq_z"), F.col("copies").alias("__lattiq_c"), F.col("rows").alias("__lattiq_r"))
+    both = rows.join(plan, rows["doc_id"].eqNullSafe(plan["__lattiq_d"]) & rows["source"].eqNullSafe(plan["__lattiq_s"]) & (rows["__lattiq_size"] == plan["__lattiq_z"]))
+    own = (F.floor(F.col("__lattiq_c") / F.col("__lattiq_r")) + F.when(F.col("__lattiq_n") <= F.pmod(F.col("__lattiq_c"), F.col("__lattiq_r")), 1).otherwise(0)).cast("int")
+    return both.select(*docs.columns, own.alias("__lattiq_own")).where("__lattiq_own > 0").withColumn("__lattiq_i", F.explode(F.sequence(F.lit(1), F.col("__lattiq_own")))).select(*docs.columns)

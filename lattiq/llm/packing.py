@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, byte_batches, only, running_total, staged
+from .common import arrow_map, column_batches, only, running_total, staged
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 4096, 1
@@ -124,10 +124,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     def run(b: pa.RecordBatch):
         enc = encoder(path)
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for lo, hi in byte_batches(texts, 4_000_000):
+        ids, texts = b.column(0).to_pylist(), b.column(1)
+        for lo, hi in column_batches(texts, 4_000_000):
             out: list[list] = [[] for _ in fields]
-            flat, cuts = enc.encode([x or "" for x in texts[lo:hi]], end_id)
+            flat, cuts = enc.encode(texts.slice(lo, hi - lo), end_id)
             raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
             for doc_id, first, last in zip(ids[lo:hi], cuts.tolist(), cuts[1:].tolist()):
                 for k, at in enumerate(range(first, last, capacity)):

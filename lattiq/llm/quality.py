@@ -101,7 +101,8 @@ class Model:
 
 
 def fold(column: str, folds: int):
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
+    """crc32 of the id as text, modulo folds; -1 for a null id, which is in no held-out fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", pooled: float = SHRINK_POOLED, unit: float = SHRINK_UNIT) -> Model:

@@ -11,7 +11,8 @@ Each shard gives the links of a spanning forest only, never all pairs. Copies sh
 once. Components are found by rounds over distributed tables.
 
 Defined cases: a null text is the empty text, whose fingerprint is zero; fewer words than a shingle make one
-shingle; rows that repeat are separate documents; an empty table gives an empty result; further columns are
+shingle; rows that repeat are separate documents; rows without a doc_id link through a shared fingerprint
+only, and have no component of their own; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -185,14 +186,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = staged(fingerprints(docs, size), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    comp = components(fingerprint_links(distinct, radius), "simhash")
+    comp = components(fingerprint_links(distinct.where("node is not null"), radius), "simhash")
     named = distinct.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: its smallest doc_id. Rows that repeat that doc_id give one row."""
-    kept = near_duplicates(docs, size, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = near_duplicates(docs, size, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lattiq_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__lattiq_id"]), "left_semi")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return rows.withColumn("_n", turn).where("_n = 1").select(*docs.columns)
+    return rows.withColumn("__lattiq_n", turn).where("__lattiq_n = 1").select(*docs.columns)

@@ -12,7 +12,7 @@ the record's version line, header fields and lengths are checked, and its payloa
 Of records with equal payloads of at least REVISIT_BYTES bytes, the one with the largest page_id is the
 response and the others are revisits of it, without payload.
 
-Defined cases: a null payload is empty; rows that repeat a page_id and payload share one response, of which
+Defined cases: a null payload is empty; a page without a page_id is a response; rows that repeat a page_id and payload share one response, of which
 one row is the response; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -40,7 +40,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def record(page_id: int, url: str, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 record. A revisit has the HTTP headers of the full payload and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -48,7 +48,7 @@ def record(page_id: int, url: str, payload: bytes, length: int, digest: str, ref
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -90,7 +90,7 @@ def parse_record(raw: bytes) -> dict:
         raise ValueError("the payload differs from its length or digest")
     if kind == "revisit" and (payload or "warc-refers-to" not in fields or fields.get("warc-profile") != PROFILE):
         raise ValueError("not a well-formed revisit")
-    number = lambda x: int(x.rsplit(":", 1)[1].rstrip(">"))
+    number = lambda x: int(n) if (n := x.rsplit(":", 1)[1].rstrip(">")) else None
     refers = fields.get("warc-refers-to")
     return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(refers) if refers else None, "payload": payload if kind == "response" else None}
 
