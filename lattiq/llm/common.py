@@ -180,23 +180,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
     i, j = inv[: len(a)], inv[len(a) :]
     label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-        keep = label[i] != label[j]
-        i, j = i[keep], j[keep]
-    while True:
-        new = label[label]
-        if np.array_equal(new, label):
+    while True:  # labels are roots here; only roots are hooked, each to its smallest linked root
+        x, y = label[i], label[j]
+        keep = x != y
+        if not keep.any():
             break
+        i, j, x, y = i[keep], j[keep], x[keep], y[keep]
+        low, new = np.minimum(x, y), label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
         label = new
     moved = label != np.arange(len(nodes))
     return nodes[moved].astype(np.int64), nodes[label[moved]].astype(np.int64)

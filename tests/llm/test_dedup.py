@@ -150,3 +150,13 @@ def test_embeddings_recall_and_empty(spark):
     assert (got["n_links"].to_numpy() <= near.sum(axis=1)).all()
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.embedding_dedup(empty).collect() == []
+
+
+def test_forest_keeps_components():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, m = int(rng.integers(2, 60)), int(rng.integers(0, 80))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        x, y = common.forest(a, b)
+        got = {k: k for k in range(n)} | dict(zip(x.tolist(), y.tolist()))
+        assert got == components(range(n), list(zip(a.tolist(), b.tolist())))
