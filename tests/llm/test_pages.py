@@ -117,7 +117,7 @@ def test_reader_rejects_what_is_not_well_formed():
     packed = zstandard.ZstdCompressor().compress(b"WARC-Type: response " * 20)
     whole = warc.DICT_MAGIC.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + _archive([good], b"WARC-Type: response " * 20)[8 + 400 :]
     assert next(warc.read_archive(whole))["payload"] == b"hello"
-    for bad in (good.replace(b"hello", b"hullo"), good[:-1], good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good.replace(b"WARC-Date", b"X-Date"), good + b"x"):
+    for bad in (good.replace(b"hello", b"hullo"), good[:-1], good.replace(b"WARC/1.1", b"WARC/9"), re.sub(rb"Content-Length: \d+", b"Content-Length: 9", good, count=1), good.replace(b"WARC-Date", b"X-Date"), good + b"x"):
         with pytest.raises(ValueError):
             list(warc.read_archive(_archive([bad])))
     with pytest.raises(ValueError):
