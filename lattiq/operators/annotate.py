@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import ZONES
+from ..session import cut
 
 
 def map_with_default(df: DataFrame, dim: DataFrame, key: str, value: str, default: str) -> DataFrame:
@@ -98,7 +99,7 @@ def row_entropy(abundance: DataFrame) -> DataFrame:
 def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: concordance, ari (adjusted Rand index) and nmi (arithmetic mean) from the contingency table of a and b."""
     n2 = lambda c: F.col(c) * (F.col(c) - 1) / 2
-    t = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    t = cut(pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n")), "contingency")
     ra, rb = t.groupBy("a").agg(F.sum("n").alias("na")), t.groupBy("b").agg(F.sum("n").alias("nb"))
     total = t.agg(F.sum("n").alias("tot"), F.sum(n2("n")).alias("sij"), F.sum(F.when(F.col("a").cast("string") == F.col("b").cast("string"), F.col("n")).otherwise(0.0)).alias("same"))
     ea = ra.crossJoin(F.broadcast(total.select("tot"))).agg(F.sum(n2("na")).alias("sa"), F.sum(-F.col("na") / F.col("tot") * F.log(F.col("na") / F.col("tot"))).alias("ha"))

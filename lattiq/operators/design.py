@@ -70,14 +70,21 @@ def long_multipliers(design: DataFrame) -> DataFrame:
 
 
 def sobol_points(n: int, dims: int, seed: int = 42) -> np.ndarray:
-    """n scrambled-by-shift points of a Sobol sequence in up to 10 dimensions, by Gray code from direction numbers."""
+    """n points of a Sobol sequence in up to 21 dimensions, shifted by a seeded vector, by Gray code from direction numbers."""
     # Degree, coefficient and first direction numbers of the primitive polynomials.
-    poly = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17]), (5, 4, [1, 1, 5, 5, 5]), (5, 7, [1, 1, 7, 11, 19])]
+    poly = [
+        (1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17]),
+        (5, 4, [1, 1, 5, 5, 5]), (5, 7, [1, 1, 7, 11, 19]), (5, 11, [1, 1, 5, 1, 1]), (5, 13, [1, 1, 1, 3, 11]), (5, 14, [1, 3, 5, 5, 31]),
+        (6, 1, [1, 3, 3, 9, 7, 49]), (6, 13, [1, 1, 1, 15, 21, 21]), (6, 16, [1, 3, 1, 13, 27, 49]), (6, 19, [1, 1, 1, 15, 7, 5]), (6, 22, [1, 3, 1, 15, 13, 25]),
+        (6, 25, [1, 1, 5, 5, 19, 61]), (7, 1, [1, 3, 7, 11, 23, 15, 103]), (7, 4, [1, 3, 7, 13, 13, 15, 69]),
+    ]
+    if dims > len(poly) + 1:
+        raise ValueError(f"at most {len(poly) + 1} dimensions")
     bits = 30
     v = np.zeros((dims, bits), np.int64)
     v[0] = [1 << (bits - 1 - k) for k in range(bits)]
     for d in range(1, dims):
-        s, a, m = poly[(d - 1) % len(poly)]
+        s, a, m = poly[d - 1]
         m = list(m)
         for k in range(s, bits):
             new = m[k - s] ^ (m[k - s] << s)
@@ -97,10 +104,10 @@ def sobol_points(n: int, dims: int, seed: int = 42) -> np.ndarray:
 
 
 def saltelli(spark: SparkSession, n: int, ranges: dict[str, tuple[float, float]], seed: int = 42) -> DataFrame:
-    """run_id, base, kind (A, B or the parameter taken from B), mult: n (D + 2) runs."""
+    """run_id, base, kind (A, B or the parameter taken from B), mult: n (D + 2) runs of at most 10 parameters."""
     names = list(ranges)
-    p = np.column_stack([sobol_points(n, min(len(names), 10), seed), sobol_points(n, min(len(names), 10), seed + 1)[::-1]])
-    a, b = p[:, : len(names)], p[:, min(len(names), 10) :][:, : len(names)]
+    p = sobol_points(n, 2 * len(names), seed)
+    a, b = p[:, : len(names)], p[:, len(names) :]
     real = lambda x: {k: float(ranges[k][0] + v * (ranges[k][1] - ranges[k][0])) for k, v in zip(names, x)}
     rows = []
     for i in range(n):
