@@ -16,7 +16,44 @@ def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """by, rho, n: correlation of average-tie ranks over rows where both are known."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = known.select(*by, avg_rank(x, *by).alias("_x"), avg_rank(y, *by).alias("_y"))
-    return r.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
+    rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))  # null where one side is constant
+    return r.groupBy(*by).agg(rho.alias("rho"), F.count("*").alias("n"))
+
+
+def t_two_sided(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t by the continued fraction of the incomplete beta function."""
+    from math import exp, lgamma, log
+
+    if df <= 0 or t != t:
+        return float("nan")
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        x, a, b = 1 - x, b, a
+    c, d, h = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300), 0.0
+    h = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d or 1e-300)
+            c = 1 + num / c or 1e-300
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    value = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) * h / a
+    return 1 - value if swap else value
+
+
+def spearman_test(df: DataFrame, x: str, y: str, *by: str, least: int = 10) -> DataFrame:
+    """by, rho, p, n: Spearman's rho with the t approximation of its p-value; groups of fewer than least rows are left out."""
+
+    @F.pandas_udf("double")
+    def p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if abs(r) >= 1 else t_two_sided(r * ((m - 2) / (1 - r * r)) ** 0.5, m - 2) for r, m in zip(rho, n)])
+
+    s = spearman(df, x, y, *by).where((F.col("n") >= least) & F.col("rho").isNotNull())
+    return s.select(*by, "rho", p_value("rho", "n").alias("p"), "n")
 
 
 def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:

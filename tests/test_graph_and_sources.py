@@ -145,3 +145,38 @@ def test_votes_and_agreement(spark):
     same = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "p string, q string")
     r = annotate.agreement(same, "p", "q").first()
     assert r["ari"] == pytest.approx(1) and r["nmi"] == pytest.approx(1) and r["concordance"] == 0
+
+
+def test_feature_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    q, r = rng.normal(size=(60, 8)), rng.normal(size=(90, 8))
+    dq = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "i long, v array<double>")
+    dr = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(r)], "j long, v array<double>")
+    d = np.sqrt(((q[:, None] - r[None]) ** 2).sum(-1))
+    for block in (16, 8192):
+        got = {}
+        for x in annotate.feature_knn(dq, dr, 4, block).collect():
+            got.setdefault(x["i"], {})[x["rank"]] = x["j"]
+        assert all([got[i][k] for k in range(1, 5)] == np.argsort(d[i], kind="stable")[:4].tolist() for i in range(60))
+
+
+@pytest.mark.parametrize("t, df, p", [(0.0, 5, 1.0), (2.0, 10, 0.07338803), (-2.5, 30, 0.01811), (12.0, 3, 0.00124656), (0.5, 1, 0.70483276)])
+def test_student(t, df, p):
+    assert stats.t_two_sided(t, df) == pytest.approx(p, rel=2e-3)
+
+
+def test_spearman_with_p(spark):
+    rows = [("a", float(k), float(k * k)) for k in range(12)] + [("b", float(k), float(k * 7 % 12)) for k in range(12)] + [("c", 1.0, 1.0)]
+    got = {r["g"]: r for r in stats.spearman_test(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", "g").collect()}
+    assert set(got) == {"a", "b"} and got["a"]["rho"] == pytest.approx(1) and got["a"]["p"] < 1e-9 and 0.05 < got["b"]["p"] <= 1
+
+
+def test_scaling_scores_and_clusters(spark):
+    v = spark.createDataFrame([(1, "g1", 2.0), (2, "g1", 4.0), (1, "g2", 5.0), (2, "g2", 5.0)], "spot long, gene string, value double")
+    s = {(r["spot"], r["gene"]): r["value"] for r in annotate.scaled(v, 2).collect()}
+    assert s[(2, "g1")] == pytest.approx(0.5**0.5) and s[(1, "g2")] == 0.0
+    m = spark.createDataFrame([("z1", "g1"), ("z2", "g2")], "zone string, gene string")
+    sc = annotate.marker_scores(v, m)
+    assert {(r["spot"], r["zone"]): r["score"] for r in sc.collect()} == {(1, "z1"): -1.5, (1, "z2"): 1.5, (2, "z1"): -0.5, (2, "z2"): 0.5}
+    c = spark.createDataFrame([(1, "k"), (2, "k")], "spot long, cluster string")
+    assert [tuple(r) for r in annotate.cluster_labels(sc, c).collect()] == [("k", "z2")]
