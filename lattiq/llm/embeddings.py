@@ -52,6 +52,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -74,7 +75,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     k = max(1, min(MAX_CELLS, math.isqrt(n)))
     order = F.xxhash64("e")
     sample = np.array([r["e"] for r in distinct.orderBy(order, "node").limit(k * SAMPLE_PER_CELL).select("e").collect()], np.float64)
-    centroids = spherical_kmeans(sample / np.linalg.norm(sample, axis=1, keepdims=True), min(k, len(sample)))
+    centroids = spherical_kmeans(_unit(sample), min(k, len(sample)))
     held = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS rows
 
     dtype = np.float32 if kind == "float" else np.float64
@@ -102,14 +103,16 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy(bool)
         nodes, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
-        x = _unit(np.frombuffer(b"".join(pdf["v"]), dtype).reshape(len(pdf), -1))
+        raw = np.frombuffer(b"".join(pdf["v"]), dtype).reshape(len(pdf), -1)
+        x = _unit(raw)
         hx, hn, hc, ox, on, oc = x[home], nodes[home], copies[home], x[~home], nodes[~home], copies[~home]
+        hr, other = raw[home], raw[~home]
         links, a, b = np.zeros(len(hx), np.int64), [], []
         for at in range(0, len(hx), 256):
             near = hx[at : at + 256] @ ox.T >= threshold
-            same = (hx[at : at + 256, :1] == ox[None, :, 0]) & near
-            p, q = np.nonzero(same)
-            itself = (hx[at + p] == ox[q]).all(axis=1)
+            # a vector does not link with itself; one of the same direction and another length is another vector
+            p, q = np.nonzero((hr[at : at + 256, :1] == other[None, :, 0]) & near)
+            itself = (hr[at + p] == other[q]).all(axis=1)
             near[p[itself], q[itself]] = False
             links[at : at + 256] = near @ oc
             p, q = np.nonzero(near)

@@ -46,12 +46,13 @@ ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "html", "aside", "nav", "header", "footer", "form", "blockquote", "td", "th", "figure", "details"}
 
 _WORDS = re.compile(
-    r"(?:ads?|adv|advert\w*|adsense|adslot|adbox|adunit|sponsor\w*|promo\w*|banners?|nav|navs|navbar|navigation|navi|menus?|menubar|breadcrumbs?|header|masthead|topbar|footer|"
-    r"sidebars?|rail|widgets?|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|respond|repl(?:y|ies)|discussion|cookies?|consent|gdpr|notices?|notification\w*|alerts?|"
+    r"(?:ads?|adv|advert\w*|adsense|adsby\w*|adslot|adbox|adunit|adwrap\w*|sponsor\w*|promo\w*|banners?|nav|navs|navbar|navigation|navi|menus?|menubar|breadcrumbs?|header|masthead|topbar|footer|"
+    r"side|sidebars?|sidenav|sidepanel|sidemenu|aside|rail|widgets?|related|recommend\w*|share|sharing|social|comment\w*|disqus|respond|repl(?:y|ies)|discussion|cookie\w*|consent|gdpr|notices?|notification\w*|alerts?|"
     r"popup|modal|overlay|newsletter|subscribe\w*|signup|login|search|searchbox|form|pagination|pager|toolbar|copyright|disclaimer|complementary|contentinfo|"
     r"feedback|poll|survey|toc|skip|skiplink)"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+#: Comments, declarations and tags. Quotes hold a value only after an equals sign; elsewhere they are plain characters.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 
 

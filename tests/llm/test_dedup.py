@@ -120,7 +120,7 @@ def test_components_of_a_long_chain(spark):
 def test_embeddings_equal_brute_force(spark, block):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(150, 16))
-    x = np.concatenate([x, x[:40] + 0.08 * rng.normal(size=(40, 16)), x[:10], 3 * x[:5]]).astype(np.float32)
+    x = np.concatenate([x, x[:40] + 0.08 * rng.normal(size=(40, 16)), x[:10], 3 * x[:5], 2 * x[5:10], 1e-30 * x[10:12]]).astype(np.float32)
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
     odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, [1.0] * 3, 1), (905, [], 1), (906, [float("inf")] + [1.0] * 15, 1), (0, x[0].tolist(), 2)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")

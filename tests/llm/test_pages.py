@@ -23,7 +23,9 @@ def test_main_text_rules():
     assert html.main_text("") == "" and html.main_text("plain  text &amp; more") == "plain text & more"
     assert html.main_text("<p>a<!-- b --><script>c") == "a"
     assert html.main_text("<div hidden>x</div><p style='display:none'>y</p><p>z</p>") == "z"
-    assert html.main_text("<p>broken <a href='x>y</p><p>z") != ""
+    assert html.main_text("<p>broken <a href='x>y</p><p>z") == "broken y\nz"
+    assert html.main_text("<p title=it's>one</p><p data-x='a > b' id=q>two</p><p>it's</p>") == "one\ntwo\nit's"
+    assert html.main_text("a < b and c > d") == "a < b and c > d"
 
 
 def test_generated_pages(spark):
