@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, column_batches, drop_path, fresh_path, only, parts, running_total
+from .common import arrow_map, column_batches, drop_path, fresh_path, only, parts, running_total, staged
 from .tokens import encoder, tokenizer_path
 
 END_ID = 2
@@ -122,6 +122,8 @@ def _chunker(path: str, end_id: int):
     return run
 
 
+#: Places of a chunk that one task joins at most.
+HOT_ROWS = 4096
 #: Ids a manifest segment spans. A document has one id at least, so a segment's documents are bounded too.
 SEGMENT_IDS = 1 << 21
 
@@ -187,10 +189,22 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     return store
 
 
+def _with_chunks(places: DataFrame, chunks: DataFrame) -> DataFrame:
+    """places joined with their chunks. A chunk that stands in more than HOT_ROWS places is dealt out with salts."""
+    hot = places.groupBy("digest").count().where(F.col("count") > HOT_ROWS)
+    hot = staged(hot.select("digest", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("salts")), "hot")
+    if hot.isEmpty():
+        return places.join(chunks, "digest")
+    cold = places.join(hot, "digest", "left_anti").join(chunks, "digest")
+    own = places.join(hot, "digest").withColumn("salt", F.pmod(F.xxhash64("uid", "pos"), F.col("salts")).cast("int")).drop("salts")
+    spread = chunks.join(hot, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return cold.unionByName(own.join(spread, ["digest", "salt"]).select(*cold.columns))
+
+
 def read_store(store: Store, with_ids: bool = False) -> DataFrame:
     """Documents rebuilt from the files: doc_id, start, n_tokens, n_chunks, ids_crc32[, ids]. Raises on any difference."""
     places = store.recipes().select("uid", "doc_id", "start", "n_tokens", "root", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("pos", "digest"))
-    rows = places.join(store.chunks(), "digest").repartition(store.buckets, "uid").sortWithinPartitions("uid", "pos")
+    rows = _with_chunks(places, store.chunks()).repartition(store.buckets, "uid").sortWithinPartitions("uid", "pos")
     rows = rows.select("uid", "doc_id", "start", "n_tokens", "root", "n_chunks", "digest", "width", "data")
     fields = [T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens", "n_chunks", "ids_crc32")]
     if with_ids:

@@ -213,9 +213,11 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     star = staged(star.mapInArrow(local, schema), f"{name}-edges")
     for k in range(rounds):
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # the minima are written apart from the joins, so that Spark may split a node with very many links there
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low{k}")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = staged(large, f"{name}-large{k}")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least{k}")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         star = staged(small, f"{name}-round{k}")
         single = star.groupBy("a").count().where("count > 1").isEmpty()

@@ -124,6 +124,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. The largest doc_id of equal texts stays."""
     ids = text_names(docs, block_bytes)
     groups = ids.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size"))
+    groups = staged(groups, "groups")  # apart from the join, so that Spark may split a group with very many rows there
     return ids.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),

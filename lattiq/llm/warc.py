@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fresh_path, only, parts, prepare
+from .common import arrow_map, fresh_path, only, parts, prepare, staged
 
 REVISIT_BYTES = 1000
 #: Payload bytes an archive is meant to hold, pages the dictionary is trained on at most, its size, the level.
@@ -161,6 +161,7 @@ def classified(pages: DataFrame, partitions: int, dictionary: bytes) -> DataFram
     narrow = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.octet_length("html").cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
     narrow = narrow.withColumn("turn", F.row_number().over(turn))
     groups = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "turn")).alias("keep"), F.count("*").alias("n")).where("n > 1")
+    groups = staged(groups, "groups")  # apart from the join, so that Spark may split a group with very many pages there
     revisits = narrow.join(groups, ["payload_digest", "payload_bytes"]).where("page_id <> keep.page_id or turn <> keep.turn").select("page_id", "turn", F.col("keep.page_id").alias("refers_to"))
     fields = [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("packed", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())]
 

@@ -73,6 +73,13 @@ def test_store_round_trip(spark, odd_docs, no_docs, plain):
     assert castore.read_store(empty).collect() == [] and empty.verify() == 0
 
 
+def test_hot_chunks_are_salted(spark, odd_docs, monkeypatch):
+    store = castore.write_store(odd_docs)
+    want = sorted(map(repr, castore.read_store(store).collect()))
+    monkeypatch.setattr(castore, "HOT_ROWS", 2)
+    assert sorted(map(repr, castore.read_store(store).collect())) == want
+
+
 def test_store_notices_changes(spark, odd_docs):
     from pyspark.sql import functions as F
 
