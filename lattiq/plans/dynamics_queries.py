@@ -312,7 +312,7 @@ def source_sink(spark, sf_dir):
     return X.source_sink(_k(spark, sf_dir)).select("label", r6("source"), r6("sink"), r6("net"))
 
 
-@query(ctes(BASE, KDYN) + "SELECT a AS label, round(sum(k) FILTER (WHERE a = b) / sum(k), 6) AS retention, round(1 - sum(k) FILTER (WHERE a = b) / sum(k), 6) AS dispersal FROM kd GROUP BY 1")
+@query(ctes(BASE, KDYN) + "SELECT a AS label, round(coalesce(sum(k) FILTER (WHERE a = b), 0) / sum(k), 6) AS retention, round(1 - coalesce(sum(k) FILTER (WHERE a = b), 0) / sum(k), 6) AS dispersal FROM kd GROUP BY 1")
 def retention_dispersal(spark, sf_dir):
     return X.retention(_k(spark, sf_dir)).select("label", r6("retention"), r6("dispersal"))
 

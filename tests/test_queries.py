@@ -22,7 +22,7 @@ def con():
 def test_query_equals_sql(spark, con, name):
     left, right = oracle.compare(spark, con, QUERIES[name], ORACLES[name], SF)
     assert left == right
-    assert left or name in ("edge_removal_vascular",)
+    assert left or name == "group_contrast"  # no group is large enough on the smallest tables
     spark.catalog.clearCache()
 
 
