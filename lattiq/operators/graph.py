@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Points a grid cell is meant to hold when the grid is sized from the data.
-CELL_POINTS = 64
+#: Points a grid cell is meant to hold when the grid is sized from the data, and the most that the fullest may hold at first.
+CELL_POINTS, CELL_MOST = 64, 1024
 
 
 def _celled(points: DataFrame, cell: float) -> DataFrame:
@@ -32,7 +32,9 @@ def knn(spots: DataFrame, k: int = 6, id_col: str = "spot") -> DataFrame:
     """i, j, d, rank: the k nearest other spots of each spot by (distance, id), exact.
 
     Candidates come from the nine cells around a spot. A spot is settled when its k-th distance does not pass
-    the edge of those cells; the others are tried again with cells twice as wide. spots has id, x, y.
+    the edge of those cells; the others are tried again with cells twice as wide. The first cells are as narrow as
+    the densest place asks for, and of spots at one place only the k + 1 with the smallest ids are candidates (no
+    other can be among the k nearest of any spot), so clusters and copies make no square of pairs. spots has id, x, y.
     """
     pts = spots.select(F.col(id_col).alias("i"), "x", "y")
     s = pts.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
@@ -41,10 +43,15 @@ def knn(spots: DataFrame, k: int = 6, id_col: str = "spot") -> DataFrame:
         return spots.sparkSession.createDataFrame([], schema)
     span = max(s["x1"] - s["x0"], s["y1"] - s["y0"], 1e-12)
     cell = span * math.sqrt(CELL_POINTS / s["n"])
+    # Spark keeps k + 1 rows a place before the exchange too (a window group limit)
+    place = F.row_number().over(Window.partitionBy("x", "y").orderBy("i"))
+    near = pts.withColumn("_n", place).where(F.col("_n") <= k + 1).drop("_n")
+    while (top := _celled(near, cell).groupBy("cx", "cy").count().agg(F.max("count")).first()[0]) > max(CELL_MOST, k + 1) and cell > span * 2.0**-24:
+        cell /= max(2.0, math.sqrt(top / CELL_MOST))
     pending, done = pts, None
     while True:
         whole = cell >= span  # nine cells then hold every point
-        right = _celled(pts, cell).select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
+        right = _celled(near, cell).select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
         pairs = _around(pending, cell).join(right, ["cx", "cy"]).where("i <> j")
         pairs = pairs.withColumn("d", F.sqrt((F.col("x") - F.col("xj")) ** 2 + (F.col("y") - F.col("yj")) ** 2))
         reach = F.least(F.col("x") - (F.col("hx") - 1) * cell, (F.col("hx") + 2) * cell - F.col("x"), F.col("y") - (F.col("hy") - 1) * cell, (F.col("hy") + 2) * cell - F.col("y"))
