@@ -91,13 +91,13 @@ def transfer_kl_union(spark, sf_dir):
     return A.kl_union(d.where("source = 'src0'"), d.where("source = 'src1' and lang <> 'es'"), "lang").select(r6("kl"))
 
 
-ABUND = "ab AS (SELECT spot, gene AS label, ['PT', 'DCT', 'TAL', 'vascular', 'immune', 'other'][CAST(substr(gene, 2) AS INTEGER) % 6 + 1] AS macro, count AS value FROM expr WHERE CAST(substr(gene, 2) AS INTEGER) < 18)"
+ABUND = "ab AS (SELECT spot, gene AS label, ['PT', 'DCT', 'TAL', 'vascular', 'immune', 'other'][CAST(substr(gene, 2) AS INTEGER) % 6 + 1] AS macro, count AS value FROM expr)"
 
 
 def _abundance(spark, sf_dir):
     k = F.substring("gene", 2, 3).cast("int")
     macro = F.element_at(F.array(*[F.lit(m) for m in dims.MACROS]), k % 6 + 1)
-    return expression(spark, sf_dir).where(k < 18).select("spot", F.col("gene").alias("label"), macro.alias("macro"), F.col("count").alias("value"))
+    return expression(spark, sf_dir).select("spot", F.col("gene").alias("label"), macro.alias("macro"), F.col("count").alias("value"))
 
 
 @query(ctes(SPOTS, EXPR, ABUND) + "SELECT spot, macro, label FROM (SELECT *, sum(value) OVER (PARTITION BY spot, macro) AS m FROM ab) QUALIFY row_number() OVER (PARTITION BY spot ORDER BY m DESC, macro, value DESC, label) = 1")

@@ -90,14 +90,14 @@ KNOBS = ("beta_PT", "gamma_PT", "D_I_global", "beta_mult_outer")
 
 
 def _part_design(spark, sf_dir):
-    """A fixed design from table rows: 60 parts' sizes and prices as multipliers."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 60")
-    key, size = F.col("p_partkey"), F.col("p_size").cast("double")
-    vals = [0.6 + (size % 10) / 10, 0.6 + (key * 7 % 11) / 11.0, 0.3 + (key * 5 % 13) / 13.0 * 2.7, 0.8 + (size * 3 % 8) / 10]
-    return p.select(F.concat(F.lit("p"), key.cast("string")).alias("run_id"), F.create_map(*[x for k, v in zip(KNOBS, vals) for x in (F.lit(k), v)]).alias("mult"))
+    """A fixed design from the whole part table: a run a size, multipliers from its size, rows and keys."""
+    p = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("q"))
+    size = F.col("p_size").cast("double")
+    vals = [0.6 + (size % 10) / 10, 0.6 + (F.col("n") * 7 % 11) / 11.0, 0.3 + (F.col("q") % 13) / 13.0 * 2.7, 0.8 + (size * 3 % 8) / 10]
+    return p.select(F.concat(F.lit("p"), F.col("p_size").cast("string")).alias("run_id"), F.create_map(*[x for k, v in zip(KNOBS, vals) for x in (F.lit(k), v)]).alias("mult"))
 
 
-PART = "pt AS (SELECT 'p' || p_partkey AS run_id, p_partkey AS k, CAST(p_size AS DOUBLE) AS s FROM part WHERE p_partkey < 60), dsg AS (SELECT run_id, 'beta_PT' AS param, 0.6 + (s % 10) / 10 AS m FROM pt UNION ALL SELECT run_id, 'gamma_PT', 0.6 + (k * 7 % 11) / CAST(11 AS DOUBLE) FROM pt UNION ALL SELECT run_id, 'D_I_global', 0.3 + (k * 5 % 13) / CAST(13 AS DOUBLE) * 2.7 FROM pt UNION ALL SELECT run_id, 'beta_mult_outer', 0.8 + (s * 3 % 8) / 10 FROM pt)"
+PART = "pt AS (SELECT 'p' || p_size AS run_id, CAST(p_size AS DOUBLE) AS s, count(*) AS n, sum(p_partkey) AS q FROM part GROUP BY p_size), dsg AS (SELECT run_id, 'beta_PT' AS param, 0.6 + (s % 10) / 10 AS m FROM pt UNION ALL SELECT run_id, 'gamma_PT', 0.6 + (n * 7 % 11) / CAST(11 AS DOUBLE) FROM pt UNION ALL SELECT run_id, 'D_I_global', 0.3 + (q % 13) / CAST(13 AS DOUBLE) * 2.7 FROM pt UNION ALL SELECT run_id, 'beta_mult_outer', 0.8 + (s * 3 % 8) / 10 FROM pt)"
 
 
 def _part_outputs(spark, sf_dir):

@@ -257,7 +257,7 @@ SELECT node, round(sqrt(avg((d - CASE WHEN t1 = t0 THEN x0 ELSE x0 + (x1 - x0) *
 def interp_grid_rmse(spark, sf_dir):
     """Observed values against the simulated trajectory, interpolated at the observed times."""
     o = observed(spark, sf_dir).select("node", (F.col("t") + 0.1).alias("t"), F.col("d").alias("seen"))
-    sim_ = base_run(spark, sf_dir).where("node < 15").select("node", "t", F.col("d").alias("x"))
+    sim_ = base_run(spark, sf_dir).select("node", "t", F.col("d").alias("x"))
     both = M.interpolate(sim_, o.select("node", "t"), "node").join(o, ["node", "t"])
     return both.groupBy("node").agg(F.round(F.sqrt(F.avg((F.col("seen") - F.col("x")) ** 2)), 6).alias("rmse"))
 
