@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,3 +224,22 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         if single and star.join(star.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():  # flat stars: settled
             return star.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError(f"{name}: components did not settle in {rounds} rounds")
+
+
+def text_sha():
+    """SHA-256 of column text as it stands, a null text as the empty one."""
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
+def survivors(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row of each component of groups (text_sha, component), in the columns of docs.
+
+    The smallest doc_id stays, rows without one come last, and texts of one doc_id are ordered by their SHA-256.
+    """
+    rows = docs.withColumn("__lattiq_sha", text_sha())
+    named = rows.select(F.col("doc_id").alias("__lattiq_id"), "__lattiq_sha").join(groups.select(F.col("text_sha").alias("__lattiq_sha"), "component"), "__lattiq_sha")
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("__lattiq_id").isNull().alias("none"), F.col("__lattiq_id").alias("id"), F.col("__lattiq_sha").alias("sha"))).alias("m"))
+    best = staged(best.select(F.col("m.id").alias("__lattiq_id"), F.col("m.sha").alias("__lattiq_sha")), "survivors")
+    rows = rows.join(best, rows["doc_id"].eqNullSafe(best["__lattiq_id"]) & (rows["__lattiq_sha"] == best["__lattiq_sha"]), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__lattiq_sha").orderBy("doc_id"))
+    return rows.withColumn("__lattiq_n", turn).where("__lattiq_n = 1").select(*docs.columns)

@@ -1,0 +1,41 @@
+import numpy as np
+
+import corpus_pipeline as pipeline
+from lattiq.llm import near
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_sets(text, size=5):
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} or {tuple(words)}
+
+
+def _rows(texts):
+    return [(k, t, "en", "a", len(t)) for k, t in texts]
+
+
+def test_stage_equals_brute_force_by_shingles(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for g in range(40):
+        words = rng.choice(vocabulary, 200).tolist()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 5, 8):
+            other = list(words)
+            for at in rng.integers(0, 200, edits):
+                other[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(other))
+    sets = [brute_sets(t) for t in texts]
+    best = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if best[a] < best[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    best[b], changed = best[a], True
+    docs = spark.createDataFrame(_rows(enumerate(texts)), DOCS)
+    assert sorted(r["doc_id"] for r in dict(pipeline.STAGES)["similar_dedup"](spark, docs, "").collect()) == sorted(set(best))
+    assert sorted(r["doc_id"] for r in near.keep_one(docs, 3).collect()) == sorted(set(best))
