@@ -23,11 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, components, forest, only, staged
+from .common import arrow_map, components, forest, only, staged, survivors, text_sha
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: The five bands of a 64-bit fingerprint as (lowest bit, bits).
@@ -192,8 +192,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: its smallest doc_id. Rows that repeat that doc_id give one row."""
-    kept = near_duplicates(docs, size, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lattiq_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__lattiq_id"]), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return rows.withColumn("__lattiq_n", turn).where("__lattiq_n = 1").select(*docs.columns)
+    """docs with one row of each component: its smallest doc_id. A fingerprint without any doc_id is a component too."""
+    texts = only(docs, text="string").select(text_sha().alias("text_sha"), "text")
+    schema = T.StructType([T.StructField("text_sha", T.StringType()), T.StructField("node", T.LongType())])
+
+    def run(b: pa.RecordBatch):
+        yield [b.column(0), [_signed(fingerprint((x.as_py() or "").encode().lower(), size)) for x in b.column(1)]]
+
+    # the fingerprint itself is the node: texts without a doc_id and different texts of one doc_id keep their own
+    named = staged(arrow_map(texts, run, schema).distinct(), "keep-fingerprints")
+    comp = components(fingerprint_links(named.select(F.col("node").alias("fp"), "node").distinct(), radius), "keep-simhash")
+    return survivors(docs, named.join(comp, "node", "left").select("text_sha", F.coalesce("component", "node").alias("component")))

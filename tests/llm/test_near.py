@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline as pipeline
-from lattiq.llm import near
+from lattiq.llm import near, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,3 +39,12 @@ def test_stage_equals_brute_force_by_shingles(spark):
     docs = spark.createDataFrame(_rows(enumerate(texts)), DOCS)
     assert sorted(r["doc_id"] for r in dict(pipeline.STAGES)["similar_dedup"](spark, docs, "").collect()) == sorted(set(best))
     assert sorted(r["doc_id"] for r in near.keep_one(docs, 3).collect()) == sorted(set(best))
+
+
+def test_different_texts_without_or_with_one_id_stay(spark):
+    one, two, three = ("one " + "alpha beta gamma delta " * 9, "two " + "red green blue white black " * 9, "three " + "rain snow wind sun fog hail " * 9)
+    rows = _rows([(None, one), (None, two), (None, two), (5, two), (5, three), (5, three), (None, "quite another text of a few words")])
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sorted([("None", one), ("5", two), ("5", three), ("None", rows[-1][1])])
+    for keep in (near.keep_one, simhash.keep_one):
+        assert sorted((str(r["doc_id"]), r["text"]) for r in keep(docs).collect()) == want
