@@ -287,14 +287,10 @@ _WRAPPERS = T.StructType([T.StructField("host", T.StringType()), T.StructField("
 
 
 def _first_wrappers(b: pa.RecordBatch):
-    """One wrapper a host from a batch of pages (host, html); equal pages of a batch count once."""
+    """One wrapper a host from a batch of different pages (host, html)."""
     by: dict[str, list] = {}
-    seen = set()
     salt = 0
     for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-        if (host, html) in seen:
-            continue
-        seen.add((host, html))
         salt = (salt * 31 + len(html)) % SALTS
         tree = fold(Page(html).tree)
         by[host] = unite(by[host], tree) if host in by else tree
@@ -342,7 +338,9 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 def wrappers(pages: DataFrame, as_rules: bool = False) -> DataFrame:
     """(host, salt, wrapper): each host's wrapper, or the rules drawn from it, as JSON."""
-    first = arrow_map(_pages(pages).select("host", "html"), _first_wrappers, _WRAPPERS)
+    # equal pages of a host count once in the whole table, so that a template text needs different pages
+    different = _pages(pages).select("host", "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest")).dropDuplicates(["host", "digest"])
+    first = arrow_map(different.select("host", "html"), _first_wrappers, _WRAPPERS)
     return _united(_united(first, ["host", "salt"], False), ["host"], as_rules)
 
 

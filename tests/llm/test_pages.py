@@ -71,6 +71,13 @@ def test_extract_odd_rows(spark):
     assert html.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    page = "<html><body><div><h2>A short heading</h2><p>" + "a long block " * 40 + "</p><pre>A short line</pre></div></body></html>"
+    df = spark.createDataFrame([(k, "http://copies.example/x", page) for k in range(12)], PAGES).repartition(12)
+    for r in html.extract(df).collect():
+        assert r["text"].startswith("A short heading\n") and r["text"].endswith("\nA short line")
+
+
 def _pages(spark):
     big, other = "<p>" + "same page " * 200, "<p>" + "other page ü " * 150
     rows = [(1, "http://a/ü b", big), (2, "http://b", big), (3, "http://c", big), (4, "u", other), (5, "u", "tiny"), (6, "u", "tiny"), (7, None, None), (8, "u", ""), (9, "u", other), (9, "u", other), (10, "u", "x" * 300_000), (None, "u", big)]
