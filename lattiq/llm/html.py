@@ -35,9 +35,9 @@ TEMPLATE_PAGES = 5
 SALTS = 16
 
 # Element names by their role in a page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"} | {"math", "semantics", "menclose", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "input", "dialog", "menu", "object", "applet", "canvas", "audio", "video", "map", "fieldset", "datalist", "output", "progress", "meter", *RAW}
 MAIN = ("article", "main")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -51,60 +51,106 @@ _WORDS = re.compile(
     r"popup|modal|overlay|newsletter|subscribe\w*|signup|login|search|searchbox|form|pagination|pager|toolbar|copyright|disclaimer|complementary|contentinfo|"
     r"feedback|poll|survey|toc|skip|skiplink)"
 )
+#: Words that mark boilerplate within compound names too, and words that turn the next one's meaning round.
+_STRONG = re.compile(r"(?:ads?|adv|advert\w*|adsense|adsby\w*|adslot|adbox|adunit|adwrap\w*|sponsor\w*|promo\w*|banners?|navbar|breadcrumbs?|masthead|sidebars?|sidenav|sidepanel|widgets?|comment\w*|disqus|cookie\w*|consent|gdpr|newsletter|subscribe\w*|signup|pagination|pager|popup|modal)")
+_TURNED = {"no", "not", "non", "has", "have", "with", "without", "hide"}
+#: Strength of a vote: part of a compound name, a strong word in one, a whole name.
+WEAK, STRONG, WHOLE = 1, 2, 3
 #: Comments, declarations and tags. Quotes hold a value only after an equals sign; elsewhere they are plain characters.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 
 
+def _vote(name: str) -> tuple[int, bool]:
+    """(strength of a name's vote for boilerplate, 0 for none; whether it has a strong word)."""
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower()) if w and not w.isdigit()]
+    hits = [w for k, w in enumerate(words) if _WORDS.fullmatch(w) and not (k and words[k - 1] in _TURNED)]
+    strong = any(_STRONG.fullmatch(w) for w in hits)
+    return (0 if not hits else WHOLE if len(hits) == len(words) else STRONG if strong else WEAK), strong
+
+
 @lru_cache(maxsize=20_000)
-def _marks(attrs: str) -> tuple[str, bool, bool]:
-    """(key suffix, boilerplate, main) of a start tag's attributes."""
-    names, plate, main = [], False, False
+def _marks(attrs: str) -> tuple[str, bool, int, int, bool, bool]:
+    """(key suffix, hidden, vote of class and role, vote of id, strong id, main) of a start tag's attributes."""
+    names, hidden, vote, id_vote, id_strong, main = [], False, 0, 0, False, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            plate = True
+            hidden = True
         elif name in ("class", "id", "role"):
             spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", value).lower()
-            plate |= any(_WORDS.fullmatch(w) for w in re.split(r"[^a-z0-9]+", spaced))
-            main |= name == "role" and spaced in ("main", "article")
-            if name != "id":  # ids often number things
+            votes = [_vote(x) for x in value.split()]
+            if name == "id":  # ids often number things
+                id_vote, id_strong = max((v for v, _ in votes), default=0), any(k for _, k in votes)
+            else:
+                vote = max([vote, *(v for v, _ in votes)])
                 names += sorted(spaced.split())
+            main |= name == "role" and spaced in ("main", "article")
         elif name == "itemprop":
             main |= value.lower() == "articlebody"
-    return ("." + ".".join(names) if names else ""), plate, main
+    return ("." + ".".join(names) if names else ""), hidden, vote, id_vote, id_strong, main
 
 
 class Page:
     """Blocks of a page in order: (path, text, drop, main); a path is a tuple of element keys."""
 
-    __slots__ = ("blocks", "tree")
+    __slots__ = ("blocks", "tree", "votes", "read")
 
     def __init__(self, html: str) -> None:
         self.blocks: list[tuple[tuple[str, ...], str, bool, str]] = []
         self.tree: list = ["", False, False, 1, 0, None, []]
+        self.votes: list[list] = []  # strength, characters, characters of links, inside main text, holds the page's h1
+        self.read: list = []  # path, text, dropped by tag, main, votes, tree node, characters of links
         self._read(html)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drop what votes for boilerplate and is not overruled by the text it holds."""
+        total = 0
+        for _, text, drop, _, votes, _, links in self.read:
+            if not drop:
+                total += len(text)
+                for v in votes:
+                    self.votes[v][1] += len(text)
+                    self.votes[v][2] += links
+        out = []
+        for strength, size, links, inside, h1 in self.votes:
+            linked = 2 * links >= size
+            if strength == WEAK:
+                out.append(linked and not h1)
+            else:
+                out.append(strength == WHOLE or linked or inside or size < 0.6 * total)
+        dropped = [x[2] or any(out[v] for v in x[4]) for x in self.read]
+        if all(dropped):  # votes never leave a page without text
+            dropped = [x[2] for x in self.read]
+        for (path, text, _, main, _, node, _), drop in zip(self.read, dropped):
+            self.blocks.append((path, text, drop, main))
+            node[4] = len(text) * (not drop)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, bool, str, tuple[str, ...], list]] = [("", False, "", (), self.tree)]
+        stack: list[tuple[str, bool, str, tuple[str, ...], list, tuple[int, ...]]] = [("", False, "", (), self.tree, ())]
         text: list[str] = []
+        linked = 0  # characters of text within links
         hidden = 0  # boilerplate inline elements that are open
         inline: list[tuple[str, bool]] = []
 
         def flush() -> None:
+            nonlocal linked
             if text:
                 # white space of any kind becomes one space
                 joined = " ".join(unescape("".join(text)).split())
                 text.clear()
                 if joined:
-                    _, drop, main, path, node = stack[-1]
-                    self.blocks.append((path, joined, drop, main))
-                    node[6].append(["#", False, False, 1, len(joined) * (not drop), joined if len(joined) <= 400 else None, []])
+                    _, drop, main, path, node, votes = stack[-1]
+                    node[6].append(["#", False, False, 1, 0, joined if len(joined) <= 400 else None, []])
+                    self.read.append((path, joined, drop, main, votes, node[6][-1], min(linked, len(joined))))
+            linked = 0
 
         at, n = 0, len(html)
         for m in iter(lambda: _TOKEN.search(html, at), None):
             if m.start() > at and not hidden:
                 text.append(html[at : m.start()])
+                linked += len(" ".join(text[-1].split())) * any(x == "a" for x, _ in inline)
             at = m.end()
             name = (m[2] or "").lower()
             if not name:
@@ -125,12 +171,14 @@ class Page:
                 elif name in ("p", "br"):
                     text.append(" ") if name == "br" else flush()
                 continue
-            suffix, plate, main = _marks(m[3]) if m[3] else ("", False, False)
+            suffix, plate, vote, id_vote, id_strong, main = _marks(m[3]) if m[3] else ("", False, 0, 0, False, False)
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>|\Z", re.I).search(html, at)
-                at = end.end()
+                if not (m[3].endswith("/") and (name == "svg" or not end[0])):  # a self-closing element holds nothing
+                    at = end.end()
                 continue
             if name in INLINE:
+                plate |= max(vote, id_vote) >= (WEAK if name == "a" else STRONG)
                 if not m[3].endswith("/"):
                     inline.append((name, plate))
                     hidden += plate
@@ -153,6 +201,18 @@ class Page:
             parent = stack[-1]
             is_main = name in MAIN or main
             drop = parent[1] or name in DROPPED or plate and not is_main and name not in ("html", "body")
+            if name in HEADINGS or name == "p" or name == "section" and parent[2] and not id_strong:
+                id_vote = 0  # generated ids name what a heading or section is about
+            vote = max(vote, id_vote)
+            if name in ("html", "body", "main") or is_main and vote < WHOLE:
+                vote = 0
+            votes = () if is_main and not vote else parent[5]  # what stands around an article does not drop it
+            if vote:
+                votes = (*votes, len(self.votes))
+                self.votes.append([vote, 0, 0, bool(parent[2]), False])
+            if name == "h1":
+                for v in votes:
+                    self.votes[v][4] = True
             if name in HEADINGS and parent[0] == "header" and len(stack) > 1 and stack[-2][2] and not stack[-2][1]:
                 drop = False  # the heading of an article stands in its header
             where = parent[2] or ("article" if name == "article" or main else "main" if name == "main" else "")
@@ -161,7 +221,7 @@ class Page:
             node = [name + suffix, False, False, 1, 0, None, []]
             parent[4][6].append(node)
             if not m[3].endswith("/"):
-                stack.append((name, drop, where, (*parent[3], name + suffix), node))
+                stack.append((name, drop, where, (*parent[3], name + suffix), node, votes))
         if at < n and not hidden:
             text.append(html[at:])
         flush()

@@ -28,6 +28,15 @@ def test_main_text_rules():
     assert html.main_text("a < b and c > d") == "a < b and c > d"
 
 
+def test_names_vote_and_text_overrules():
+    for name in ("layout has-sidebar", "no-sidebar", "with-nav", "layout sidebar"):
+        assert html.main_text(f'<div class="{name}"><article><p>story</p></article></div>') == "story"
+    inner = '<div class="post-header"><h1>Head</h1></div><h2 id="related-work">Work</h2><section id="discussion"><p>We discuss</p></section><p class="share-price">Price 5</p><div id="survey-results">Results</div>'
+    assert html.main_text(f'<article>{inner}<div class="share-buttons"><a href=x>Tweet</a></div><div class="ad">buy</div></article>') == "Head\nWork\nWe discuss\nPrice 5\nResults"
+    assert html.main_text("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><svg/><p>c<math/></p><p>d</p>") == "a x=2 b\nc\nd"
+    assert html.main_text('<div class="sidebar">links</div><div class="story">text</div>') == "text"
+
+
 def test_generated_pages(spark):
     pages = load(spark, SF, "pages")
     got = {r["page_id"]: r for r in html.extract(pages).collect()}
