@@ -7,8 +7,8 @@ while text that all pages share stays as template text. Wrappers are united in t
 first, then by host and salt, then by host, always one at a time, so a host with a third of all pages costs a
 task only its wrapper.
 
-The wrapper tells where a host's main text stands: in its article or main elements, or else below the
-deepest element that holds most of the slots' text. A page's blocks below that place are its main text, without
+The wrapper tells where a host's main text stands: in the article or main elements, or below the deepest element
+with most of the slots' text, whichever has most text on the page, weighed by its share of the host's slot text. A page's blocks below that place are its main text, without
 boilerplate elements (by tag, role, class and id) and, where no article or main element marks the text, without
 the template text of the host.
 
@@ -92,12 +92,16 @@ def _marks(attrs: str) -> tuple[str, bool, int, int, bool, bool]:
 
 
 class Page:
-    """Blocks of a page in order: (path, text, drop, main); a path is a tuple of element keys."""
+    """Blocks of a page in order: (path, text, drop, region, characters of links); a path is a tuple of element keys.
+
+    A region is the path of the article or main element a block stands in, the empty path outside of them. An article
+    within main is a region of its own.
+    """
 
     __slots__ = ("blocks", "tree", "votes", "read")
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[tuple[str, ...], str, bool, str]] = []
+        self.blocks: list[tuple[tuple[str, ...], str, bool, tuple[str, ...], int]] = []
         self.tree: list = ["", False, False, 1, 0, None, []]
         self.votes: list[list] = []  # strength, characters, characters of links, inside main text, holds the page's h1
         self.read: list = []  # path, text, dropped by tag, main, votes, tree node, characters of links
@@ -123,12 +127,12 @@ class Page:
         dropped = [x[2] or any(out[v] for v in x[4]) for x in self.read]
         if all(dropped):  # votes never leave a page without text
             dropped = [x[2] for x in self.read]
-        for (path, text, _, main, _, node, _), drop in zip(self.read, dropped):
-            self.blocks.append((path, text, drop, main))
+        for (path, text, _, region, _, node, links), drop in zip(self.read, dropped):
+            self.blocks.append((path, text, drop, region, links))
             node[4] = len(text) * (not drop)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, bool, str, tuple[str, ...], list, tuple[int, ...]]] = [("", False, "", (), self.tree, ())]
+        stack: list[tuple[str, bool, tuple[str, ...], tuple[str, ...], list, tuple[int, ...]]] = [("", False, (), (), self.tree, ())]
         text: list[str] = []
         linked = 0  # characters of text within links
         hidden = 0  # boilerplate inline elements that are open
@@ -215,9 +219,9 @@ class Page:
                     self.votes[v][4] = True
             if name in HEADINGS and parent[0] == "header" and len(stack) > 1 and stack[-2][2] and not stack[-2][1]:
                 drop = False  # the heading of an article stands in its header
-            where = parent[2] or ("article" if name == "article" or main else "main" if name == "main" else "")
-            if name == "article" and not drop:
-                where = "article"
+            where = parent[2]
+            if is_main and not where or name == "article" and where[-1].split(".")[0] != "article":
+                where = (*parent[3], name + suffix)
             node = [name + suffix, False, False, 1, 0, None, []]
             parent[4][6].append(node)
             if not m[3].endswith("/"):
@@ -323,24 +327,48 @@ def rules(wrapper: list) -> dict:
             walk(k, total)
 
     walk(wrapper, wrapper[3])
-    return {"path": path, "fixed": fixed}
+    slots: dict[str, int] = {}
+
+    def fill(x: list, above: tuple[str, ...]) -> int:
+        if x[0] == "#":
+            return 0 if x[5] is not None and x[5] in known else x[4]
+        here = above if not x[0] or x[0].startswith("(") else (*above, x[0])
+        size = sum(fill(k, here) for k in x[6])
+        if here != above:
+            slots["\n".join(here)] = slots.get("\n".join(here), 0) + size
+        return size
+
+    known = set(fixed)
+    total = fill(wrapper, ())
+    return {"path": path, "fixed": fixed, "slots": {k: v / total for k, v in slots.items() if v >= 0.02 * total > 0}}
 
 
 def main_text(html: str, rule: dict | None = None) -> str:
-    """Main text of one page, its blocks joined by line feeds."""
-    blocks = Page(html).blocks
-    good = [b for b in blocks if not b[2]]
-    for mark in MAIN:
-        marked = [b for b in good if b[3] == mark]
-        if marked:
-            return "\n".join(b[1] for b in marked)
-    if rule:
-        path = tuple(rule["path"])
-        below = [b for b in good if b[0][: len(path)] == path and path]
-        fixed = set(rule["fixed"])
-        kept = [b for b in below or good if b[1] not in fixed]
-        return "\n".join(b[1] for b in kept or below or good)
-    return "\n".join(b[1] for b in good)
+    """Main text of one page, its blocks joined by line feeds.
+
+    Regions are weighed by the text they hold on the page, without links and template text, times the share of the
+    host's slot text that the wrapper has there. Text outside of article and main elements counts a third.
+    """
+    good = [b for b in Page(html).blocks if not b[2]]
+    fixed, path, slots = (set(rule["fixed"]), tuple(rule["path"]), rule["slots"]) if rule else (set(), (), {})
+    sizes: dict[tuple[str, ...], float] = {}
+    for b in good:
+        if b[3] or path and b[0][: len(path)] == path:
+            sizes[b[3]] = sizes.get(b[3], 0) + (0 if b[1] in fixed else len(b[1]) - b[4])
+
+    def share(region: tuple[str, ...]) -> float:
+        inner = [r for r in sizes if r and r != region and r[: len(region)] == region]
+        own = slots.get("\n".join(region or path), 0) - sum(slots.get("\n".join(r), 0) for r in inner if region or r[: len(path)] == path)
+        return 0.25 + max(own, 0)
+
+    if any(sizes):
+        best = max(sizes, key=lambda r: (sizes[r] * share(r) * (1 if r else 1 / 3), bool(r)))
+        if best:
+            return "\n".join(b[1] for b in good if b[3] == best)
+        good = [b for b in good if not b[3]]
+    below = [b for b in good if b[0][: len(path)] == path and path]
+    kept = [b for b in below or good if b[1] not in fixed]
+    return "\n".join(b[1] for b in kept or below or good)
 
 
 _WRAPPERS = T.StructType([T.StructField("host", T.StringType()), T.StructField("salt", T.IntegerType()), T.StructField("wrapper", T.StringType())])

@@ -37,6 +37,17 @@ def test_names_vote_and_text_overrules():
     assert html.main_text('<div class="sidebar">links</div><div class="story">text</div>') == "text"
 
 
+def test_the_largest_region_is_the_main_text(spark):
+    story = "a long story of many words " * 8
+    for name in ("card", "comment"):
+        assert html.main_text(f'<main><p>{story}</p><article class="{name}"><p>short</p></article></main>') == story.strip()
+    assert html.main_text(f"<main><h1>Title</h1><article><p>{story}</p></article></main>") == story.strip()
+    page = '<body><div class="story"><h2>{0}</h2><p>{0} {1}</p></div><article class="card"><p>Teaser {0}</p></article></body>'
+    df = spark.createDataFrame([(k, "http://h.example/x", page.format(t, story)) for k, t in enumerate("abcdef")], PAGES)
+    for r in html.extract(df).collect():
+        assert r["text"].endswith(story.strip()) and "Teaser" not in r["text"]
+
+
 def test_generated_pages(spark):
     pages = load(spark, SF, "pages")
     got = {r["page_id"]: r for r in html.extract(pages).collect()}
