@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept in each of the cache's two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: A lower-cased word and its space: Latin letters that no normal form changes, then marks that are one token group
 #: (no digit, apostrophe or angle bracket); or anything else.
 _PARTS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?|)(*$%&#+=-]*) |([^ ]*) ")
