@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, components, forest, only, staged, survivors, text_sha
+from . import similar
+from .bktree import BKTree
+from .common import arrow_map, components, forest, only, staged, survivors
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: The five bands of a 64-bit fingerprint as (lowest bit, bits).
@@ -71,42 +73,6 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return arrow_map(only(docs, doc_id="long", text="string"), run, schema)
 
 
-class BKTree:
-    """BK-tree over distinct 64-bit ints in flat arrays: first child, next sibling and distance to the parent."""
-
-    def __init__(self) -> None:
-        self.value: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, v: int) -> None:
-        k = len(self.value)
-        self.value.append(v)
-        self.children.append({})
-        if not k:
-            return
-        at = 0
-        while True:
-            d = (v ^ self.value[at]).bit_count()
-            nxt = self.children[at].get(d)
-            if nxt is None:
-                self.children[at][d] = k
-                return
-            at = nxt
-
-    def within(self, v: int, radius: int) -> list[int]:
-        """Positions of the values at the given distance or nearer."""
-        found, stack = [], [0] if self.value else []
-        while stack:
-            at = stack.pop()
-            d = (v ^ self.value[at]).bit_count()
-            if d <= radius:
-                found.append(at)
-            kids = self.children[at]
-            if kids:
-                stack.extend(k for e, k in kids.items() if d - radius <= e <= d + radius)
-        return found
-
-
 def shard_links(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links within one shard."""
     tree, a, b = BKTree(), [], []
@@ -191,15 +157,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: its smallest doc_id. A fingerprint without any doc_id is a component too."""
-    texts = only(docs, text="string").select(text_sha().alias("text_sha"), "text")
-    schema = T.StructType([T.StructField("text_sha", T.StringType()), T.StructField("node", T.LongType())])
-
-    def run(b: pa.RecordBatch):
-        yield [b.column(0), [_signed(fingerprint((x.as_py() or "").encode().lower(), size)) for x in b.column(1)]]
+def keep_one(docs: DataFrame, shard_rows: int = similar.BAND_ROWS) -> DataFrame:
+    """docs with one row of each group of near copies, in its own columns: the smallest doc_id, rows without one last.
 
-    # the fingerprint itself is the node: texts without a doc_id and different texts of one doc_id keep their own
-    named = staged(arrow_map(texts, run, schema).distinct(), "keep-fingerprints")
-    comp = components(fingerprint_links(named.select(F.col("node").alias("fp"), "node").distinct(), radius), "keep-simhash")
-    return survivors(docs, named.join(comp, "node", "left").select("text_sha", F.coalesce("component", "node").alias("component")))
+    Near copies are texts whose sets of 5-word shingles are 0.8 similar or more (similar.py: BK-trees at a wide radius,
+    each link checked), not those within 3 bits, which would miss most of them.
+    """
+    return survivors(docs, similar.groups(docs, shard_rows))

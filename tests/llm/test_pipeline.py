@@ -1,11 +1,16 @@
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from lattiq.llm import exact, mixing, packing, quality, queries, simhash
+from lattiq.llm import exact, mixing, packing, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_sets(text, size=5):
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} or {tuple(words)}
+
+
 def fold(x):
     return (x or "").encode().lower()
 
@@ -36,13 +41,13 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert sorted(r["doc_id"] for r in after) == sorted(largest.values())
 
     before, after = kept["near_dedup"]
-    fp = {r["doc_id"]: simhash.fingerprint(fold(r["text"])) for r in before}
-    best = {i: i for i in fp}
-    for _ in fp:
+    sets = {r["doc_id"]: brute_sets(r["text"] or "") for r in before}
+    best = {i: i for i in sets}
+    for _ in sets:
         changed = False
-        for a in fp:
-            for b in fp:
-                if (fp[a] ^ fp[b]).bit_count() <= 3 and best[b] < best[a]:
+        for a in sets:
+            for b in sets:
+                if best[b] < best[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     best[a], changed = best[b], True
         if not changed:
             break
