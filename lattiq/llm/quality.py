@@ -5,8 +5,8 @@ Gaussian over them whose covariance is shrunk towards the covariance of both cla
 of the unit matrix. The score is the probability of label 1 from the difference of the two log densities; the
 Cholesky factors of the covariances are computed once and sent with the scoring tasks.
 
-Fitting takes sums and sums of products over all labelled rows that are learned from, aggregated in Spark; the
-driver gets one row a class.
+Fitting takes sums and sums of products over at most train_rows labelled documents (those whose ids have the
+smallest hashes), aggregated in Spark; the driver gets one row a class.
 
 Defined cases: a null text is the empty text and gets a score; labels that are null are left out, labels that
 repeat count as often; without rows of both classes every score is 0.5; an empty table gives an empty result;
@@ -16,6 +16,7 @@ further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -29,28 +30,37 @@ from .common import arrow_map, only, prepare, staged
 
 FOLDS, THRESHOLD = 5, 0.3
 SHRINK_POOLED, SHRINK_UNIT = 0.10, 0.02
+#: Labelled documents that are learned from at most.
+TRAIN_ROWS = 20_000
 NAMES = ("symbols", "upper", "digits", "marks", "letters", "repeats", "variety", "upper_words", "symbol_ends", "symbol_words")
 #: Classes of characters: other symbols, lower-case letters, upper-case letters, digits, usual marks, space.
 SYMBOL, LOWER, UPPER, DIGIT, MARK, SPACE = range(6)
 
 
-def _table() -> np.ndarray:
-    """Class of each code point of the basic plane; others count as letters."""
-    out = np.full(65536, SYMBOL, np.uint8)
-    for k in range(65536):
-        c = chr(k)
-        out[k] = SPACE if c.isspace() else UPPER if c.isupper() else LOWER if c.isalpha() else DIGIT if c.isdigit() else MARK if c in ".,;:?'\"()-’“”" else SYMBOL
-    return out
+@lru_cache(maxsize=100_000)
+def _class(point: int) -> int:
+    c = chr(point)
+    return SPACE if c.isspace() else UPPER if c.isupper() else LOWER if c.isalpha() else DIGIT if c.isdigit() else MARK if c in ".,;:?'\"()-’“”" else SYMBOL
 
 
 _CLASSES: list[np.ndarray] = []
 
 
+def classes(text: str) -> np.ndarray:
+    """Class of each code point; a table holds the basic plane, those beyond are looked up one kind at a time."""
+    if not _CLASSES:
+        _CLASSES.append(np.fromiter(map(_class.__wrapped__, range(65536)), np.uint8, 65536))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _CLASSES[0][np.minimum(points, 65535)]
+    if (high := points > 65535).any():
+        kinds, which = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([_class(int(k)) for k in kinds], np.uint8)[which]
+    return out
+
+
 def statistics(text: str) -> list[float]:
     """The transformed statistics of one text, in the order of NAMES. Smoothing leaves the empty text at usual values."""
-    if not _CLASSES:
-        _CLASSES.append(_table())
-    cls = _CLASSES[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0x4E00)]
+    cls = classes(text)
     n = np.bincount(cls, minlength=6)
     chars = len(cls) - n[SPACE]
     words = text.split()
@@ -105,13 +115,22 @@ def fold(column: str, folds: int):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", pooled: float = SHRINK_POOLED, unit: float = SHRINK_UNIT) -> Model:
+def labelled(labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, _y, _n (times) of the labels 0 and 1 outside the held-out fold: at most train_rows, those of the smallest hashes."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_y")).where("doc_id is not null and _y in (0, 1)").where(fold("doc_id", FOLDS) != 0)
+    return staged(rows.groupBy("doc_id", "_y").agg(F.count("*").alias("_n")).orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(train_rows), "labelled")
+
+
+def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on the rows of stats that have a label 0 or 1 and are outside the held-out fold."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)")
-    rows = stats.join(known, "doc_id").where(fold("doc_id", FOLDS) != 0)
+    return _fitted(stats, labelled(labels, label, train_rows))
+
+
+def _fitted(stats: DataFrame, known: DataFrame, pooled: float = SHRINK_POOLED, unit: float = SHRINK_UNIT) -> Model:
+    rows = stats.join(F.broadcast(known), "doc_id")  # at most train_rows
     d = len(NAMES)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    sums = rows.groupBy("_y").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}_{j}") for i, j in pairs])
+    sums = rows.groupBy("_y").agg(F.sum("_n").alias("n"), *[F.sum(F.col(x) * F.col("_n")).alias(f"s{i}") for i, x in enumerate(NAMES)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j]) * F.col("_n")).alias(f"p{i}_{j}") for i, j in pairs])
     got = {r["_y"]: r for r in sums.collect()}  # a row a class
     if set(got) != {0, 1} or min(r["n"] for r in got.values()) < 2:
         return Model(None, None, None)
@@ -155,7 +174,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are predicted good, in its own columns."""
     prepare(docs.sparkSession)
-    model = fit(staged(features(docs), "statistics"), labels)
+    known = labelled(labels)
+    texts = only(docs, doc_id="long", text="string")
+    texts = texts.join(F.broadcast(known.select(F.col("doc_id").alias("_known")).distinct()), F.col("doc_id") == F.col("_known"), "left_semi")
+    # statistics of the rows that are learned from; all rows are read again to be scored
+    model = _fitted(staged(features(texts), "statistics"), known)
 
     def score(texts: pd.Series) -> pd.Series:
         x = np.array([statistics(t or "") for t in texts], np.float64).reshape(-1, len(NAMES))
