@@ -21,12 +21,14 @@ _SHIPPED = "_lattiq_shipped"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or, in local mode alone, a temporary one where unset."""
     try:
         path = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # the setting is absent
         path = None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lattiq_")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
