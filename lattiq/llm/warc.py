@@ -19,11 +19,10 @@ one row is the response; an empty table gives an empty result; further columns a
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,7 +140,10 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from at most SAMPLE_PAGES pages, those whose ids have the smallest hashes."""
     import zstandard
 
-    sample = pages.select("page_id", "html").where("length(html) between 1 and 100000").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()
+    rows = only(pages, page_id="long", html="string").where("page_id is not null and length(html) between 1 and 100000")
+    # ids alone are ordered; the pages of the chosen ones are fetched then
+    ids = [r[0] for r in rows.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).collect()]
+    sample = rows.where(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect() if ids else []
     blobs = [r["html"].encode() for r in sample]
     try:
         return zstandard.train_dictionary(DICT_BYTES, blobs).as_bytes() if len(blobs) >= 8 else b"".join(blobs)[-DICT_BYTES:]
@@ -149,30 +151,48 @@ def train_dictionary(pages: DataFrame) -> bytes:
         return b"".join(blobs)[-DICT_BYTES:]
 
 
+_PACKED = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    T.StructField("payload_digest", T.StringType()),
+    T.StructField("copies", T.IntegerType()),
+    T.StructField("refers_to", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("payload_bytes", T.LongType()),
+    T.StructField("packed", T.BinaryType()),
+])
+
+
 def classified(pages: DataFrame, partitions: int, dictionary: bytes) -> DataFrame:
-    """page_id, url, packed (the payload's frame), payload_bytes, payload_digest, refers_to (null for responses), dealt by page_id.
+    """Rows of _PACKED, dealt and sorted by (page_id, payload_digest).
 
-    Payloads are compressed where they are read and shuffled once; the window and the join keep that partitioning.
+    Marks come first (copies 0, refers_to the response's page_id), then the pages of that id and digest, each with
+    its payload's frame. Payloads are compressed where they are read and shuffled once: marks and pages are one table, so
+    no join moves them again. Pages alike in id, url and payload reach the shuffle once a batch, with their number.
     """
-    rows = only(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
-    digest = F.sha1(F.col("html").cast("binary"))
-    # rows that repeat a page_id are numbered, alike in both uses of this window
-    turn = Window.partitionBy("page_id").orderBy("payload_digest", "url")
-    narrow = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.octet_length("html").cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
-    narrow = narrow.withColumn("turn", F.row_number().over(turn))
-    groups = narrow.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "turn")).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    groups = staged(groups, "groups")  # apart from the join, so that Spark may split a group with very many pages there
-    revisits = narrow.join(groups, ["payload_digest", "payload_bytes"]).where("page_id <> keep.page_id or turn <> keep.turn").select("page_id", "turn", F.col("keep.page_id").alias("refers_to"))
-    fields = [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("packed", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())]
+    rows = only(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("url", F.coalesce("url", F.lit("")))
+    narrow = rows.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("payload_digest")).where(F.col("payload_bytes") >= REVISIT_BYTES)
+    narrow = narrow.groupBy("page_id", "payload_digest").agg(F.count("*").alias("rows"))
+    groups = narrow.groupBy("payload_digest").agg(F.max("page_id").alias("keep"), F.sum("rows").alias("n")).where("n > 1 and keep is not null")
+    groups = staged(groups.select("payload_digest", "keep"), "groups")  # apart from the join, so that Spark may split a group with very many pages there
+    empty = {"copies": F.lit(0), "refers_to": F.col("keep"), "url": F.lit(None).cast("string"), "payload_bytes": F.lit(None).cast("long"), "packed": F.lit(None).cast("binary")}
+    marks = narrow.where("page_id is not null").join(groups, "payload_digest").select("page_id", "payload_digest", *[c.alias(k) for k, c in empty.items()])
 
     def pack(b: pa.RecordBatch):
         packer = _packer(dictionary)
-        raw = [x.as_py().encode() for x in b.column(2)]
-        yield [b.column(0), b.column(1), [packer.compress(x) for x in raw], [len(x) for x in raw], [hashlib.sha1(x).hexdigest() for x in raw]]
-
-    full = arrow_map(rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html"), pack, T.StructType(fields))
-    full = full.repartition(partitions, "page_id").withColumn("turn", F.row_number().over(turn))
-    return full.join(revisits, ["page_id", "turn"], "left")
+        seen: dict[tuple, list] = {}
+        for page_id, url, html in zip(*b.columns):
+            raw = html.as_py().encode()
+            page_id, url, digest = page_id.as_py(), url.as_py(), hashlib.sha1(raw).hexdigest()
+            if (row := seen.get((page_id, url, digest))) is not None:
+                row[2] += 1
+            else:
+                seen[page_id, url, digest] = [page_id, digest, 1, None, url, len(raw), packer.compress(raw)]
+        yield [list(c) for c in zip(*seen.values())] if seen else [[] for _ in _PACKED.fields]
+
+    full = arrow_map(rows.select("page_id", "url", "html"), pack, _PACKED)
+    # pages without an id are not marked, so they may stand anywhere
+    dealt = full.unionByName(marks).repartition(partitions, F.coalesce("page_id", F.xxhash64("payload_digest", "url")))
+    return dealt.sortWithinPartitions("page_id", "payload_digest", "copies")
 
 
 def _packer(dictionary: bytes):
@@ -181,6 +201,10 @@ def _packer(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
 
 
+def _frames(out: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+
+
 def write_archives(pages: DataFrame) -> str:
     """Write a record for each row of pages; gives the archives' folder."""
     import zstandard
@@ -195,17 +219,29 @@ def write_archives(pages: DataFrame) -> str:
         packer = _packer(dictionary)
         reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         first = DICT_MAGIC.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary
-        begun = False
+        begun, mark, answered = False, None, True
         for b in batches:
             out = [] if begun else [first]
             begun = True
-            for page_id, url, packed, n, digest, refers in zip(*(b.column(k).to_pylist() for k in range(6))):
-                out.append(packer.compress(record(page_id, url, reader.decompress(packed) if refers is None else b"", n, digest, refers)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            for page_id, digest, copies, refers, url, n, packed in zip(*(c.to_pylist() for c in b.columns)):
+                if not copies:
+                    mark, answered = (page_id, digest, refers), refers != page_id
+                    continue
+                target = mark[2] if mark and page_id is not None and mark[:2] == (page_id, digest) else None
+                payload = None
+                for _ in range(copies):
+                    revisit = target is not None and answered
+                    answered = True
+                    if payload is None and not revisit:
+                        payload = reader.decompress(packed)
+                    out.append(packer.compress(record(page_id, url, b"" if revisit else payload, n, digest, target if revisit else None)))
+                    if len(out) == 1000:
+                        yield _frames(out)
+                        out = []
+            yield _frames(out)
 
     n = int(max(1, -(-size // ARCHIVE_BYTES), min(parts(spark), -(-size // (1 << 20)))))
-    rows = classified(pages, n, dictionary).select("page_id", "url", "packed", "payload_bytes", "payload_digest", "refers_to")
-    frame = rows.mapInArrow(run, T.StructType([T.StructField("frame", T.BinaryType())]))
+    frame = classified(pages, n, dictionary).mapInArrow(run, T.StructType([T.StructField("frame", T.BinaryType())]))
     frame.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
     return path
 
