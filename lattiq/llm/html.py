@@ -12,6 +12,9 @@ with most of the slots' text, whichever has most text on the page, weighed by it
 boilerplate elements (by tag, role, class and id) and, where no article or main element marks the text, without
 the template text of the host.
 
+Elements nested very deep and very long lists of children are gathered in the wrapper alone (MAX_DEPTH, MAX_KIDS); the
+text of a page is read whole.
+
 Defined cases: a null page is the empty page, with empty text; a null or odd url belongs to the host ""; pages
 that repeat are pages of their own; an empty table gives an empty result; further columns are ignored.
 """
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -33,6 +38,9 @@ from .common import arrow_map, only, staged
 #: Pages that must share a text before it counts as template text.
 TEMPLATE_PAGES = 5
 SALTS = 16
+#: Elements deeper than MAX_DEPTH stand in the one at that depth; a wrapper's element has MAX_KIDS kinds of children at most,
+#: the ones with least text together beyond; longer lists than ALIGN_CELLS cells are aligned by nearby matches.
+MAX_DEPTH, MAX_KIDS, ALIGN_CELLS, MAX_VOTES = 150, 500, 250_000, 64
 
 # Element names by their role in a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "annotation", "annotation-xml"}
@@ -84,7 +92,7 @@ def _marks(attrs: str) -> tuple[str, bool, int, int, bool, bool]:
                 id_vote, id_strong = max((v for v, _ in votes), default=0), any(k for _, k in votes)
             else:
                 vote = max([vote, *(v for v, _ in votes)])
-                names += sorted(spaced.split())
+                names += sorted(re.sub(r"\d+", "0", spaced).split())  # numbers in names tell pages apart, not places
             main |= name == "role" and spaced in ("main", "article")
         elif name == "itemprop":
             main |= value.lower() == "articlebody"
@@ -133,6 +141,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, bool, tuple[str, ...], tuple[str, ...], list, tuple[int, ...]]] = [("", False, (), (), self.tree, ())]
+        opened: Counter[str] = Counter()
         text: list[str] = []
         linked = 0  # characters of text within links
         hidden = 0  # boilerplate inline elements that are open
@@ -166,12 +175,12 @@ class Page:
                         hidden -= plate
                         if was == name:
                             break
-                elif any(name == s[0] for s in stack):
+                elif opened[name]:
                     flush()
                     hidden, inline = 0, []
-                    while stack[-1][0] != name:
-                        stack.pop()
-                    stack.pop()
+                    while (was := stack.pop()[0]) != name:
+                        opened[was] -= 1
+                    opened[name] -= 1
                 elif name in ("p", "br"):
                     text.append(" ") if name == "br" else flush()
                 continue
@@ -196,9 +205,10 @@ class Page:
                 continue
             flush()
             hidden, inline = 0, []
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, max(0, len(stack) - MAX_DEPTH), -1):
                 open_name = stack[k][0]
                 if open_name in ENDS.get(name, {"p"}) or open_name == "p":
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                 elif open_name in SCOPES:
                     break
@@ -211,7 +221,7 @@ class Page:
             if name in ("html", "body", "main") or is_main and vote < WHOLE:
                 vote = 0
             votes = () if is_main and not vote else parent[5]  # what stands around an article does not drop it
-            if vote:
+            if vote and len(votes) < MAX_VOTES:
                 votes = (*votes, len(self.votes))
                 self.votes.append([vote, 0, 0, bool(parent[2]), False])
             if name == "h1":
@@ -219,13 +229,17 @@ class Page:
                     self.votes[v][4] = True
             if name in HEADINGS and parent[0] == "header" and len(stack) > 1 and stack[-2][2] and not stack[-2][1]:
                 drop = False  # the heading of an article stands in its header
+            if len(parent[3]) >= MAX_DEPTH:
+                path, node = parent[3], parent[4]
+            else:
+                path, node = (*parent[3], name + suffix), [name + suffix, False, False, 1, 0, None, []]
+                parent[4][6].append(node)
             where = parent[2]
             if is_main and not where or name == "article" and where[-1].split(".")[0] != "article":
-                where = (*parent[3], name + suffix)
-            node = [name + suffix, False, False, 1, 0, None, []]
-            parent[4][6].append(node)
+                where = path
             if not m[3].endswith("/"):
-                stack.append((name, drop, where, (*parent[3], name + suffix), node, votes))
+                stack.append((name, drop, where, path, node, votes))
+                opened[name] += 1
         if at < n and not hidden:
             text.append(html[at:])
         flush()
@@ -239,28 +253,78 @@ def unite(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, align(a[6], b[6])]
 
 
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence; of long lists, one drawn from matches near the same place."""
+    n, m, first = len(a), len(b), 0
+    while first < min(n, m) and a[first] == b[first]:
+        first += 1
+    while n > first and m > first and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(k, k) for k in range(first)]
+    if (n - first) * (m - first) <= ALIGN_CELLS:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, first - 1, -1):
+            row, below, key = best[i], best[i + 1], a[i]
+            for j in range(m - 1, first - 1, -1):
+                row[j] = below[j + 1] + 1 if key == b[j] else max(below[j], row[j + 1])
+        i = j = first
+        while i < n and j < m:
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        places: dict[str, list[int]] = {}
+        for j in range(first, m):
+            places.setdefault(b[j], []).append(j)
+        tails: list[int] = []  # the smallest j that ends a chain of each length
+        chains: list[tuple] = []
+        for i in range(first, n):
+            own = places.get(a[i], [])
+            at = bisect_left(own, first + (i - first) * (m - first) // (n - first))
+            for j in reversed(own[max(0, at - 4) : at + 4]):
+                k = bisect_left(tails, j)
+                link = (i, j, chains[k - 1] if k else None)
+                if k == len(tails):
+                    tails.append(j)
+                    chains.append(link)
+                elif j < tails[k]:
+                    tails[k], chains[k] = j, link
+        link, middle = chains[-1] if chains else None, []
+        while link:
+            middle.append(link[:2])
+            link = link[2]
+        out += middle[::-1]
+    return out + [(n + k, m + k) for k in range(len(a) - n)]
+
+
 def align(a: list, b: list) -> list:
     """Align two child lists: matches are united, the rest becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [unite(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below, key = best[i], best[i + 1], a[i][0]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if key == b[j][0] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    optional = lambda x: [x[0], True, *x[2:]]
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(unite(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(a[i]))
-            i += 1
-        else:
-            out.append(optional(b[j]))
-            j += 1
+    for p, q in [*_matches([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
+        out += [[x[0], True, *x[2:]] for x in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append(unite(a[p], b[q]))
+        i, j = p + 1, q + 1
+    return out if len(out) <= MAX_KIDS else _gathered(out)
+
+
+def _gathered(nodes: list) -> list:
+    """Children of one key gathered into an optional repeated one; of too many kinds, those with least text into one kind."""
+    kinds: dict[str, list] = {}
+    for x in nodes:
+        kinds[x[0]] = _same_page(kinds[x[0]], x) if x[0] in kinds else x
+    out = [[x[0], True, True, *x[3:]] for x in kinds.values()]
+    if len(out) > MAX_KIDS:
+        least = sorted(x[4] for x in out)[len(out) - MAX_KIDS]
+        rest = [x for x in out if x[4] <= least]
+        out = [x for x in out if x[4] > least]
+        out.append(["*", True, True, max(x[3] for x in rest), sum(x[4] for x in rest), None, []])
     return out
 
 
@@ -305,19 +369,7 @@ def render(node: list) -> str:
 
 
 def rules(wrapper: list) -> dict:
-    """Where the host's main text stands (a path of keys) and its template texts, from its wrapper."""
-    path: list[str] = []
-    node = wrapper
-    while True:
-        kids: list[list] = []
-        for k in node[6]:
-            kids += k[6] if k[0].startswith("(") else [k]
-        kids = [k for k in kids if k[0] != "#" and k[0].split(".")[0] not in DROPPED]
-        best = max(kids, key=lambda k: k[4], default=None)
-        if best is None or best[4] < 0.6 * node[4] or best[2] or best[0].split(".")[0] in HEADINGS | {"p", "li", "td", "blockquote", "pre"}:
-            break
-        path.append(best[0])
-        node = best
+    """Where the host's main text stands (a path of keys), its template texts and the shares of slot text, from its wrapper."""
     fixed: list[str] = []
 
     def walk(x: list, total: int) -> None:
@@ -327,20 +379,33 @@ def rules(wrapper: list) -> dict:
             walk(k, total)
 
     walk(wrapper, wrapper[3])
-    slots: dict[str, int] = {}
+    known = set(fixed)
+    slots: dict[tuple[str, ...], int] = {}
+    titled: set[tuple[str, ...]] = set()
 
     def fill(x: list, above: tuple[str, ...]) -> int:
         if x[0] == "#":
             return 0 if x[5] is not None and x[5] in known else x[4]
         here = above if not x[0] or x[0].startswith("(") else (*above, x[0])
-        size = sum(fill(k, here) for k in x[6])
+        size = x[4] if x[0] == "*" else sum(fill(k, here) for k in x[6])
         if here != above:
-            slots["\n".join(here)] = slots.get("\n".join(here), 0) + size
+            slots[here] = slots.get(here, 0) + size
+        if x[0].split(".")[0] == "h1" and size:
+            titled.update(here[:k] for k in range(1, len(here)))
         return size
 
-    known = set(fixed)
     total = fill(wrapper, ())
-    return {"path": path, "fixed": fixed, "slots": {k: v / total for k, v in slots.items() if v >= 0.02 * total > 0}}
+    below: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for p in slots:
+        below.setdefault(p[:-1], []).append(p)
+    path: tuple[str, ...] = ()
+    while True:  # down to the deepest element that holds most of the slots' text, and the title where one is
+        kids = [p for p in below.get(path, []) if p[-1].split(".")[0] not in DROPPED]
+        best = max(kids, key=slots.get, default=None)
+        if best is None or slots[best] < 0.6 * slots.get(path, total) or best[-1].split(".")[0] in HEADINGS | {"p", "li", "td", "blockquote", "pre", "*"} or any(p in titled for p in kids if p != best):
+            break
+        path = best
+    return {"path": list(path), "fixed": fixed, "slots": {"\n".join(k): v / total for k, v in slots.items() if v >= 0.02 * total > 0}}
 
 
 def main_text(html: str, rule: dict | None = None) -> str:

@@ -2,6 +2,7 @@ import hashlib
 import re
 from html import unescape
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -98,6 +99,59 @@ def test_copies_of_a_page_make_no_template(spark):
         assert r["text"].startswith("A short heading\n") and r["text"].endswith("\nA short line")
 
 
+def _plain_host(host, k):
+    """A page without article, main or telling names: the place of its text is known from the host's other pages alone."""
+    rnd = np.random.default_rng([len(host), k])
+    word = lambda n: " ".join(rnd.choice([f"{host[0]}word{j}" for j in range(900)], n))
+    story = [word(int(rnd.integers(20, 60))) for _ in range(int(rnd.integers(3, 7)))]
+    teasers = "".join(f"<div class=t{j}><b>{word(3)}</b></div>" for j in range(int(rnd.integers(1, 5))))
+    body = "".join(f"<p>{x}</p>" for x in story)
+    page = f"<html><body><div class=a1><div>{host} home of stories and more</div><div>All the sections of {host}</div></div><div class=b{k}><h1>Story {k}</h1>{body}</div><div class=c>{teasers}</div><div class=d>Printed by {host}, all rights kept</div></body></html>"
+    return page, "\n".join([f"Story {k}", *story])
+
+
+def test_wrappers_place_the_text_where_no_tag_does(spark):
+    rows, want = [], {}
+    for h in range(6):
+        for k in range(9):
+            page, text = _plain_host(f"{'abcdef'[h]}host", k)
+            rows.append((10 * h + k, f"http://{'abcdef'[h]}host/{k}", page))
+            want[10 * h + k] = text
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
+    assert all(html.main_text(page, None) != want[i] for i, _, page in rows)  # a page alone does not show it
+
+
+def test_deep_and_wide_pages(spark):
+    wide = "".join(f"<div class='k{'abcdefg'[k % 7]}{'xyz'[k % 11 % 3]}'><p>text {'n' * (k % 5)} {k}</p></div>" for k in range(20_000))
+    rows = [
+        (1, "http://d/1", "<div>" * 10_000 + "hello"),
+        (2, "http://d/2", "<div>" * 5_000 + "<p>one<p>two" + "</div>" * 5_000),
+        (3, "http://d/3", "<odd>" * 10_000 + "x" + "</odd>" * 10_000),
+        (4, "http://d/4", "<div class=widget>" * 3_000 + "deep"),
+        (5, "http://w/1", f"<body>{wide}</body>"),
+        (6, "http://w/2", f"<body><i>first</i>{wide[40:]}</body>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == ["hello", "one\ntwo", "x", "deep"]
+    assert got[5].count("\n") == 19_999 and got[5].startswith("text 0\ntext n 1\n")
+
+
+def test_nearby_matches_are_a_common_subsequence(monkeypatch):
+    rng = np.random.default_rng(0)
+    a = [str(x) for x in rng.integers(0, 12, 300)]
+    b = [x for x in a if rng.random() > 0.1] + ["z"] * 5
+    for cells in (1 << 30, 0):
+        monkeypatch.setattr(html, "ALIGN_CELLS", cells)
+        pairs = html._matches(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) >= (len(b) - 5 if cells else 0.6 * len(b))
+    many = [[f"k{k}", False, False, 1, k, None, []] for k in range(2 * html.MAX_KIDS)]
+    united = html.align(many, [["other", False, False, 1, 9, None, []], *many[::-1]])
+    assert len(united) <= html.MAX_KIDS and sum(x[4] for x in united) == 2 * sum(x[4] for x in many) + 9
+
+
 def _pages(spark):
     big, other = "<p>" + "same page " * 200, "<p>" + "other page ü " * 150
     rows = [(1, "http://a/ü b", big), (2, "http://b", big), (3, "http://c", big), (4, "u", other), (5, "u", "tiny"), (6, "u", "tiny"), (7, None, None), (8, "u", ""), (9, "u", other), (9, "u", other), (10, "u", "x" * 300_000), (None, "u", big)]
