@@ -93,12 +93,13 @@ def _clip(x: np.ndarray) -> np.ndarray:
     return np.clip(x, 0.0, 1.0)
 
 
-def simulate(design: DataFrame, adjacency: DataFrame, t_end: float, steps: int, method: str = "euler", conserve: bool = False, renormalise: bool = False, rtol: float = 1e-6) -> DataFrame:
+def simulate(design: DataFrame, adjacency: DataFrame, t_end: float, steps: int, method: str = "euler", conserve: bool = False, renormalise: bool = False, rtol: float = 1e-6, bounded: bool = False) -> DataFrame:
     """Trajectories of the healthy/diseased/recovered model, run_id, t_idx, t, node, h, d, r.
 
     design has run_id, node, beta, rho, d_h, d_d, h0, d0 and may have graph_id. method is euler (steps + 1
     samples, clipped at each) or rk45 (the same samples, adaptive steps). conserve: r is one minus the others, as
-    in the simplified model; else r gathers what recovers. renormalise: h, d, r are scaled to sum to 1 each step.
+    in the simplified model; else r gathers what recovers. renormalise: h, d, r are scaled to sum to 1 each step. bounded: rates
+    see h and d scaled down to a sum of 1 where they exceed it, as in the layered model.
     """
     graphs = collect_graph(adjacency)
     times = np.linspace(0.0, t_end, steps + 1)
@@ -111,6 +112,9 @@ def simulate(design: DataFrame, adjacency: DataFrame, t_end: float, steps: int,
 
         def rate(t: float, y: np.ndarray) -> np.ndarray:
             h, d = _clip(y[:n]), _clip(y[n : 2 * n])
+            if bounded:
+                top = np.maximum(h + d, 1.0)
+                h, d = h / top, d / top
             infect, recover = beta * h * (wt @ d), rho * d
             a, b = -infect - dh * (lap @ h), infect - recover - dd * (lap @ d)
             return np.concatenate([a, b, -a - b if conserve else recover])

@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Edges and nodes of a graph that one task searches at most (16 bytes each).
+LOCAL_EDGES = 1_000_000
+
 #: Points a grid cell is meant to hold when the grid is sized from the data, and the most that the fullest may hold at first.
 CELL_POINTS, CELL_MOST = 64, 1024
 
@@ -110,19 +115,54 @@ def row_stochastic(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j", F.try_divide("w", total).alias("w")).where("w is not null")
 
 
+def _in_one_task(edges: DataFrame, nodes: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(i and j of the edges, ids and values of nodes) in one task, for graphs of LOCAL_EDGES edges and nodes at most."""
+    e = edges.select(F.lit(True).alias("e"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    n = nodes.select(F.lit(False).alias("e"), F.col("i").cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = pdf[pdf["e"]]
+        return fn(links["i"].to_numpy(), links["j"].to_numpy(), np.unique(pdf.loc[~pdf["e"], "i"].to_numpy()))
+
+    return e.unionByName(n).groupBy(F.lit(0).alias("_g")).applyInPandas(run, schema)
+
+
 def hop_distance(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """i, hops: fewest edges from any source, weights ignored. Nodes out of reach are absent."""
-    links = edges.select("i", "j").where("i <> j").distinct().cache()
-    seen = cut(sources.select("i", F.lit(0).alias("hops")).distinct(), "hops")
+    """i, hops: fewest edges from any source, weights ignored. Nodes out of reach are absent.
+
+    A graph of LOCAL_EDGES edges and sources at most is searched in one task; a larger one level by level, each level a
+    distributed join against the visited nodes, which are one table again after every eighth level.
+    """
+    links = cut(edges.select("i", "j").where("i <> j").distinct(), "links")
+    start = cut(sources.select("i").distinct(), "sources")
+    if links.count() + start.count() <= LOCAL_EDGES:
+
+        def search(i: np.ndarray, j: np.ndarray, front: np.ndarray) -> pd.DataFrame:
+            nodes = np.unique(np.concatenate([i, j, front]))
+            a, b = np.searchsorted(nodes, i), np.searchsorted(nodes, j)
+            hops = np.full(len(nodes), -1)
+            hops[np.searchsorted(nodes, front)] = 0
+            for level in range(1, len(nodes) + 1):
+                reached = np.unique(b[hops[a] == level - 1])
+                reached = reached[hops[reached] < 0]
+                if not len(reached):
+                    break
+                hops[reached] = level
+            known = hops >= 0
+            return pd.DataFrame({"i": nodes[known], "hops": hops[known].astype(np.int32)})
+
+        return _in_one_task(links, start, search, "i long, hops int")
+    seen = start.select("i", F.lit(0).alias("hops"))
     front, level = seen, 0
     while True:
         level += 1
         step = front.join(links, "i").select(F.col("j").alias("i")).distinct().join(seen, "i", "left_anti").select("i", F.lit(level).alias("hops"))
         front = cut(step, "hops")
         if front.isEmpty():
-            links.unpersist()
             return seen
         seen = seen.unionByName(front)
+        if level % 8 == 0:
+            seen = cut(seen, "seen")
 
 
 def random_walk(x0: DataFrame, p: DataFrame, steps: int, every: int = 0) -> DataFrame:
@@ -213,16 +253,32 @@ def adjacency(edges: DataFrame, convention: str = "sym") -> DataFrame:
 
 
 def connected_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """i, component (smallest node reachable) by rounds of neighbour minima with label jumping."""
-    links = edges.select("i", "j").where("i <> j").cache()
-    label = cut(nodes.select("i", F.col("i").alias("c")), "labels")
+    """i, component (smallest node reachable): in one task for LOCAL_EDGES edges and nodes at most, else by rounds of
+    neighbour minima with label jumping."""
+    links = cut(edges.select("i", "j").where("i <> j"), "links")
+    every = cut(nodes.select("i"), "nodes")
+    if links.count() + every.count() <= LOCAL_EDGES:
+
+        def label(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+            ids = np.unique(np.concatenate([i, j, own]))
+            a, b, c = np.searchsorted(ids, i), np.searchsorted(ids, j), np.arange(len(ids))
+            while True:
+                low = c.copy()
+                np.minimum.at(low, a, c[b])
+                np.minimum.at(low, b, c[a])
+                low = low[low]
+                if np.array_equal(low, c):
+                    return pd.DataFrame({"i": own, "component": ids[c[np.searchsorted(ids, own)]]})
+                c = low
+
+        return _in_one_task(links, every, label, "i long, component long")
+    label = every.select("i", F.col("i").alias("c"))
     while True:
         low = links.join(label.select(F.col("i").alias("j"), "c"), "j").groupBy("i").agg(F.min("c").alias("m"))
         near = label.join(low, "i", "left").select("i", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         jump = near.join(near.select(F.col("i").alias("n"), F.col("n").alias("nn")), "n", "left").select("i", F.col("c").alias("old"), F.least("n", "nn").alias("c"))
         new = cut(jump, "labels")
         if new.where("c <> old").isEmpty():
-            links.unpersist()
             return new.select("i", F.col("c").alias("component"))
         label = new.select("i", "c")
 
@@ -245,6 +301,13 @@ def induced(edges: DataFrame, keep: DataFrame, threshold: float = 1e-4) -> DataF
     return edges.where((F.col("w") > threshold) & (F.col("i") < F.col("j"))).join(a, "i", "left_semi").join(a.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "w")
 
 
+def induced_by(edges: DataFrame, labels: DataFrame, key: str, threshold: float = 1e-4) -> DataFrame:
+    """key, i, j, w: edges i < j above the threshold whose ends share a value of key; the induced graphs of all values at once."""
+    a, b = labels.select("i", key), labels.select(F.col("i").alias("j"), F.col(key).alias("_other"))
+    e = edges.where((F.col("w") > threshold) & (F.col("i") < F.col("j"))).join(a, "i").join(b, "j")
+    return e.where(F.col(key) == F.col("_other")).select(key, "i", "j", "w")
+
+
 def interlayer(edges: DataFrame, labels: DataFrame, comps: DataFrame, topology: DataFrame, d_inter: float = 1.0) -> DataFrame:
     """ca, cb, w in both directions: summed spot weights between compartments of coupled layers, over the root of both
     sizes (at least 1), times the root of both d_d and d_inter. comps has comp, macro, d_d; topology has ma, mb."""

@@ -180,7 +180,7 @@ def to_spots(values: DataFrame, labels: DataFrame, key: str = "comp") -> DataFra
 
 def refined(spots: DataFrame, gene: Column, d: str = "d") -> DataFrame:
     """spots with d_spot = d (1 + gene / 4), gene scaled to 0..1 over all spots, within 0..1."""
-    every = Window.partitionBy()
     g = spots.withColumn("_g", gene)
-    g = g.withColumn("_g", F.coalesce(F.try_divide(F.col("_g") - F.min("_g").over(every), F.max("_g").over(every) - F.min("_g").over(every)), F.lit(0.0)))
-    return g.withColumn("d_spot", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(d) * (1 + 0.25 * F.col("_g"))))).drop("_g")
+    ends = g.agg(F.min("_g").alias("_low"), F.max("_g").alias("_high"))  # one row
+    g = g.crossJoin(F.broadcast(ends)).withColumn("_g", F.coalesce(F.try_divide(F.col("_g") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)))
+    return g.withColumn("d_spot", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(d) * (1 + 0.25 * F.col("_g"))))).drop("_g", "_low", "_high")

@@ -87,7 +87,7 @@ def run_multilayer(built: dict[str, DataFrame], d_inter: float = 0.05, seed: flo
     node = comps.select("comp", "node")
     pairs = c.join(node.select(F.col("comp").alias("ca"), F.col("node").alias("i")), "ca").join(node.select(F.col("comp").alias("cb"), F.col("node").alias("j")), "cb").select("i", "j", "w")
     rates, adj = layered(comps, built["edges"], pairs, layers)
-    traj = cut(dynamics.simulate(dynamics.seeded(rates, seed).withColumn("run_id", F.lit("layers")), adj, t_end, steps, "rk45"), "layers")
+    traj = cut(dynamics.simulate(dynamics.seeded(rates, seed).withColumn("run_id", F.lit("layers")), adj, t_end, steps, "rk45", bounded=True), "layers")
     by = metrics.layer_metrics(traj, comps, layers).cache()
     return {"trajectory": traj, "coupling": pairs, "strength": graph.interlayer_summary(c, dd.where(F.col("macro").isin(*layers))), "layers": by, "globals": metrics.weighted_globals(by)}
 

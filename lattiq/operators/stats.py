@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import avg_rank
+from ..session import cut
+
+#: Rows of a table whose pairs are all compared, at most.
+PAIR_ROWS = 10_000
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -56,24 +60,53 @@ def spearman_test(df: DataFrame, x: str, y: str, *by: str, least: int = 10) -> D
     return s.select(*by, "rho", p_value("rho", "n").alias("p"), "n")
 
 
+def _bounded(df: DataFrame, what: str) -> DataFrame:
+    """df written, of PAIR_ROWS rows at most: what follows compares all pairs of them."""
+    df = cut(df, "pairs")
+    if (n := df.count()) > PAIR_ROWS:
+        raise ValueError(f"{what} compares all pairs and takes {PAIR_ROWS} rows at most, not {n}")
+    return df
+
+
 def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """tau, n: Kendall's tau-b by pairs of rows; for tables of groups (some thousand rows), joined on key order."""
+    """tau, n: Kendall's tau-b by pairs of rows; for tables of groups (PAIR_ROWS rows), joined on key order."""
+    df = _bounded(df.select(key, x, y), "kendall")
     a, b = df.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1")), df.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
     p = a.join(b, F.col("k1") < F.col("k2")).select(F.signum(F.col("x1") - F.col("x2")).alias("sx"), F.signum(F.col("y1") - F.col("y2")).alias("sy"))
     g = p.agg(F.sum(F.col("sx") * F.col("sy")).alias("s"), F.sum(F.abs("sx")).alias("nx"), F.sum(F.abs("sy")).alias("ny"), F.count("*").alias("pairs"))
     return g.select(F.try_divide("s", F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"), "pairs")
 
 
+def running_sums(df: DataFrame, order: str, values: tuple[str, ...], descending: bool = False) -> DataFrame:
+    """df with before_<value>: the sum of each value over the rows before in the order of a column without ties.
+
+    Rows are range-partitioned by it; each range sums its own rows, and one row a range gives what came before.
+    """
+    spark, by = df.sparkSession, F.desc(order) if descending else F.asc(order)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
+    along = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t{v}").over(along), F.lit(0)).alias(f"_b{v}") for v in values])
+    own = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.select("*", *[F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"_l{v}") for v in values])
+    return local.join(F.broadcast(bases), "_part").select(*df.columns, *[(F.col(f"_l{v}") + F.col(f"_b{v}")).alias(f"before_{v}") for v in values])
+
+
 def auroc_auprc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """auroc by rank sums with average ties; auprc as average precision over distinct scores."""
-    r = df.select(F.col(label).cast("double").alias("y"), F.col(score).alias("s"), avg_rank(score).alias("r"))
-    roc = r.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.sum(F.col("r") * F.col("y")).alias("rs"))
-    roc = roc.select(F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")).alias("auroc"), "p")
-    cuts = r.groupBy("s").agg(F.sum("y").alias("tp"), F.count("*").alias("m"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = cuts.select("tp", (F.sum("tp").over(down) / F.sum("m").over(down)).alias("prec"))
-    ap = steps.agg(F.sum(F.col("tp") * F.col("prec")).alias("a"))
-    return roc.crossJoin(ap).select("auroc", F.try_divide("a", "p").alias("auprc"))
+    """auroc by rank sums with average ties; auprc as average precision over distinct scores.
+
+    Rows are summed by score first; ranks and precisions are running sums over the distinct scores.
+    """
+    rows = df.select(F.col(label).cast("double").alias("y"), F.col(score).alias("s"))
+    r = cut(running_sums(rows.groupBy("s").agg(F.sum("y").alias("tp"), F.count("*").cast("double").alias("m")), "s", ("tp", "m")), "scores")
+    total = r.agg(F.sum("tp").alias("p"), F.sum("m").alias("rows"))
+    r = r.crossJoin(F.broadcast(total))  # one row
+    above, every = F.col("p") - F.col("before_tp"), F.col("rows") - F.col("before_m")  # at this score or a larger one
+    rank = F.col("before_m") + (F.col("m") + 1) / 2
+    g = r.groupBy("p", "rows").agg(F.sum(F.col("tp") * rank).alias("rs"), F.sum(F.col("tp") * above / every).alias("a"))
+    auroc = F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("rows") - F.col("p")))
+    return g.select(auroc.alias("auroc"), F.try_divide("a", "p").alias("auprc"))
 
 
 def loss_shares(df: DataFrame, losses: dict[str, float], factors: list[str]) -> DataFrame:
@@ -82,8 +115,9 @@ def loss_shares(df: DataFrame, losses: dict[str, float], factors: list[str]) ->
     Ordinary least squares by normal equations whose sums come from one aggregate; the partial R2 of a factor is
     the rise of the residual sum without it over that sum.
     """
-    every = Window.partitionBy()
-    z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(every), F.stddev_samp(c).over(every)), F.lit(0.0))
+    used = list(dict.fromkeys([*losses, *factors]))
+    df = df.crossJoin(F.broadcast(df.agg(*[x for c in used for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])))  # one row
+    z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0))
     cols = [z(f).alias(f"f{i}") for i, f in enumerate(factors)]
     loss = sum((F.lit(sign) * z(c) for c, sign in list(losses.items())[1:]), F.lit(list(losses.values())[0]) * z(list(losses)[0]))
     t = df.select(*cols, loss.alias("y")).withColumn("one", F.lit(1.0))
@@ -124,6 +158,7 @@ def qap(a: DataFrame, b: DataFrame, labels: list[str]) -> DataFrame:
 
 def leave_one_out(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """lowest, highest: range of Spearman's rho when each row is left out in turn; for tables of groups."""
+    df = _bounded(df.select(key, x, y), "leave_one_out")
     keys = df.select(F.col(key).alias("_out"))
     each = df.join(keys, F.col(key) != F.col("_out"))
     return spearman(each, x, y, "_out").agg(F.min("rho").alias("lowest"), F.max("rho").alias("highest"))

@@ -85,10 +85,11 @@ def transfer_kl_shared(spark, sf_dir):
     return A.kl_shared(s.select("macro"), t.select(F.col("label").alias("macro")), "macro").select(r6("kl"))
 
 
-@query(ctes("a AS (SELECT lang, count(*) / sum(count(*)) OVER () AS p FROM documents WHERE source = 'src0' GROUP BY 1), b AS (SELECT lang, count(*) / sum(count(*)) OVER () AS q FROM documents WHERE source = 'src1' AND lang <> 'es' GROUP BY 1), u AS (SELECT coalesce(p, 1e-9) AS p, coalesce(q, 1e-9) AS q FROM a FULL JOIN b USING (lang)), v AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM u)") + "SELECT round(sum(p * ln(p / q)), 6) AS kl FROM v")
+@query(ctes("a AS (SELECT c_nationkey AS k, count(*) / sum(count(*)) OVER () AS p FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) / sum(count(*)) OVER () AS q FROM supplier GROUP BY 1), u AS (SELECT coalesce(p, 1e-9) AS p, coalesce(q, 1e-9) AS q FROM a FULL JOIN b USING (k)), v AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM u)") + "SELECT round(sum(p * ln(p / q)), 6) AS kl FROM v")
 def transfer_kl_union(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "lang")
-    return A.kl_union(d.where("source = 'src0'"), d.where("source = 'src1' and lang <> 'es'"), "lang").select(r6("kl"))
+    """Customers' nations against suppliers', of which the smaller tables miss some."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    return A.kl_union(a, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k").select(r6("kl"))
 
 
 ABUND = "ab AS (SELECT spot, gene AS label, ['PT', 'DCT', 'TAL', 'vascular', 'immune', 'other'][CAST(substr(gene, 2) AS INTEGER) % 6 + 1] AS macro, count AS value FROM expr)"
@@ -153,7 +154,8 @@ def lower_case_dedupe(spark, sf_dir):
 
 @query()
 def pca_project(spark, sf_dir):
-    """Two principal components of the scaled markers; signs are the solver's, so absolute values."""
-    wide = A.normalise_log1p(expression(spark, sf_dir)).groupBy("spot").pivot("gene", [f"g{k}" for k in range(1, 9)]).agg(F.first("value")).na.fill(0.0)
-    out, _ = A.project(wide, [f"g{k}" for k in range(1, 9)], 2)
+    """Two principal components of all scaled genes; signs are the solver's, so absolute values."""
+    genes = [f"g{k}" for k in range(62)]
+    wide = A.normalise_log1p(expression(spark, sf_dir)).groupBy("spot").pivot("gene", genes).agg(F.first("value")).na.fill(0.0)
+    out, _ = A.project(wide, genes, 2)
     return out.select("spot", F.round(F.abs("pc0"), 4).alias("pc0"), F.round(F.abs("pc1"), 4).alias("pc1"))

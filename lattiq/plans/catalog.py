@@ -84,18 +84,19 @@ def seeded(where: str = "is_boundary", seed: float = 0.05, run: str = "'base'",
 _UNIT = "greatest(0, least(1, {}))"
 
 
-def sim(t_end: float, steps: int, conserve: bool = False) -> str:
-    """CTE traj of Euler steps over par and adj."""
+def sim(t_end: float, steps: int, conserve: bool = False, bounded: bool = False) -> str:
+    """CTE traj of Euler steps over par and adj; bounded: rates see h and d over their sum where that exceeds 1."""
+    see = lambda t, x: f"({t}.{x} / greatest({t}.h + {t}.d, 1))" if bounded else f"{t}.{x}"
     dt = f"CAST({t_end / steps} AS DOUBLE)"
-    h = _UNIT.format(f"h + {dt} * (-beta * h * lam - d_h * lh)")
-    d = _UNIT.format(f"d + {dt} * (beta * h * lam - rho * d - d_d * ld)")
-    r = _UNIT.format(f"r + {dt} * (d_h * lh + rho * d + d_d * ld)" if conserve else f"r + {dt} * rho * d")
+    h = _UNIT.format(f"h + {dt} * (-beta * hs * lam - d_h * lh)")
+    d = _UNIT.format(f"d + {dt} * (beta * hs * lam - rho * ds - d_d * ld)")
+    r = _UNIT.format(f"r + {dt} * (d_h * lh + rho * ds + d_d * ld)" if conserve else f"r + {dt} * rho * ds")
     return f"""it AS (
   SELECT run_id, g, node, 0 AS k, h0 AS h, d0 AS d, CAST(0 AS DOUBLE) AS r FROM par
   UNION ALL
   SELECT run_id, g, node, k + 1, {h}, {d}, {r} FROM (
-    SELECT a.run_id, a.g, a.node, a.k, any_value(a.h) AS h, any_value(a.d) AS d, any_value(a.r) AS r, any_value(p.beta) AS beta, any_value(p.rho) AS rho,
-      any_value(p.d_h) AS d_h, any_value(p.d_d) AS d_d, coalesce(sum(e.wt * c.d), 0) AS lam, coalesce(sum(e.l * c.h), 0) AS lh, coalesce(sum(e.l * c.d), 0) AS ld
+    SELECT a.run_id, a.g, a.node, a.k, any_value(a.h) AS h, any_value(a.d) AS d, any_value(a.r) AS r, any_value({see("a", "h")}) AS hs, any_value({see("a", "d")}) AS ds, any_value(p.beta) AS beta, any_value(p.rho) AS rho,
+      any_value(p.d_h) AS d_h, any_value(p.d_d) AS d_d, coalesce(sum(e.wt * {see("c", "d")}), 0) AS lam, coalesce(sum(e.l * {see("c", "h")}), 0) AS lh, coalesce(sum(e.l * {see("c", "d")}), 0) AS ld
     FROM it a JOIN par p ON p.run_id = a.run_id AND p.node = a.node LEFT JOIN adj e ON e.g = a.g AND e.i = a.node LEFT JOIN it c ON c.run_id = a.run_id AND c.node = e.j
     WHERE a.k < {steps} GROUP BY a.run_id, a.g, a.node, a.k)),
 traj AS (SELECT run_id, k AS t_idx, k * {dt} AS t, node, h, d, r FROM it)"""

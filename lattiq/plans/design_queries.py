@@ -13,9 +13,10 @@ from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import params as P
 from ..operators import stats as S
+from ..session import cut
 from ..sources.testdata import compartments, table, trade_graph
 from .catalog import BASE, BASE_PRE, COMPS, CROSS, DIMS, EDGES, OUTPUTS, RATES, adj, ctes, drug_sim, query, seeded, sim, values
-from .dynamics_queries import DRUG_DIMS, DRUG_RATES, _drug_design, _k, layered_adjacency, rates
+from .dynamics_queries import DRUG_DIMS, DRUG_RATES, _drug_design, _k, layered_parts, rates
 from .graph_queries import labelled
 
 SPAN, STEP = 30.0, 60
@@ -62,11 +63,11 @@ def tornado(spark, sf_dir):
     return N.tornado(rows, "auc_d").select("param", r6("low"), r6("high"), r6("span"), r6("nominal"))
 
 
-GRID = "gd AS (SELECT 'g' || i || '_' || j AS run_id, CAST(0.7 AS DOUBLE) + CAST(1.3 AS DOUBLE) * i / 5 AS va, CAST(0.6 AS DOUBLE) + CAST(1.2 AS DOUBLE) * j / 5 AS vb FROM range(6) a(i), range(6) b(j)), dsg AS (SELECT run_id, 'gamma_mult_outer' AS param, va AS m FROM gd UNION ALL SELECT run_id, 'beta_DCT', vb FROM gd)"
+GRID = "gd AS (SELECT 'g' || i || '_' || j AS run_id, CAST(0.7 AS DOUBLE) + CAST(1.3 AS DOUBLE) * i / 11 AS va, CAST(0.6 AS DOUBLE) + CAST(1.2 AS DOUBLE) * j / 11 AS vb FROM range(12) a(i), range(12) b(j)), dsg AS (SELECT run_id, 'gamma_mult_outer' AS param, va AS m FROM gd UNION ALL SELECT run_id, 'beta_DCT', vb FROM gd)"
 
 
 def _grid(spark):
-    return N.grid(spark, "gamma_mult_outer", "beta_DCT", 6)
+    return N.grid(spark, "gamma_mult_outer", "beta_DCT")
 
 
 @query(ctes(PRE, GRID, MRUN) + f"SELECT round(va, 6) AS va, round(vb, 6) AS vb, {OUT_SQL} FROM outs JOIN gd USING (run_id)")
@@ -86,6 +87,8 @@ def grid2d_lookups(spark, sf_dir):
     return best.unionByName(near).unionByName(corner).select("kind", r6("va"), r6("vb"))
 
 
+#: Multipliers of the variance-based indices.
+SOBOL = ("beta_PT", "beta_DCT", "beta_TAL", "beta_vascular", "gamma_PT", "gamma_DCT", "gamma_TAL", "D_S_global", "D_I_global")
 KNOBS = ("beta_PT", "gamma_PT", "D_I_global", "beta_mult_outer")
 
 
@@ -159,19 +162,20 @@ def morris_effects(spark, sf_dir):
 @query()
 def morris_screening(spark, sf_dir):
     """Seeded random trajectories over all parameters."""
-    d = N.morris(spark, 3)
+    d = N.morris(spark, 15)
     return N.elementary_effects(d, _outputs(spark, sf_dir, _runs(spark, sf_dir, d)), "auc_d").select("param", r6("mu_star"), r6("sigma"), r6("mu"), "n_ee")
 
 
 @query()
 def monte_carlo_sweep(spark, sf_dir):
-    d = N.monte_carlo(spark, 60)
+    d = N.monte_carlo(spark, 300)
     return S.summary(_outputs(spark, sf_dir, _runs(spark, sf_dir, d)), *OUT).select("metric", r6("mean"), r6("p05"), r6("p95"), r6("sd"), "n")
 
 
 @query()
 def sobol_sensitivity(spark, sf_dir):
-    d = N.saltelli(spark, 16, {k: dims.SWEEP[k] for k in KNOBS})
+    """Nine multipliers from 0.6 to 1.4, 256 base points, 2,816 runs."""
+    d = N.saltelli(spark, 256, {k: (0.6, 1.4) for k in SOBOL})
     return N.sobol_indices(d, _outputs(spark, sf_dir, _runs(spark, sf_dir, d)), "auc_d").select("param", r6("s1"), r6("st"))
 
 
@@ -279,19 +283,18 @@ DI = [(f"d{x}", x) for x in dims.D_INTER]
 
 @query(ctes(PRE, "ledges AS (SELECT e.i, e.j, e.w FROM edges e JOIN comps a ON a.node = e.i JOIN comps b ON b.node = e.j WHERE a.macro = b.macro AND a.macro IN ('PT', 'DCT', 'TAL'))", adj("sym", "ledges").replace("adj AS (", "adj0 AS ("), values(DI, "di", "run_id, d_inter"),
     "adj AS (SELECT di.run_id AS g, i, j, wt, l FROM adj0, di UNION ALL SELECT di.run_id, e.i, e.j, d_inter * e.w * sqrt(a.d_d * b.d_d), 0 FROM edges e JOIN rates a ON a.node = e.i JOIN rates b ON b.node = e.j, di WHERE a.macro <> b.macro AND a.macro IN ('PT', 'DCT', 'TAL') AND b.macro IN ('PT', 'DCT', 'TAL'))",
-    "lr AS (SELECT * FROM rates, di WHERE macro IN ('PT', 'DCT', 'TAL'))", seeded(seed=0.1, run="run_id", g="run_id", source="lr"), sim(SPAN, STEP), OUTPUTS) + f"SELECT run_id, {OUT_SQL} FROM outs")
+    "lr AS (SELECT * FROM rates, di WHERE macro IN ('PT', 'DCT', 'TAL'))", seeded(seed=0.1, run="run_id", g="run_id", source="lr"), sim(SPAN, STEP, bounded=True), OUTPUTS) + f"SELECT run_id, {OUT_SQL} FROM outs")
 def d_inter_sweep(spark, sf_dir):
     """The layered model over six couplings."""
-    parts = [layered_adjacency(spark, sf_dir, x) for _, x in DI]
-    a = None
-    for (g, _), (_, m) in zip(DI, parts):
-        one = m.select(F.lit(g).alias("graph_id"), "i", "j", "wt", "l")
-        a = one if a is None else a.unionByName(one)
-    runs = spark.createDataFrame([(g, g) for g, _ in DI], "run_id string, graph_id string")
-    return _scenario(spark, sf_dir, D.seeded(parts[0][0].crossJoin(runs), 0.1), a)
+    c, own, inter = layered_parts(spark, sf_dir)
+    runs = spark.createDataFrame([(g, x) for g, x in DI], "graph_id string, d_inter double")  # a row a coupling
+    a = own.crossJoin(F.broadcast(runs)).select("graph_id", "i", "j", "wt", "l")
+    a = a.unionByName(inter.crossJoin(F.broadcast(runs)).select("graph_id", "i", "j", (F.col("d_inter") * F.col("u")).alias("wt"), F.lit(0.0).alias("l")))
+    par = D.seeded(c.crossJoin(F.broadcast(runs.select("graph_id"))).withColumn("run_id", F.col("graph_id")), 0.1)
+    return _outputs(spark, sf_dir, D.simulate(par, a, SPAN, STEP, bounded=True)).select("run_id", *[r6(x) for x in OUT])
 
 
-SWEEP_T = [(f"s{k}", "bolus", 15.0 * k / 7) for k in range(8)]
+SWEEP_T = [(f"s{k}", "bolus", 15.0 * k / 19) for k in range(20)]
 
 
 @query(ctes(BASE_PRE, DRUG_DIMS, DRUG_RATES, values(SWEEP_T, "ds", "run_id, mode, t_dose"), "drun AS (SELECT * FROM drug, ds)", seeded(seed=0.1, run="run_id", source="drun", extra=", delta, rho2, d_f, mode, t_dose"), drug_sim(20.0, 80)) + """, fe AS (SELECT run_id, avg(x / (h + d + d2 + r + x)) AS x, avg(r / (h + d + d2 + r + x)) AS r FROM traj WHERE t_idx = 80 GROUP BY 1)
@@ -317,10 +320,10 @@ def drug_vs_no_drug(spark, sf_dir):
 
 @query()
 def rewired_null(spark, sf_dir):
-    """Degree-preserving rewirings of the strongest edges: order of invasion by macro type against the plain graph, and their spread."""
-    e = trade_graph(spark, sf_dir).where("w > 0.5")
-    w = N.rewire(e, 6, 20).unionByName(e.select(F.lit("base").alias("graph_id"), "i", "j", "w"))
-    ids = spark.createDataFrame([(f"rw{k}",) for k in range(6)] + [("base",)], "graph_id string")
+    """Degree-preserving rewirings of the whole graph, 20 of 50 swaps: order of invasion by macro type against the plain graph."""
+    e = cut(trade_graph(spark, sf_dir), "edges")
+    w = N.rewire(e, 20, 50).unionByName(e.select(F.lit("base").alias("graph_id"), "i", "j", "w"))
+    ids = spark.createDataFrame([(f"rw{k}",) for k in range(20)] + [("base",)], "graph_id string")
     c = D.seeded(rates(spark, sf_dir).crossJoin(ids).withColumn("run_id", F.col("graph_id")))
     t = M.crossing_time(D.simulate(c, per_graph(w), SPAN, STEP)).join(compartments(spark, sf_dir).select("node", "macro"), "node")
     m = t.groupBy("run_id", "macro").agg(F.avg("t_cross").alias("t")).where("t is not null").cache()
@@ -411,4 +414,4 @@ def wilcoxon_signed(spark, sf_dir):
 def permutation_spearman(spark, sf_dir):
     """A two-sided permutation test a region."""
     r = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_regionkey")
-    return S.permutation_spearman(_xy(spark, sf_dir).join(r, "k"), "x", "y", "n_regionkey", permutations=2000).select("n_regionkey", r6("rho"), r6("p"), "n")
+    return S.permutation_spearman(_xy(spark, sf_dir).join(r, "k"), "x", "y", "n_regionkey", permutations=200_000).select("n_regionkey", r6("rho"), r6("p"), "n")

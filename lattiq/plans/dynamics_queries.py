@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import matrices as X
 from ..operators import metrics as M
 from ..operators import params as P
+from ..session import cut
 from ..sources.testdata import compartments, observed, table, trade_graph
 from .catalog import BASE, BASE_PRE, COMPS, CROSS, DIMS, EDGES, FINALS, OUTER, OUTPUTS, RATES, STEPS, T_END, adj, argmax_first, ctes, drug_sim, query, seeded, sim, trapz, values
 from .graph_queries import labelled
@@ -92,23 +93,28 @@ LAYERED = "ledges AS (SELECT e.i, e.j, e.w FROM edges e JOIN comps a ON a.node =
 CROSSING = f"inter AS (SELECT e.i, e.j, CAST(0.05 AS DOUBLE) * e.w * sqrt(a.d_d * b.d_d) AS w FROM edges e JOIN rates a ON a.node = e.i JOIN rates b ON b.node = e.j WHERE a.macro <> b.macro AND a.macro IN ('PT', 'DCT', 'TAL') AND b.macro IN ('PT', 'DCT', 'TAL'))"
 
 
-def layered_adjacency(spark, sf_dir, d_inter=0.05):
-    """Layers' own graphs with symmetric-normalised Laplacians, and coupling between layers as exposure alone."""
+def layered_parts(spark, sf_dir):
+    """Rates of the layers, their own graphs with symmetric-normalised Laplacians, and the coupling of unit strength between them."""
     c = rates(spark, sf_dir).where(F.col("macro").isin(*dims.LAYERS))
     a, b = c.select(F.col("node").alias("i"), F.col("macro").alias("ma"), F.col("d_d").alias("da")), c.select(F.col("node").alias("j"), F.col("macro").alias("mb"), F.col("d_d").alias("db"))
-    e = trade_graph(spark, sf_dir).join(a, "i").join(b, "j")
-    own = G.adjacency(e.where("ma = mb").select("i", "j", "w"), "sym")
-    inter = e.where("ma <> mb").select("i", "j", (F.lit(d_inter) * F.col("w") * F.sqrt(F.col("da") * F.col("db"))).alias("wt"), F.lit(0.0).alias("l"))
-    return c, own.unionByName(inter)
+    e = cut(trade_graph(spark, sf_dir).join(a, "i").join(b, "j"), "layers")  # a row a pair of compartments
+    inter = e.where("ma <> mb").select("i", "j", (F.col("w") * F.sqrt(F.col("da") * F.col("db"))).alias("u"))
+    return c, G.adjacency(e.where("ma = mb").select("i", "j", "w"), "sym"), inter
+
+
+def layered_adjacency(spark, sf_dir, d_inter=0.05):
+    """Layers' own graphs and coupling between layers as exposure alone."""
+    c, own, inter = layered_parts(spark, sf_dir)
+    return c, own.unionByName(inter.select("i", "j", (F.lit(d_inter) * F.col("u")).alias("wt"), F.lit(0.0).alias("l")))
 
 
 LAYER_ADJ = ", ".join([LAYERED, adj("sym", "ledges").replace("adj AS (", "adj0 AS ("), CROSSING, "adj AS (SELECT * FROM adj0 UNION ALL SELECT 'g', i, j, w, 0 FROM inter)", "lrates AS (SELECT * FROM rates WHERE macro IN ('PT', 'DCT', 'TAL'))"])
-LAYER_RUN = ", ".join([COMPS, EDGES, DIMS, RATES, LAYER_ADJ, seeded(seed=0.1, source="lrates"), sim(30.0, 120)])
+LAYER_RUN = ", ".join([COMPS, EDGES, DIMS, RATES, LAYER_ADJ, seeded(seed=0.1, source="lrates"), sim(30.0, 120, bounded=True)])
 
 
 def layer_run(spark, sf_dir, d_inter=0.05):
     c, a = layered_adjacency(spark, sf_dir, d_inter)
-    return c, D.simulate(D.seeded(c, 0.1).withColumn("run_id", F.lit("base")), a, 30.0, 120)
+    return c, D.simulate(D.seeded(c, 0.1).withColumn("run_id", F.lit("base")), a, 30.0, 120, bounded=True)
 
 
 @query(ctes(LAYER_RUN) + SHOWN)

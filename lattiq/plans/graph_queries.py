@@ -157,12 +157,11 @@ def split_components(spark, sf_dir):
     return G.split_components(spot_graph(spark, sf_dir), labelled(spark, sf_dir), 5)
 
 
-@query(ctes(GRAPH) + "SELECT node, count(*) AS deg FROM (SELECT wsp.i, wsp.j FROM wsp JOIN lab a ON a.i = wsp.i JOIN lab b ON b.i = wsp.j WHERE w > 1e-4 AND wsp.i < wsp.j AND a.macro = 'PT' AND b.macro = 'PT') e, LATERAL (SELECT unnest([i, j]) AS node) GROUP BY 1")
+@query(ctes(GRAPH) + "SELECT macro, node, count(*) AS deg FROM (SELECT a.macro, wsp.i, wsp.j FROM wsp JOIN lab a ON a.i = wsp.i JOIN lab b ON b.i = wsp.j WHERE w > 1e-4 AND wsp.i < wsp.j AND a.macro = b.macro) e, LATERAL (SELECT unnest([i, j]) AS node) GROUP BY 1, 2")
 def induced_degree(spark, sf_dir):
-    """Degree of each spot within its layer's induced graph."""
-    lab = labelled(spark, sf_dir).where("macro = 'PT'")
-    e = G.induced(spot_graph(spark, sf_dir), lab)
-    return e.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
+    """Degree of each spot within its macro type's induced graph, for every macro type."""
+    e = G.induced_by(spot_graph(spark, sf_dir), labelled(spark, sf_dir), "macro")
+    return e.select("macro", F.explode(F.array("i", "j")).alias("node")).groupBy("macro", "node").agg(F.count("*").alias("deg"))
 
 
 TOPO = values(dims.TOPOLOGY, "topo", "ma, mb")

@@ -18,7 +18,7 @@ from .design_queries import GRID, MRUN, OUT, PART, PRE, SEED_SQL, SEEDS, SPAN, S
 from .dynamics_queries import EFLUX, KDYN, base_run, rates
 from .dynamics_queries import _k as k_matrix
 
-SINGLE = "tp AS (SELECT i AS ei, j AS ej, CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR) AS gid FROM ek ORDER BY round(k, 9) DESC, i, j LIMIT 5), gx AS (SELECT gid, ei, ej FROM tp UNION ALL SELECT 'none', -1, -1), gedges AS (SELECT gid, i, j, w FROM edges, gx WHERE NOT (i = ei AND j = ej) AND NOT (i = ej AND j = ei))"
+SINGLE = "tp AS (SELECT i AS ei, j AS ej, CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR) AS gid FROM ek ORDER BY round(k, 9) DESC, i, j LIMIT 10), gx AS (SELECT gid, ei, ej FROM tp UNION ALL SELECT 'none', -1, -1), gedges AS (SELECT gid, i, j, w FROM edges, gx WHERE NOT (i = ei AND j = ej) AND NOT (i = ej AND j = ei))"
 
 
 @query(
@@ -33,10 +33,10 @@ SINGLE = "tp AS (SELECT i AS ei, j AS ej, CAST(i AS VARCHAR) || '-' || CAST(j AS
     + " SELECT a.run_id, round(a.mean_inv_time - b.mean_inv_time, 6) AS delta_tinv, round(p.peak_d - q.peak_d, 6) AS delta_peak FROM cr2 a JOIN pk2 p USING (run_id), cr2 b JOIN pk2 q USING (run_id) WHERE a.run_id <> 'none' AND b.run_id = 'none'"
 )
 def edge_ablation_single(spark, sf_dir):
-    """The five edges of the largest flux removed one at a time, both directions each."""
+    """The ten edges of the largest flux removed one at a time, both directions each."""
     e = trade_graph(spark, sf_dir).cache()
     flux = X.edge_flux(base_run(spark, sf_dir).cache(), e, rates(spark, sf_dir), compartments(spark, sf_dir))
-    top = flux.orderBy(F.desc(F.round("flux", 9)), "i", "j").limit(5).select(F.col("i").alias("ei"), F.col("j").alias("ej"), F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).alias("graph_id"))
+    top = flux.orderBy(F.desc(F.round("flux", 9)), "i", "j").limit(10).select(F.col("i").alias("ei"), F.col("j").alias("ej"), F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")).alias("graph_id"))
     ids = top.unionByName(spark.createDataFrame([(-1, -1, "none")], "ei long, ej long, graph_id string")).cache()
     cut_ = (F.col("i") == F.col("ei")) & (F.col("j") == F.col("ej")) | (F.col("i") == F.col("ej")) & (F.col("j") == F.col("ei"))
     left = e.join(F.broadcast(ids), ~cut_).select("graph_id", "i", "j", "w")
@@ -46,7 +46,7 @@ def edge_ablation_single(spark, sf_dir):
     return o.where("run_id <> 'none'").crossJoin(F.broadcast(base)).select("run_id", F.round(F.col("mean_inv_time") - F.col("t0"), 6).alias("delta_tinv"), F.round(F.col("peak_d") - F.col("p0"), 6).alias("delta_peak"))
 
 
-VB = [round(0.6 + 1.2 * j / 5, 2) for j in range(6)]
+VB = [round(0.6 + 1.2 * j / 11, 2) for j in range(12)]
 
 
 @query(ctes(PRE, GRID, MRUN) + "SELECT round(va, 6) AS va, " + ", ".join(f"round(1 - max(global_r) FILTER (WHERE round(vb, 2) = {v}), 6) AS b{k}" for k, v in enumerate(VB)) + " FROM outs JOIN gd USING (run_id) GROUP BY va")

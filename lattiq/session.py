@@ -30,6 +30,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     except Exception:  # the setting is absent
         base = None
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lattiq_")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/lattiq/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
