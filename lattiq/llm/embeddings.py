@@ -14,8 +14,10 @@ Cells that outgrow BLOCK_ROWS are cut into blocks, each pair of blocks a task of
 than two blocks. A task gives the number of links of each of its vectors and the links of a spanning forest,
 never all pairs; components come from rounds over distributed tables.
 
-Defined cases: vectors that have no vec_id or are null, empty, zero, of another length than most, or hold null or non-finite
-components link with nothing; rows that repeat are separate vectors that link with each other; rows of one
+Vectors of each length have cells of their own, a single one where they are few.
+
+Defined cases: vectors that have no vec_id or are null, empty, zero, or hold null or non-finite components link with nothing;
+vectors of different lengths don't link; rows that repeat are separate vectors that link with each other; rows of one
 vec_id are one node of the components; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -34,7 +36,7 @@ from .common import arrow_map, components, forest, staged
 
 THRESHOLD, MARGIN, MARGIN_SAFE, BLOCK_ROWS = 0.95, 0.16, 0.64, 4096
 #: Sample rows a centroid, rounds of k-means, and the most centroids.
-SAMPLE_PER_CELL, ROUNDS, MAX_CELLS = 12, 6, 32_768
+SAMPLE_PER_CELL, ROUNDS, MAX_CELLS = 12, 6, 16_384
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -65,30 +67,41 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     good = (size > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("e", lambda v: v != 0)
     rows = rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)), F.transform("e", lambda v: v + F.lit(0.0))).alias("e"))
     rows = staged(rows, "vectors")
-    usual = rows.where("e is not null").groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = usual["n"]
-    rows = rows.withColumn("e", F.when(F.size("e") == dim, F.col("e")))
     distinct = staged(rows.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "distinct")
-    n = distinct.count()
-    k = max(1, min(MAX_CELLS, math.isqrt(n)))
-    order = F.xxhash64("e")
-    sample = np.array([r["e"] for r in distinct.orderBy(order, "node").limit(k * SAMPLE_PER_CELL).select("e").collect()], np.float64)
-    centroids = spherical_kmeans(_unit(sample), min(k, len(sample)))
-    held = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS rows
+    lengths = {r["n"]: r["count"] for r in distinct.groupBy(F.size("e").alias("n")).count().collect()}  # a row a length
+    if not lengths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    share = min(1.0, MAX_CELLS / sum(map(math.isqrt, lengths.values())))
+    cells, at = {}, 0  # length -> first cell, centroids (None: a single cell)
+    for length, n in sorted(lengths.items()):
+        k = int(share * math.isqrt(n)) if n > block_rows // 4 else 1
+        centroids = None
+        if k > 1:
+            chosen = distinct.where(F.size("e") == length).orderBy(F.xxhash64("e"), "node").limit(k * SAMPLE_PER_CELL).select("e").toArrow()
+            sample = chosen.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+            centroids = spherical_kmeans(_unit(sample), min(k, len(sample)))
+        cells[length] = (at, centroids)
+        at += 1 if centroids is None else len(centroids)
+    held = spark.sparkContext.broadcast(cells)  # at most MAX_CELLS centroids
 
     dtype = np.float32 if kind == "float" else np.float64
     placed_schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("home", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("v", T.BinaryType())])
 
     def place(b: pa.RecordBatch):
-        c = held.value
-        x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(b.num_rows, -1)
-        for a in range(0, len(x), 500):
-            s = _unit(x[a : a + 500]) @ c.T
-            best = np.argmax(s, axis=1)
-            near = s >= s[np.arange(len(s)), best][:, None] - margin
-            yield [b.column(1).slice(a, 500), b.column(2).slice(a, 500), best.astype(np.int32), [np.flatnonzero(r).astype(np.int32) for r in near], [v.tobytes() for v in x[a : a + 500]]]
+        sizes = b.column(0).value_lengths().to_numpy()
+        for length in np.unique(sizes).tolist():
+            first, centroids = held.value[length]
+            rows = np.flatnonzero(sizes == length)
+            for lo in range(0, len(rows), 500):
+                part = b.take(pa.array(rows[lo : lo + 500]))
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(part.num_rows, -1)
+                if centroids is None:
+                    best, near = np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
+                else:
+                    s = _unit(x) @ centroids.T
+                    best = np.argmax(s, axis=1)
+                    near = s >= s[np.arange(len(s)), best][:, None] - margin
+                yield [part.column(1), part.column(2), (first + best).astype(np.int32), [(first + np.flatnonzero(r)).astype(np.int32) for r in near], [v.tobytes() for v in x]]
 
     placed = staged(arrow_map(distinct.select("e", "node", "copies"), place, placed_schema), "placed")
     cells = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))

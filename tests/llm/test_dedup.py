@@ -138,6 +138,24 @@ def test_embeddings_equal_brute_force(spark, block):
     assert all(r["n_links"] == 0 for r in got if r["vec_id"] >= 900)
 
 
+def test_vectors_of_each_length_link_among_themselves(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for length, n in ((8, 90), (3, 60), (1, 5)):
+        x = rng.normal(size=(n, length))
+        x = np.concatenate([x, x[: n // 3] + 0.02 * rng.normal(size=(n // 3, length))])
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T >= 0.95
+        np.fill_diagonal(near, False)
+        for v, k in zip(x, near.sum(axis=1)):
+            want[len(rows)] = int(k)
+            rows.append((len(rows), v.tolist(), 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for block in (64, 4096):  # several cells a length, or one
+        got = embeddings.embedding_dedup(df, margin=embeddings.MARGIN_SAFE, block_rows=block).collect()
+        assert {r["vec_id"]: r["n_links"] for r in got} == want
+
+
 def test_embeddings_recall_and_empty(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     pdf = v.toPandas()
