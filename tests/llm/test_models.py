@@ -45,6 +45,30 @@ def test_quality_density_equals_the_formula():
     assert np.allclose(m.score(x), want)
 
 
+def test_quality_fit_equals_plain_python(spark):
+    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
+    model = quality.fit(quality.features(docs), labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    import zlib
+
+    known = [(texts[r["doc_id"]], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["quality"] in (0, 1)]
+    x, y = np.array([quality.statistics(t) for t, _ in known]), np.array([k for _, k in known])
+    covs = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    n = np.bincount(y)
+    both = (n[0] * covs[0] + n[1] * covs[1]) / n.sum()
+    for k in (0, 1):
+        assert np.allclose(model.means[k], x[y == k].mean(axis=0))
+        shrunk = (1 - quality.SHRINK_POOLED - quality.SHRINK_UNIT) * covs[k] + quality.SHRINK_POOLED * both + quality.SHRINK_UNIT * np.trace(both) / len(both) * np.eye(len(both))
+        assert np.allclose(model.factors[k] @ shrunk @ model.factors[k].T, np.eye(len(both)), atol=1e-6)
+        assert np.isclose(model.terms[k], np.log(n[k] / n.sum()) - 0.5 * np.linalg.slogdet(shrunk)[1])
+
+
+def test_classes_of_code_points_beyond_the_table_and_within():
+    kinds = {"a": quality.LOWER, "É": quality.UPPER, "7": quality.DIGIT, ".": quality.MARK, "#": quality.SYMBOL, "\u3000": quality.SPACE, "日": quality.LOWER, "한": quality.LOWER, "Ａ": quality.UPPER, "\ufffd": quality.SYMBOL, "\ue000": quality.SYMBOL, "😀": quality.SYMBOL, "𝐀": quality.UPPER, "𠀀": quality.LOWER, "𝟗": quality.DIGIT}
+    assert quality.classes("".join(kinds)).tolist() == list(kinds.values())
+    assert quality.statistics("\ufffd" * 50) == quality.statistics("#" * 50)
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd_docs, labels).collect()
