@@ -1,17 +1,20 @@
-"""Synthetic tissue with a known truth: a jittered grid, zones, types, counts. Every draw is a hash of its key."""
+"""Synthetic tissue with a known truth: a jittered grid, zones, types, counts.
+
+Draws of single rows are hashes of their keys. What depends on a whole tissue (smooth fields, dispersions of genes, spread)
+is drawn in one task a tissue, which has some thousand spots.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Cell types, their shares by zone, and marker genes of types and zones.
-TYPES = ("PT", "DCT", "TAL", "vascular", "immune", "other")
-SHARES = {"cortex": (0.55, 0.20, 0.05, 0.10, 0.05, 0.05), "outer_medulla": (0.30, 0.10, 0.40, 0.10, 0.05, 0.05), "inner_medulla": (0.10, 0.10, 0.45, 0.15, 0.05, 0.15)}
-PANEL = {"PT": ("Lrp2", "Slc34a1", "Cubn"), "DCT": ("Slc12a3", "Pvalb"), "TAL": ("Umod", "Slc12a1"), "vascular": ("Pecam1", "Emcn"), "immune": ("Ptprc", "Cd74"), "other": ("Col1a1", "Acta2"), "cortex": ("Nphs1",), "outer_medulla": ("Aqp1",), "inner_medulla": ("Aqp2",), "injury": ("Havcr1", "Lcn2")}
-
+from . import benchmark
+from .benchmark import SHARES, TYPES
 
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A number in (0, 1) from a hash: the same for the same keys on any cluster."""
@@ -34,7 +37,7 @@ def zones(spots: DataFrame, noise: float = 0.05, seed: int = 0) -> DataFrame:
     """spots with zone: noisy radial thirds, cortex outside."""
     c = spots.join(F.broadcast(spots.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))))
     d = c.withColumn("_d", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2))
-    d = d.join(F.broadcast(d.agg(F.max("_d").alias("_top")))).withColumn("_d", F.col("_d") / F.col("_top") + noise * normal(seed + 2, "spot"))
+    d = d.join(F.broadcast(d.agg(F.max("_d").alias("_top")))).withColumn("_d", F.col("_d") / F.col("_top") * (1 + noise * normal(seed + 2, "spot")))
     q = d.agg(F.percentile("_d", 1 / 3).alias("_a"), F.percentile("_d", 2 / 3).alias("_b"))
     zone = F.when(F.col("_d") <= F.col("_a"), "inner_medulla").when(F.col("_d") <= F.col("_b"), "outer_medulla").otherwise("cortex")
     return d.join(F.broadcast(q)).select(*spots.columns, zone.alias("zone"))
@@ -49,25 +52,56 @@ def cell_types(spots: DataFrame, seed: int = 0) -> DataFrame:
     return spots.join(best, "spot")
 
 
-def expression(spots: DataFrame, damage: DataFrame, sigma: float = 0.3, housekeeping: int = 60, dropout: float = 0.05, seed: int = 0) -> DataFrame:
-    """spot, gene, count: panel and housekeeping genes raised by type, zone and damage (spot, d), with depth, noise and dropout.
+def _once(spark: SparkSession, fn, schema: str) -> DataFrame:
+    return spark.range(1).groupBy("id").applyInPandas(lambda _: fn(), schema)
+
+
+def whole_tissue(spark: SparkSession, side: int = benchmark.SIDE, seed: int = 0) -> DataFrame:
+    """spot, x, y, zone, type of a tissue whose types follow zones and smooth preferences."""
+
+    def draw() -> pd.DataFrame:
+        xy, zone, kind = benchmark.tissue(np.random.default_rng([seed, 0]), side)
+        return pd.DataFrame({"spot": np.arange(len(xy)), "x": xy[:, 0], "y": xy[:, 1], "zone": zone, "type": kind})
+
+    return _once(spark, draw, "spot long, x double, y double, zone string, type string")
+
+
+def spot_truth(spark: SparkSession, side: int = benchmark.SIDE, seed: int = 0) -> DataFrame:
+    """spot, zone, type, t_act (null if never), d_seen, d_end of the spread over a whole tissue's own graph."""
 
-    Counts are rounded log-normal draws around the mean, so their spread grows with it as in real counts.
+    def solve() -> pd.DataFrame:
+        xy, zone, kind = benchmark.tissue(np.random.default_rng([seed, 0]), side)
+        rate = np.array([benchmark.dims.MACRO_RATES[k] for k in kind])
+        t, d = benchmark.spread(benchmark.knn_edges(xy), rate[:, 0], rate[:, 1], np.where(zone == "outer_medulla", benchmark.SEED, 0.0))
+        hit = d >= benchmark.ACTIVE
+        act = [float(t[k]) if any_ else None for k, any_ in zip(hit.argmax(axis=0), hit.any(axis=0))]
+        return pd.DataFrame({"spot": np.arange(len(xy)), "zone": zone, "type": kind, "t_act": act, "d_seen": d[np.searchsorted(t, benchmark.T_SEEN)], "d_end": d[-1]})
+
+    return _once(spark, solve, "spot long, zone string, type string, t_act double, d_seen double, d_end double")
+
+
+def expression(spots: DataFrame, damage: DataFrame, sigma: float = 0.25, housekeeping: int = 60, seed: int = 0) -> DataFrame:
+    """spot, gene, count: negative binomial counts of panel and housekeeping genes raised by type, zone and damage (spot, d).
+
+    Dispersions are a draw a gene, so a tissue (spots with type and zone) is drawn in one task.
     """
-    genes = [(g, k) for k, gs in PANEL.items() for g in gs] + [(f"hk{n}", "hk") for n in range(housekeeping)]
-    dim = spots.sparkSession.createDataFrame(genes, "gene string, kind string")
-    e = spots.join(damage, "spot", "left").crossJoin(F.broadcast(dim))  # spots by a fixed panel
-    mean = F.when(F.col("kind") == "hk", 4.0).when((F.col("kind") == F.col("type")) | (F.col("kind") == F.col("zone")), 12.0).when(F.col("kind") == "injury", 1.0 + 20.0 * F.coalesce("d", F.lit(0.0))).otherwise(0.6)
-    depth = F.exp(0.3 * normal(seed + 4, "spot"))
-    value = mean * depth * F.exp(F.lit(sigma) * normal(seed + 5, "spot", "gene") - sigma * sigma / 2)
-    kept = uniform(seed + 6, "spot", "gene") >= dropout
-    return e.select("spot", "gene", F.when(kept, F.round(value)).otherwise(0.0).alias("count"))
-
-
-def inject_errors(labels: DataFrame, level: float, seed: int = 0) -> DataFrame:
-    """labels (spot, type) with noisy: a share of types replaced by the next one in order."""
-    order = F.array(*[F.lit(t) for t in TYPES])
-    nxt = F.element_at(order, (F.array_position(order, F.col("type")) % len(TYPES) + 1).cast("int"))
+    rows = spots.select("spot", "type", "zone").join(damage.select("spot", "d"), "spot", "left").withColumn("_g", F.lit(0))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("spot")
+        x, names = benchmark.counts(np.random.default_rng([seed, 1]), pdf["type"].to_numpy(), pdf["zone"].to_numpy(), pdf["d"].fillna(0.0).to_numpy(), sigma, housekeeping)
+        return pd.DataFrame({"spot": np.repeat(pdf["spot"].to_numpy(), len(names)), "gene": np.tile(names, len(pdf)), "count": x.ravel().astype(float)})
+
+    return rows.groupBy("_g").applyInPandas(draw, "spot long, gene string, count double")
+
+
+def inject_errors(labels: DataFrame, level: float, seed: int = 0, mode: str = "adjacent") -> DataFrame:
+    """labels (spot, type) with noisy: a share of types replaced by a neighbouring type (adjacent) or any other (uniform)."""
+    if mode == "adjacent":
+        others = F.create_map(*[x for t, near in benchmark.NEIGHBOURS.items() for x in (F.lit(t), F.array(*[F.lit(k) for k in near]))])[F.col("type")]
+    else:
+        others = F.filter(F.array(*[F.lit(t) for t in TYPES]), lambda t: t != F.col("type"))
+    nxt = F.element_at(others, (F.floor(uniform(seed + 9, "spot") * F.size(others)) + 1).cast("int"))
     return labels.withColumn("noisy", F.when(uniform(seed + 7, "spot") < level, nxt).otherwise(F.col("type")))
 
 

@@ -7,59 +7,72 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.columns import r6
 from ..operators import annotate as A
-from ..operators import dynamics as D
-from ..operators import graph as G
+from ..operators import benchmark as B
 from ..operators import metrics as M
-from ..operators import params as P
+from ..operators import stats as S
 from ..operators import synthetic as Y
+from ..session import cut
 from ..sources.testdata import trade_graph
 from .catalog import BASE, COMPS, DIMS, GRAPH, RATES, ctes, query
 from .dynamics_queries import base_run, rates
 from .graph_queries import labelled
 
 
-def tissue(spark, side=24):
-    return Y.cell_types(Y.zones(Y.hex_grid(spark, side)))
-
-
 @query()
 def synthetic_tissue(spark, sf_dir):
-    return tissue(spark).select("spot", r6("x"), r6("y"), "zone", "type")
+    return Y.whole_tissue(spark).select("spot", r6("x"), r6("y"), "zone", "type")
 
 
 @query()
 def nb_expression(spark, sf_dir):
-    t = tissue(spark, 16)
-    e = Y.expression(t, t.select("spot", F.when(F.col("zone") == "outer_medulla", 0.5).otherwise(0.0).alias("d")))
+    """Mean and variance of each gene's negative binomial counts over a whole tissue under its own spread."""
+    e = Y.expression(Y.whole_tissue(spark), Y.spot_truth(spark).select("spot", F.col("d_seen").alias("d")))
     return e.groupBy("gene").agg(F.avg("count").alias("mean"), F.var_samp("count").alias("var")).select("gene", r6("mean"), r6("var"))
 
 
 @query()
 def error_injection(spark, sf_dir):
-    t = Y.inject_errors(tissue(spark), 0.2)
-    return t.groupBy("type").agg(F.round(F.avg((F.col("type") != F.col("noisy")).cast("double")), 6).alias("error"), F.count("*").alias("n"))
+    """Share of wrong labels by type, for both ways of erring."""
+    t = Y.whole_tissue(spark)
+    both = Y.inject_errors(t, 0.2).withColumn("mode", F.lit("adjacent")).unionByName(Y.inject_errors(t, 0.2, mode="uniform").withColumn("mode", F.lit("uniform")))
+    return both.groupBy("mode", "type").agg(F.round(F.avg((F.col("type") != F.col("noisy")).cast("double")), 6).alias("error"), F.count("*").alias("n"))
 
 
 @query()
 def blind_annotation(spark, sf_dir):
     """Types found from counts by their panel's profiles, against the truth."""
-    t = tissue(spark, 16)
-    v = A.normalise_log1p(Y.expression(t, t.select("spot", F.lit(0.0).alias("d"))))
-    prof = spark.createDataFrame([(k, g, 1.0) for k in Y.TYPES for g in Y.PANEL[k]], "type string, gene string, value double")
+    t = Y.whole_tissue(spark)
+    v = Y.expression(t, t.select("spot", F.lit(0.0).alias("d")), 0.1).select("spot", "gene", F.log1p("count").alias("value"))
+    prof = spark.createDataFrame([(k, g, 1.0) for k, panel in B.TYPE_GENES.items() for g in panel], "type string, gene string, value double")
     found = Y.blind_types(v, prof).select("spot", F.col("type").alias("found"))
     return A.agreement(t.join(found, "spot"), "type", "found").select(r6("concordance"), r6("ari"), r6("nmi"))
 
 
 @query()
 def spot_level_truth(spark, sf_dir):
-    """Spot-level spread on the tissue's own graph: first activation by zone."""
-    t = tissue(spark, 16)
-    e = G.gaussian_graph(G.knn(t, 6).cache())
-    c = P.default_rates(t.select(F.col("spot").alias("node"), F.concat_ws("_", "type", "zone").alias("comp"), F.col("type").alias("macro"), F.col("zone").alias("region"), (F.col("zone") == "outer_medulla").alias("is_boundary")))
-    run = D.seeded(c.withColumn("d_h", F.lit(0.0)).withColumn("d_d", F.lit(0.0)), 0.05).withColumn("run_id", F.lit("truth"))
-    traj = D.simulate(run, G.adjacency(e, "row"), 15.0, 150, renormalise=True)
-    first = M.crossing_time(traj, 0.1, strict=False).join(t.select(F.col("spot").alias("node"), "zone"), "node")
-    return first.groupBy("zone").agg(F.round(F.avg("t_cross"), 6).alias("mean_t"), F.count("t_cross").alias("n"))
+    """Spot-level spread on a whole tissue's own graph: first activation by zone."""
+    return Y.spot_truth(spark).groupBy("zone").agg(F.round(F.avg("t_act"), 6).alias("mean_t"), F.count("t_act").alias("n"))
+
+
+@query()
+def benchmark_grid(spark, sf_dir):
+    """All 880 runs: rising noise, and one misspecified factor at a time."""
+    return B.aggregate(B.run(B.design(spark)), "factor", "level", "noise").select("factor", "level", "noise", "metric", r6("mean"), r6("sd"), "n")
+
+
+@query()
+def benchmark_shares(spark, sf_dir):
+    """How much of the loss (error less spatial correlation) noise and misspecification explain, over a replicate of each run in ten."""
+    rows = cut(B.run(B.design(spark, 5, 3)), "runs").na.drop(subset=["rmse_d", "r_spatial"])
+    rows = rows.select("rmse_d", "r_spatial", "noise", *[F.when(F.col("factor") == f, F.abs("level")).otherwise(0.0).alias(f) for f in B.FACTORS])
+    return S.loss_shares(rows, {"rmse_d": 1.0, "r_spatial": -1.0}, ["noise", *B.FACTORS]).select("factor", r6("partial_r2"), F.round("share", 4).alias("share"))
+
+
+@query()
+def diagnosis_grid(spark, sf_dir):
+    """All 390 runs by whose labels are used, by how labels err, by how exposure is weighted."""
+    rows = B.run(B.diagnosis(spark))
+    return B.aggregate(rows, "block", "labels", "level", "error_mode", "exposure").select("block", "labels", "level", "error_mode", "exposure", "metric", r6("mean"), r6("sd"), "n")
 
 
 @query(ctes(BASE, GRAPH, "vals AS (SELECT macro, avg(d) AS d FROM traj JOIN comps USING (node) WHERE t_idx = 120 GROUP BY 1)") + "SELECT spot, round(coalesce(d, 0), 6) AS d FROM lab LEFT JOIN vals USING (macro)")

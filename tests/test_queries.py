@@ -26,7 +26,10 @@ def test_query_equals_sql(spark, con, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+LONG = {"benchmark_grid", "benchmark_shares", "diagnosis_grid"}  # hundreds of runs; test_benchmark.py takes their parts
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - LONG))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
     spark.catalog.clearCache()
