@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lattiq_")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_folder(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
+@cache
+def _own_folder(app: str) -> str:
+    """One folder an application; the setting itself can't be changed in a running session."""
+    return "file://" + tempfile.mkdtemp(prefix="lattiq_")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lattiq/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -46,7 +53,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables that staged() wrote and that nothing reads any more: what came of them is staged too."""
+    for t in tables:
+        drop_path(t.sparkSession, t.staged_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -198,11 +213,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved].astype(np.int64), nodes[label[moved]].astype(np.int64)
 
 
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a long, b long) -> (node, component), component the smallest node.
 
     Rounds of large-star and small-star over a distributed edge table, each round written to the shared
-    folder. Nodes without an edge are not listed. Raises if it has not settled after the given rounds.
+    folder, from which the round before is deleted, until only flat stars are left. Nodes without an edge are not listed.
     """
 
     def local(batches):
@@ -213,7 +228,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     schema = "a long, b long"
     star = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     star = staged(star.mapInArrow(local, schema), f"{name}-edges")
-    for k in range(rounds):
+    for k in count():
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the minima are written apart from the joins, so that Spark may split a node with very many links there
         low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low{k}")
@@ -221,11 +236,11 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         large = staged(large, f"{name}-large{k}")
         least = staged(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least{k}")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        star = staged(small, f"{name}-round{k}")
+        last, star = star, staged(small, f"{name}-round{k}")
+        unstage(last, low, large, least)
         single = star.groupBy("a").count().where("count > 1").isEmpty()
         if single and star.join(star.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():  # flat stars: settled
             return star.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    raise RuntimeError(f"{name}: components did not settle in {rounds} rounds")
 
 
 def text_sha():

@@ -5,8 +5,9 @@ by content within hash partitions and numbered. Names of adjacent blocks are pai
 same way, and so on, until each text has one name. Two texts have the same identity exactly if they are the
 same bytes; no hash is trusted.
 
-Within an Arrow batch a block is sent to the sort once, with a reference that its other places share, so a
-block that a third of all texts hold reaches the sort once a batch, not once a text.
+A block is sent to the sort once an Arrow batch, with a reference that its other places share; the blocks met last
+are remembered by a task over its batches (RECENT_BLOCKS of them), so a block that a third of all texts hold reaches
+the sort once a task, not once a text.
 
 Defined cases: a null text is the empty text; A-Z alone are folded; rows that repeat a doc_id and text are
 members of one group, of which one row is kept; an empty table gives an empty result; further columns of the
@@ -16,15 +17,18 @@ input are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, byte_batches, only, staged
+from .common import arrow_map, byte_batches, only, staged, unstage
 
 BLOCK_BYTES = 8192
+#: Blocks that a task remembers from batch to batch: at most 16 MiB of them.
+RECENT_BLOCKS = 2048
 
 _CUT = T.StructType([
     T.StructField("uid", T.LongType()),
@@ -38,6 +42,7 @@ _CUT = T.StructType([
 
 def _cutter(block_bytes: int):
     count = {"rows": 0, "refs": 0}
+    recent: OrderedDict[bytes, int] = OrderedDict()  # block -> ref, the one met last at the end
 
     def cut(b: pa.RecordBatch):
         from pyspark import TaskContext
@@ -54,14 +59,22 @@ def _cutter(block_bytes: int):
                     block = raw[at : at + block_bytes]
                     ref = seen.get(block)
                     if ref is None:
-                        ref = seen[block] = base + count["refs"]
-                        count["refs"] += 1
-                        fresh.append({"ref": ref, "block": block})
+                        ref = recent.get(block)
+                        if ref is None:
+                            ref = base + count["refs"]
+                            count["refs"] += 1
+                            fresh.append({"ref": ref, "block": block})
+                        seen[block] = ref
                     refs.append(ref)
                 for col, x in zip(out, (base + count["rows"], doc_id, hashlib.sha256(raw).hexdigest(), len(refs), refs, fresh)):
                     col.append(x)
                 count["rows"] += 1
             yield out
+        for block, ref in seen.items():
+            recent[block] = ref
+            recent.move_to_end(block)
+            if len(recent) > RECENT_BLOCKS:
+                recent.popitem(last=False)
 
     return cut
 
@@ -89,8 +102,10 @@ def _numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 def _named_pairs(pairs: DataFrame, name: str) -> DataFrame:
     """(uid, pos, a, b) -> (uid, pos, name)."""
     keyed = pairs.select("a", "b").distinct().select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
-    names = _numbered(keyed.repartition("x", "y").sortWithinPartitions("x", "y"), ["x", "y"], name)
-    return pairs.join(names, ["a", "b"]).select("uid", "pos", "name")
+    names = _numbered(keyed.repartition("x", "y").sortWithinPartitions("x", "y"), ["x", "y"], f"names-{name}")
+    level = staged(pairs.join(names, ["a", "b"]).select("uid", "pos", "name"), f"level-{name}")
+    unstage(pairs, names)
+    return level
 
 
 def text_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -100,6 +115,8 @@ def text_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     named = _numbered(fresh.repartition("block").sortWithinPartitions("block"), ["block"], "names")
     level = cut.select("uid", "n_blocks", F.posexplode("refs").alias("pos", "ref")).join(named, "ref").select("uid", "n_blocks", "pos", "name")
     level = staged(level, "level0")
+    unstage(named)
+    levels = [level]
     longest = cut.agg(F.max("n_blocks")).first()[0] or 1
     width, done = 1, [level.where("n_blocks = 1").select("uid", "name")]
     level = level.where("n_blocks > 1").select("uid", "pos", "name")
@@ -110,14 +127,17 @@ def text_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         pairs = staged(pairs, f"pairs{width}")
-        level = staged(_named_pairs(pairs, f"names{width}"), f"level{width}")
+        level = _named_pairs(pairs, str(width))
+        levels.append(level)
         tops = level.groupBy("uid").agg(F.count("*").alias("n"), F.max("name").alias("name"))
         done.append(tops.where("n = 1").select("uid", "name"))
         level = level.join(tops.where("n = 1"), "uid", "left_anti").select("uid", "pos", "name")
     ended = done[0]
     for d in done[1:]:
         ended = ended.unionByName(d)
-    return staged(cut.select("uid", "doc_id", "text_sha256", "n_blocks").join(ended, "uid"), "identity")
+    identity = staged(cut.select("uid", "doc_id", "text_sha256", "n_blocks").join(ended, "uid"), "identity")
+    unstage(cut, *levels)
+    return identity
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -50,6 +50,33 @@ def test_exact_equals_grouping_by_text(odd_docs, block):
     assert sorted(kept) == sorted(sha)
 
 
+def test_exact_blocks_common_to_batches(spark, monkeypatch):
+    """A block reaches the sort once a task; forgotten ones are sent again and change no group."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(k, "same head. " + ("tail" if k % 4 else f"own {k}")) for k in range(40)] + [(99, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        cut = exact.arrow_map(docs, exact._cutter(11), exact._CUT).collect()
+        assert sum(f["block"] == b"same head. " for r in cut for f in r["fresh"]) == 1
+        for limit in (1, 2048):
+            monkeypatch.setattr(exact, "RECENT_BLOCKS", limit)
+            got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.exact_dedup(docs, 11).collect()}
+            alike = [k for k in range(40) if k % 4]
+            assert got == {99: (99, 1)} | {k: (39, len(alike)) if k % 4 else (k, 1) for k in range(40)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def test_staged_tables_are_deleted(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * (k % 5)) for k in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert exact.text_names(docs, 8).count() == 20
+    links = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 100 != 99], "a long, b long")
+    assert {(r["node"], r["component"]) for r in common.components(links, "path").collect()} == {(k, k // 100 * 100) for k in range(300) if k % 100}
+    left = sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "lattiq" / spark.sparkContext.applicationId).iterdir())
+    assert len(left) == 2 and left[0] == "identity" and left[1].startswith("path-round")
+
+
 def test_exact_empty_and_stage(odd_docs, no_docs):
     assert exact.exact_dedup(no_docs).collect() == []
     kept = exact.keep_one(odd_docs)
