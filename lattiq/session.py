@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,12 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
     return builder.config(map=defaults | conf).getOrCreate()
 
 
+@cache
+def _own_folder(app: str) -> str:
+    """One folder an application; the setting itself can't be changed in a running session."""
+    return "file://" + tempfile.mkdtemp(prefix="lattiq_")
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir) and read again: lineage ends there, and any executor can read it."""
     spark = df.sparkSession
@@ -32,8 +39,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lattiq_")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder(spark.sparkContext.applicationId)
     path = f"{base.rstrip('/')}/lattiq/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

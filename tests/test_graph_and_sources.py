@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.operators import annotate, graph, metrics, stats, synthetic
+from lattiq.session import cut
 from lattiq.sources import readers
 
 
@@ -180,3 +181,9 @@ def test_scaling_scores_and_clusters(spark):
     assert {(r["spot"], r["zone"]): r["score"] for r in sc.collect()} == {(1, "z1"): -1.5, (1, "z2"): 1.5, (2, "z1"): -0.5, (2, "z2"): 0.5}
     c = spark.createDataFrame([(1, "k"), (2, "k")], "spot long, cluster string")
     assert [tuple(r) for r in annotate.cluster_labels(sc, c).collect()] == [("k", "z2")]
+
+
+def test_cut_without_a_shared_folder(spark, monkeypatch):
+    """In local mode a table is cut to a folder of the application where spark.checkpoint.dir is empty."""
+    monkeypatch.setattr(type(spark.conf), "get", lambda *_: "")
+    assert cut(spark.range(3), "own").count() == 3
