@@ -11,10 +11,11 @@ from ..operators import dynamics as D
 from ..operators import graph as G
 from ..operators import matrices as X
 from ..operators import metrics as M
+from ..operators import params as P
 from ..operators import stats as S
 from ..sources.testdata import compartments, table, trade_graph
-from .catalog import BASE, CROSS, adj, ctes, query, seeded, sim, values
-from .design_queries import GRID, MRUN, OUT, PART, PRE, SEED_SQL, SEEDS, SPAN, STEP, _grid, _outputs, _part_outputs, _runs, _seeded_runs, per_graph
+from .catalog import BASE, COMPS, CROSS, DIMS, EDGES, OUTER, OUTPUTS, adj, ctes, query, seeded, sim, values
+from .design_queries import GRID, MRUN, OUT, OUT_SQL, PART, PRE, SEED_SQL, SEEDS, SPAN, STEP, _grid, _outputs, _part_outputs, _runs, _seeded_runs, per_graph
 from .dynamics_queries import EFLUX, KDYN, base_run, rates
 from .dynamics_queries import _k as k_matrix
 
@@ -116,3 +117,37 @@ def group_contrast(spark, sf_dir):
 @query("SELECT lang, source, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY CUBE (lang, source)")
 def group_cube(spark, sf_dir):
     return table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+
+
+#: Runs of the simplified model: a multiplier of recovery each.
+SIMPLE = [("base", 1.0), ("uniform", 1.0), ("no_vascular", 1.0), ("cortex", 1.0), ("inner", 1.0), ("vascular", 1.0), ("rho0.5", 0.5), ("rho0.75", 0.75), ("rho1.25", 1.25), ("rho1.5", 1.5)]
+SIMPLE_SEED = "CASE run_id WHEN 'cortex' THEN region = 'cortex' WHEN 'inner' THEN region IN ('inner_medulla', 'core') WHEN 'vascular' THEN macro = 'vascular' ELSE is_boundary END"
+
+
+@query(
+    ctes(
+        COMPS, EDGES, DIMS, OUTER, values(SIMPLE, "sm", "run_id, m"),
+        "gedges AS (SELECT 'whole' AS gid, i, j, w FROM edges UNION ALL SELECT 'cut', i, j, w FROM edges JOIN comps a ON a.node = i JOIN comps b ON b.node = j WHERE a.macro <> 'vascular' AND b.macro <> 'vascular')",
+        adj("row", "gedges", by="gid"),
+        "mu AS (SELECT avg(beta) AS mb, avg(rho) AS mr2, avg(d_d) AS md FROM rates)",
+        "sr AS (SELECT run_id, CASE WHEN run_id = 'no_vascular' THEN 'cut' ELSE 'whole' END AS gid, node, macro, region, is_boundary, CASE WHEN run_id = 'uniform' THEN mb ELSE beta END AS beta, m * CASE WHEN run_id = 'uniform' THEN mr2 ELSE rho END AS rho, d_h, CASE WHEN run_id = 'uniform' THEN md ELSE d_d END AS d_d FROM rates, sm, mu)",
+        seeded(where=SIMPLE_SEED, run="run_id", g="gid", source="sr"),
+        sim(60.0, 240, True), OUTPUTS,
+    )
+    + f"SELECT run_id, {OUT_SQL} FROM outs"
+)
+def simplified_controls(spark, sf_dir):
+    """Controls on the simplified model in one design: uniform rates, no vascular edges, other seeds, scaled recovery."""
+    c = P.default_rates(compartments(spark, sf_dir), outer_only=True)
+    mean = c.agg(F.avg("beta").alias("mb"), F.avg("rho").alias("mr"), F.avg("d_d").alias("md"))  # one row
+    runs = spark.createDataFrame(SIMPLE, "run_id string, m double")
+    even = F.col("run_id") == "uniform"
+    c = c.crossJoin(F.broadcast(runs)).crossJoin(F.broadcast(mean))
+    c = c.withColumn("beta", F.when(even, F.col("mb")).otherwise(F.col("beta"))).withColumn("rho", F.col("m") * F.when(even, F.col("mr")).otherwise(F.col("rho"))).withColumn("d_d", F.when(even, F.col("md")).otherwise(F.col("d_d")))
+    c = c.withColumn("graph_id", F.when(F.col("run_id") == "no_vascular", "cut").otherwise("whole")).drop("m", "mb", "mr", "md")
+    e = trade_graph(spark, sf_dir).select("i", "j", "w").cache()
+    v = compartments(spark, sf_dir).where("macro = 'vascular'").select(F.col("node").alias("i"))
+    less = e.join(v, "i", "left_anti").join(v.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j", "w")
+    both = e.withColumn("graph_id", F.lit("whole")).unionByName(less.withColumn("graph_id", F.lit("cut")))
+    traj = D.simulate(D.seeded(c, 0.05, F.expr(SIMPLE_SEED)), per_graph(both, "row"), 60.0, 240, conserve=True)
+    return _outputs(spark, sf_dir, traj).select("run_id", *[r6(x) for x in OUT])
