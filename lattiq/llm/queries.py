@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, embeddings, exact, html, langid, mixing, packing, quality, simhash, warc
+from . import castore, embeddings, exact, html, langid, mixing, packing, quality, rules, simhash, warc
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,12 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op5_wrapper_extraction, op6_simhash_bktree, op7_block_naming, op8_spherical_kmeans, op9_ppm_langid, op10_zstd_warc)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op5_wrapper_extraction, op6_simhash_bktree, op7_block_naming, op8_spherical_kmeans, op9_ppm_langid, op10_zstd_warc, op12_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -76,4 +80,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
+        "op12_quality_rules": f"""
+            WITH d AS (
+              SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+            w AS (
+              SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+              FROM d),
+            g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+            p AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+            c AS (SELECT r, count(DISTINCT i + k) AS n FROM p, (VALUES (0), (1), (2)) AS three(k) GROUP BY r),
+            s AS (
+              SELECT doc_id, len(ws) AS n_words, list_sum(list_transform(ws, lambda x: length(x))) AS word_chars,
+                     len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+                     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+                     len(regexp_extract_all(t, '!')) AS shouts,
+                     len(list_filter(ws, lambda x: list_contains([{", ".join(repr(x) for x in sorted({x for line in rules.STOP_WORDS.values() for x in line.split()}))}], lower(x)))) AS stops,
+                     len(list_filter(ls, lambda x: regexp_matches(x, '^[ \\t\\n\\x0B\\f\\r]*[-*•]'))) AS bullets,
+                     len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t\\n\\x0B\\f\\r]*$'))) AS dots
+              FROM w LEFT JOIN c USING (r)),
+            b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+            SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+                   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+                   NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.1::DOUBLE AND shouts / n_words <= 0.2::DOUBLE
+                   AND stops / n_words >= 0.03::DOUBLE AND n_dup_lines / n_lines <= 0.5 AND bullets / n_lines <= 0.9::DOUBLE AND dots / n_lines <= 0.3::DOUBLE AS kept
+            FROM b""",
     }
