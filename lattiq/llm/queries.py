@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import castore, embeddings, exact, html, langid, mixing, packing, quality, rules, simhash, warc
+from . import castore, embeddings, exact, hardneg, html, langid, mixing, packing, quality, rules, simhash, warc
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +55,16 @@ def op10_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op5_wrapper_extraction, op6_simhash_bktree, op7_block_naming, op8_spherical_kmeans, op9_ppm_langid, op10_zstd_warc, op12_quality_rules)}
+    return {f.__name__: f for f in (op1_pareto_mixing, op2_content_store, op3_best_fit_packing, op4_shrinkage_qda, op5_wrapper_extraction, op6_simhash_bktree, op7_block_naming, op8_spherical_kmeans, op9_ppm_langid, op10_zstd_warc, op11_dual_tree_negatives, op12_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -80,6 +84,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
+        "op11_dual_tree_negatives": """
+            WITH v AS (
+              SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+              FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+              SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q)
+              WHERE a.vec_id % 100 = 0),
+            p AS (SELECT r, anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, other) AS k FROM s WHERE same QUALIFY k <= 5),
+            n AS (
+              SELECT p.anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+                     row_number() OVER (PARTITION BY p.r, k ORDER BY score DESC, other) AS rank
+              FROM p JOIN s ON s.r = p.r AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+            SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
         "op12_quality_rules": f"""
             WITH d AS (
               SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
