@@ -29,9 +29,8 @@ def _own_folder(app: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="lattiq_")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir) and read again: lineage ends there, and any executor can read it."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (spark.checkpoint.dir)."""
     try:
         base = spark.conf.get("spark.checkpoint.dir")
     except Exception:  # the setting is absent
@@ -40,6 +39,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own_folder(spark.sparkContext.applicationId)
-    path = f"{base.rstrip('/')}/lattiq/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/lattiq/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder (spark.checkpoint.dir) and read again: lineage ends there, and any executor can read it."""
+    spark = df.sparkSession
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
