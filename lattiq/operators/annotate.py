@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,33 +87,6 @@ def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return r.where("k = 1").select("i", "label", "share")
 
 
-def feature_knn(queries: DataFrame, reference: DataFrame, k: int = 15, block: int = 8192) -> DataFrame:
-    """i, j, d, rank: the k nearest rows of reference (j, v ARRAY<DOUBLE>) to each row of queries (i, v), exact, ties by j.
-
-    Both sides are cut into blocks by hash and each pair of blocks is a task of its own, so no task holds more than
-    two blocks; the k best of each pair meet in one window a query.
-    """
-    nq, nr = (max(1, -(-d.count() // block)) for d in (queries, reference))
-    q = queries.select(F.lit(True).alias("q"), F.col("i").alias("id"), "v", F.pmod(F.xxhash64("i"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1)).cast("array<bigint>")).alias("b"))
-    r = reference.select(F.lit(False).alias("q"), F.col("j").alias("id"), "v", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")).alias("a"), F.pmod(F.xxhash64("j"), F.lit(nr)).alias("b"))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf["q"]], pdf[~pdf["q"]].sort_values("id")
-        if one.empty or two.empty:
-            return pd.DataFrame({"i": [], "j": [], "d": []})
-        x, y = np.stack(one["v"]).astype(float), np.stack(two["v"]).astype(float)
-        out, m = [], min(k, len(y))
-        for at in range(0, len(x), 512):
-            d = np.sqrt(np.maximum(((x[at : at + 512, None] - y[None]) ** 2).sum(-1), 0)) if x.shape[1] * len(y) < 100_000 else np.sqrt(np.maximum((x[at : at + 512] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[at : at + 512] @ y.T, 0))
-            top = np.argsort(d, axis=1, kind="stable")[:, :m]
-            out.append(pd.DataFrame({"i": np.repeat(one["id"].to_numpy()[at : at + 512], m), "j": two["id"].to_numpy()[top].ravel(), "d": np.take_along_axis(d, top, 1).ravel()}))
-        return pd.concat(out)
-
-    best = q.unionByName(r).groupBy("a", "b").applyInPandas(nearest, "i long, j long, d double")
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def _shares(df: DataFrame, key: str, name: str) -> DataFrame:
     g = df.groupBy(key).agg(F.count("*").alias("n"))
     return g.select(key, (F.col("n") / F.sum("n").over(Window.partitionBy())).alias(name))

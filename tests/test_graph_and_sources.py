@@ -148,19 +148,6 @@ def test_votes_and_agreement(spark):
     assert r["ari"] == pytest.approx(1) and r["nmi"] == pytest.approx(1) and r["concordance"] == 0
 
 
-def test_feature_neighbours_equal_brute_force(spark):
-    rng = np.random.default_rng(1)
-    q, r = rng.normal(size=(60, 8)), rng.normal(size=(90, 8))
-    dq = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "i long, v array<double>")
-    dr = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(r)], "j long, v array<double>")
-    d = np.sqrt(((q[:, None] - r[None]) ** 2).sum(-1))
-    for block in (16, 8192):
-        got = {}
-        for x in annotate.feature_knn(dq, dr, 4, block).collect():
-            got.setdefault(x["i"], {})[x["rank"]] = x["j"]
-        assert all([got[i][k] for k in range(1, 5)] == np.argsort(d[i], kind="stable")[:4].tolist() for i in range(60))
-
-
 @pytest.mark.parametrize("t, df, p", [(0.0, 5, 1.0), (2.0, 10, 0.07338803), (-2.5, 30, 0.01811), (12.0, 3, 0.00124656), (0.5, 1, 0.70483276)])
 def test_student(t, df, p):
     assert stats.t_two_sided(t, df) == pytest.approx(p, rel=2e-3)
