@@ -5,16 +5,17 @@ nearest centroid's cell, its home, and also dealt to each cell whose centroid is
 than the home's. Within a cell, each home vector is compared with all vectors dealt there by products of
 blocks in double precision, so nothing below the threshold is linked.
 
-A link of a vector is missed only where the other vector is not dealt to its home. Two unit vectors of cosine
+A link is missed only where neither vector is dealt to the other's home. Two unit vectors of cosine
 0.95 differ by a vector of length 0.316, and two centroids by one of length 2 at most, so a margin of
 MARGIN_SAFE = 0.64 loses nothing whatever the data. The default loses only pairs whose difference points
-nearly straight from one centroid to another; the README has its recall against brute force.
+nearly straight from one centroid to another; the README has its recall against brute force. A link that is found
+counts at both ends: where only one vector's home sees the pair, that cell counts it for the other vector too.
 
 Cells that outgrow BLOCK_ROWS are cut into blocks, each pair of blocks a task of its own: no task holds more
 than two blocks. A task gives the number of links of each of its vectors and the links of a spanning forest,
 never all pairs; components come from rounds over distributed tables.
 
-Vectors of each length have cells of their own, a single one where they are few.
+Vectors of each length have cells of their own.
 
 Defined cases: vectors that have no vec_id or are null, empty, zero, or hold null or non-finite components link with nothing;
 vectors of different lengths don't link; rows that repeat are separate vectors that link with each other; rows of one
@@ -74,7 +75,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     share = min(1.0, MAX_CELLS / sum(map(math.isqrt, lengths.values())))
     cells, at = {}, 0  # length -> first cell, centroids (None: a single cell)
     for length, n in sorted(lengths.items()):
-        k = int(share * math.isqrt(n)) if n > block_rows // 4 else 1
+        k = int(share * math.isqrt(n))
         centroids = None
         if k > 1:
             chosen = distinct.where(F.size("e") == length).orderBy(F.xxhash64("e"), "node").limit(k * SAMPLE_PER_CELL).select("e").toArrow()
@@ -107,11 +108,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     cells = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     cells = F.broadcast(staged(cells, "cells"))  # a row a cell
     own = F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int").alias("own")
-    homes = placed.select("node", "copies", "v", F.col("home").alias("cell")).join(cells, "cell").select("*", own)
-    others = placed.select("node", "copies", "v", F.explode("cells").alias("cell")).join(cells, "cell").select("*", own)
+    homes = placed.select("node", "copies", "v", "cells", F.col("home").alias("cell")).join(cells, "cell").select("*", own)
+    others = placed.select("node", "copies", "v", F.col("home").alias("from"), F.explode("cells").alias("cell")).join(cells, "cell").select("*", own)
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_home = homes.select("cell", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("home"), "node", "copies", "v")
-    as_other = others.select("cell", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("home"), "node", "copies", "v")
+    none = F.lit(None).cast("array<int>")
+    as_home = homes.select("cell", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("home"), "cells", F.lit(-1).alias("from"), "node", "copies", "v")
+    as_other = others.select("cell", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("home"), none.alias("cells"), "from", "node", "copies", "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy(bool)
@@ -121,6 +123,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
         hx, hn, hc, ox, on, oc = x[home], nodes[home], copies[home], x[~home], nodes[~home], copies[~home]
         hr, other = raw[home], raw[~home]
         links, a, b = np.zeros(len(hx), np.int64), [], []
+        # others whose own home doesn't hold the home vector: this cell alone finds their pair
+        origin, away = pdf["from"].to_numpy()[~home], pdf["from"].to_numpy()[~home] != pdf["cell"].iloc[0]
+        seen = np.unique(origin[away])
+        known = np.array([np.isin(seen, c) for c in pdf["cells"].to_numpy()[home]]).reshape(len(hx), len(seen))
+        at_home = np.searchsorted(seen, origin[away])
+        back = np.zeros(len(ox), np.int64)
         for at in range(0, len(hx), 256):
             near = hx[at : at + 256] @ ox.T >= threshold
             # a vector does not link with itself; one of the same direction and another length is another vector
@@ -128,14 +136,17 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
             itself = (hr[at + p] == other[q]).all(axis=1)
             near[p[itself], q[itself]] = False
             links[at : at + 256] = near @ oc
+            if len(seen):
+                back[away] += hc[at : at + 256] @ (near[:, away] & ~known[at : at + 256][:, at_home])
             p, q = np.nonzero(near)
             f, g = forest(hn[at + p], on[q])
             a.append(f)
             b.append(g)
-        out = pd.DataFrame({"node": hn, "n": links, "other": pd.array([None] * len(hn), "Int64"), "c": hc})
+        n = len(hn) + len(on)
+        out = pd.DataFrame({"node": np.concatenate([hn, on]), "n": np.concatenate([links, back]), "other": pd.array([None] * n, "Int64")})
         if a:
             f, g = forest(np.concatenate(a), np.concatenate(b))
-            out = pd.concat([out, pd.DataFrame({"node": f, "n": 0, "other": pd.array(g, "Int64"), "c": 0})], ignore_index=True)
+            out = pd.concat([out, pd.DataFrame({"node": f, "n": 0, "other": pd.array(g, "Int64")})], ignore_index=True)
         return out[["node", "n", "other"]][(out["n"] > 0) | out["other"].notna()]
 
     found = staged(as_home.unionByName(as_other).groupBy("cell", "i", "j").applyInPandas(compare, "node long, n long, other long"), "found")

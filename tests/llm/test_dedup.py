@@ -183,6 +183,42 @@ def test_vectors_of_each_length_link_among_themselves(spark, monkeypatch):
         assert {r["vec_id"]: r["n_links"] for r in got} == want
 
 
+@pytest.mark.parametrize("dim, margin", [(8, None), (16, None), (64, None), (16, 0.02)])
+def test_links_found_from_one_home_count_at_both_ends(spark, monkeypatch, dim, margin):
+    """Pairs of cosine 0.951 to 0.965 at the query's own margin, and at a narrow one that loses many: n_links and
+    components are those of the pairs found, and at the query's margin they are nearly all."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(700, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 0.965, (700, 1))
+    x = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * side, x[:30]])
+    held = []
+    fit = embeddings.spherical_kmeans
+    monkeypatch.setattr(embeddings, "spherical_kmeans", lambda *a: held.append(fit(*a)) or held[-1])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embeddings.embedding_dedup(df, **({} if margin is None else {"margin": margin})).collect()
+    u = embeddings._unit(x)
+    s = u @ held[0].T
+    assert len(held[0]) > 20
+    home, best = np.argmax(s, axis=1), s.max(axis=1)
+    dealt = s >= best[:, None] - (embeddings.MARGIN if margin is None else margin)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    meets = dealt[:, home]  # [y, x]: y is dealt to the home of x
+    found = near & (meets | meets.T)
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == list(enumerate(found.sum(axis=1).tolist()))
+    assert {r["vec_id"]: r["component_id"] for r in got} == components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(found))])
+    assert found.sum() >= (0.97 if margin is None else 0.5) * near.sum() and (margin is None or found.sum() < near.sum())
+
+
+def test_embeddings_clashing_columns(spark):
+    df = spark.createDataFrame([(k, [1.0, k / 100], 1, 2, [3], "x") for k in range(20)], "vec_id long, embedding array<double>, node int, copies int, cells array<int>, e string")
+    assert sorted(r["n_links"] for r in embeddings.embedding_dedup(df).collect()) == [19] * 20
+
+
 def test_embeddings_recall_and_empty(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     pdf = v.toPandas()
