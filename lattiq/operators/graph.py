@@ -8,15 +8,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-
-#: Edges and nodes of a graph that one task searches at most (16 bytes each).
-LOCAL_EDGES = 1_000_000
+from ..session import cut, cut_counted
+from .order_stats import quantiles
 
 #: Points a grid cell is meant to hold when the grid is sized from the data, and the most that the fullest may hold at first.
 CELL_POINTS, CELL_MOST = 64, 1024
@@ -68,8 +64,8 @@ def knn(spots: DataFrame, k: int = 6, id_col: str = "spot") -> DataFrame:
         good = ranked.groupBy("i").agg(F.count("*").alias("n"), F.max("d").alias("far"), F.first("reach").alias("reach")).where((F.col("n") == k) & (F.col("far") <= F.col("reach"))).select("i")
         settled = ranked.join(good, "i", "left_semi").select("i", "j", "d", "rank")
         done = settled if done is None else done.unionByName(settled)
-        pending = cut(pending.join(good, "i", "left_anti"), "pending")
-        if pending.isEmpty():
+        pending, left = cut_counted(pending.join(good, "i", "left_anti"), "pending")
+        if not left:
             return done
         cell *= 2
 
@@ -86,10 +82,9 @@ def gaussian_graph(neighbours: DataFrame, sigma: float | None = None) -> DataFra
     """Edges i, j, w with w = exp(-d^2 / 2 sigma^2), the larger of both directions. sigma: by default the median distance."""
     n = neighbours
     if sigma is None:
-        n = n.join(F.broadcast(n.agg(F.percentile("d", 0.5).alias("sigma"))))  # one row
-    else:
-        n = n.withColumn("sigma", F.lit(float(sigma)))
-    w = n.select("i", "j", F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma"))).alias("w"))
+        n = cut(n.select("i", "j", "d"), "neighbours")
+        sigma = quantiles(n, "d", [0.5])[0] or float("nan")
+    w = n.select("i", "j", F.exp(-F.col("d") * F.col("d") / (2 * F.lit(float(sigma)) * F.lit(float(sigma)))).alias("w"))
     return w.unionByName(w.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
 
 
@@ -105,8 +100,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def boundary_nodes(edges: DataFrame, quantile: float = 0.1) -> DataFrame:
     """i, deg, is_boundary: degree at most the quantile of all degrees."""
-    d = degrees(edges)
-    return d.join(F.broadcast(d.agg(F.percentile("deg", quantile).alias("q")))).select("i", "deg", (F.col("deg") <= F.col("q")).alias("is_boundary"))
+    d = cut(degrees(edges), "degrees")
+    q = quantiles(d, "deg", [quantile])[0]
+    return d.select("i", "deg", (F.col("deg") <= F.lit(q)).alias("is_boundary"))
 
 
 def row_stochastic(edges: DataFrame) -> DataFrame:
@@ -115,50 +111,20 @@ def row_stochastic(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j", F.try_divide("w", total).alias("w")).where("w is not null")
 
 
-def _in_one_task(edges: DataFrame, nodes: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(i and j of the edges, ids and values of nodes) in one task, for graphs of LOCAL_EDGES edges and nodes at most."""
-    e = edges.select(F.lit(True).alias("e"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-    n = nodes.select(F.lit(False).alias("e"), F.col("i").cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = pdf[pdf["e"]]
-        return fn(links["i"].to_numpy(), links["j"].to_numpy(), np.unique(pdf.loc[~pdf["e"], "i"].to_numpy()))
-
-    return e.unionByName(n).groupBy(F.lit(0).alias("_g")).applyInPandas(run, schema)
-
-
 def hop_distance(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """i, hops: fewest edges from any source, weights ignored. Nodes out of reach are absent.
 
-    A graph of LOCAL_EDGES edges and sources at most is searched in one task; a larger one level by level, each level a
-    distributed join against the visited nodes, which are one table again after every eighth level.
+    One job a level: the nodes next to the last level's, less those visited, which are one table again after every
+    eighth level; how many there are is counted while they are written.
     """
     links = cut(edges.select("i", "j").where("i <> j").distinct(), "links")
-    start = cut(sources.select("i").distinct(), "sources")
-    if links.count() + start.count() <= LOCAL_EDGES:
-
-        def search(i: np.ndarray, j: np.ndarray, front: np.ndarray) -> pd.DataFrame:
-            nodes = np.unique(np.concatenate([i, j, front]))
-            a, b = np.searchsorted(nodes, i), np.searchsorted(nodes, j)
-            hops = np.full(len(nodes), -1)
-            hops[np.searchsorted(nodes, front)] = 0
-            for level in range(1, len(nodes) + 1):
-                reached = np.unique(b[hops[a] == level - 1])
-                reached = reached[hops[reached] < 0]
-                if not len(reached):
-                    break
-                hops[reached] = level
-            known = hops >= 0
-            return pd.DataFrame({"i": nodes[known], "hops": hops[known].astype(np.int32)})
-
-        return _in_one_task(links, start, search, "i long, hops int")
-    seen = start.select("i", F.lit(0).alias("hops"))
-    front, level = seen, 0
+    front = cut(sources.select("i").distinct().select("i", F.lit(0).alias("hops")), "sources")
+    seen, level = front, 0
     while True:
         level += 1
         step = front.join(links, "i").select(F.col("j").alias("i")).distinct().join(seen, "i", "left_anti").select("i", F.lit(level).alias("hops"))
-        front = cut(step, "hops")
-        if front.isEmpty():
+        front, n = cut_counted(step, "hops")
+        if not n:
             return seen
         seen = seen.unionByName(front)
         if level % 8 == 0:
@@ -202,11 +168,10 @@ def profile_by_distance(values: DataFrame, dist: str = "dist", x: str = "x") ->
 
 def radial_zones(spots: DataFrame, cuts: tuple[float, float] = (0.33, 0.66), names: tuple[str, str, str] = ("core", "mid", "boundary"), id_col: str = "spot") -> DataFrame:
     """Spots with dist (from the centroid) and zone (by the quantiles of dist)."""
-    c = spots.join(F.broadcast(spots.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))))
-    c = c.withColumn("dist", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2)).drop("mx", "my")
-    q = c.agg(F.percentile("dist", cuts[0]).alias("q0"), F.percentile("dist", cuts[1]).alias("q1"))
-    zone = F.when(F.col("dist") <= F.col("q0"), names[0]).when(F.col("dist") <= F.col("q1"), names[1]).otherwise(names[2])
-    return c.join(F.broadcast(q)).withColumn("zone", zone).drop("q0", "q1")
+    mx, my = spots.agg(F.avg("x"), F.avg("y")).first()
+    c = spots.withColumn("dist", F.sqrt((F.col("x") - F.lit(mx)) ** 2 + (F.col("y") - F.lit(my)) ** 2))
+    low, high = quantiles(c, "dist", list(cuts))
+    return c.withColumn("zone", F.when(F.col("dist") <= F.lit(low), names[0]).when(F.col("dist") <= F.lit(high), names[1]).otherwise(names[2]))
 
 
 def coarse_grain(edges: DataFrame, labels: DataFrame, mode: str = "avg", keep_diagonal: bool = False) -> DataFrame:
@@ -253,34 +218,21 @@ def adjacency(edges: DataFrame, convention: str = "sym") -> DataFrame:
 
 
 def connected_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """i, component (smallest node reachable): in one task for LOCAL_EDGES edges and nodes at most, else by rounds of
-    neighbour minima with label jumping."""
+    """i, component (smallest node reachable), by rounds of neighbour minima with a jump along the labels.
+
+    Labels are nodes of the same component, so a label's own label is a better one; paths halve in each round, and rounds
+    grow with the logarithm of the longest path. What changed is counted while a round is written.
+    """
     links = cut(edges.select("i", "j").where("i <> j"), "links")
-    every = cut(nodes.select("i"), "nodes")
-    if links.count() + every.count() <= LOCAL_EDGES:
-
-        def label(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> pd.DataFrame:
-            ids = np.unique(np.concatenate([i, j, own]))
-            a, b, c = np.searchsorted(ids, i), np.searchsorted(ids, j), np.arange(len(ids))
-            while True:
-                low = c.copy()
-                np.minimum.at(low, a, c[b])
-                np.minimum.at(low, b, c[a])
-                low = low[low]
-                if np.array_equal(low, c):
-                    return pd.DataFrame({"i": own, "component": ids[c[np.searchsorted(ids, own)]]})
-                c = low
-
-        return _in_one_task(links, every, label, "i long, component long")
-    label = every.select("i", F.col("i").alias("c"))
+    label = nodes.select("i", F.col("i").alias("c"))
     while True:
         low = links.join(label.select(F.col("i").alias("j"), "c"), "j").groupBy("i").agg(F.min("c").alias("m"))
         near = label.join(low, "i", "left").select("i", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
         jump = near.join(near.select(F.col("i").alias("n"), F.col("n").alias("nn")), "n", "left").select("i", F.col("c").alias("old"), F.least("n", "nn").alias("c"))
-        new = cut(jump, "labels")
-        if new.where("c <> old").isEmpty():
-            return new.select("i", F.col("c").alias("component"))
-        label = new.select("i", "c")
+        label, changed = cut_counted(jump, "labels", F.col("c") != F.col("old"))
+        label = label.select("i", "c")
+        if not changed:
+            return label.select("i", F.col("c").alias("component"))
 
 
 def split_components(edges: DataFrame, labels: DataFrame, min_size: int = 5) -> DataFrame:

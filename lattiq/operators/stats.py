@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import avg_rank
 from ..session import cut
+from . import order_stats
 
 #: Rows of a table whose pairs are all compared, at most.
 PAIR_ROWS = 10_000
@@ -68,13 +69,10 @@ def _bounded(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """tau, n: Kendall's tau-b by pairs of rows; for tables of groups (PAIR_ROWS rows), joined on key order."""
-    df = _bounded(df.select(key, x, y), "kendall")
-    a, b = df.select(F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1")), df.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    p = a.join(b, F.col("k1") < F.col("k2")).select(F.signum(F.col("x1") - F.col("x2")).alias("sx"), F.signum(F.col("y1") - F.col("y2")).alias("sy"))
-    g = p.agg(F.sum(F.col("sx") * F.col("sy")).alias("s"), F.sum(F.abs("sx")).alias("nx"), F.sum(F.abs("sy")).alias("ny"), F.count("*").alias("pairs"))
-    return g.select(F.try_divide("s", F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"), "pairs")
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row, tau (tau-b) and pairs, by counting inversions over ranges; tables of any size."""
+    r = order_stats.kendall(df, x, y)
+    return df.sparkSession.createDataFrame([(r["tau"], r["pairs"])], "tau double, pairs long")
 
 
 def running_sums(df: DataFrame, order: str, values: tuple[str, ...], descending: bool = False) -> DataFrame:

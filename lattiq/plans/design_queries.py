@@ -355,7 +355,15 @@ def _xy(spark, sf_dir):
 
 @query(ctes(SUP) + "SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))), 6) AS tau, count(*) AS pairs FROM xy a JOIN xy b ON a.k < b.k")
 def kendall_tau(spark, sf_dir):
-    return S.kendall(_xy(spark, sf_dir), "x", "y", "k").select(r6("tau"), "pairs")
+    return S.kendall(_xy(spark, sf_dir), "x", "y").select(r6("tau"), "pairs")
+
+
+@query("""WITH k AS (SELECT l_quantity AS x, l_discount AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2),
+t AS (SELECT (SELECT sum(n) * (sum(n) - 1) / 2 FROM k) AS p, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM k GROUP BY x)) AS tx, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM k GROUP BY y)) AS ty)
+SELECT round((c - d) / sqrt((p - tx) * (p - ty)), 6) AS tau, CAST(p AS BIGINT) AS pairs FROM (SELECT sum(CASE WHEN sign(a.x - b.x) * sign(a.y - b.y) > 0 THEN a.n * b.n ELSE 0 END) / 2 AS c, sum(CASE WHEN sign(a.x - b.x) * sign(a.y - b.y) < 0 THEN a.n * b.n ELSE 0 END) / 2 AS d, any_value(t.p) AS p, any_value(t.tx) AS tx, any_value(t.ty) AS ty FROM k a, k b, t)""")
+def kendall_tau_lines(spark, sf_dir):
+    """Tau-b of quantity and discount over all order lines: ties everywhere, no pairs of rows."""
+    return S.kendall(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount"), "l_quantity", "l_discount").select(r6("tau"), "pairs")
 
 
 @query(ctes(SUP) + ", pp AS (SELECT o.k AS o, rank() OVER (PARTITION BY o.k ORDER BY a.x) + (count(*) OVER (PARTITION BY o.k, a.x) - 1) / 2.0 AS p, rank() OVER (PARTITION BY o.k ORDER BY a.y) + (count(*) OVER (PARTITION BY o.k, a.y) - 1) / 2.0 AS q FROM xy a JOIN xy o ON a.k <> o.k), cc AS (SELECT o, corr(p, q) AS r FROM pp GROUP BY 1) SELECT round(min(r), 6) AS lowest, round(max(r), 6) AS highest FROM cc")

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions.columns import r6
+from ..operators import community as CM
 from ..operators import graph as G
+from ..session import cut
 from ..sources.testdata import compartments, spots, trade_graph
 from .catalog import COMPS, EDGES, GRAPH, SPOTS, WSP, adj, ctes, nn, query, values
 
 
 def spot_graph(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
-    return G.gaussian_graph(G.knn(spots(spark, sf_dir), k).cache())
+    return cut(G.gaussian_graph(G.knn(spots(spark, sf_dir), k)), "graph")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spots with radial zones and compartments macro_zone; i is the spot."""
     z = G.radial_zones(spots(spark, sf_dir))
-    return z.select(F.col("spot").alias("i"), "spot", "x", "y", "macro", "dist", "zone", F.concat_ws("_", "macro", "zone").alias("comp"))
+    return cut(z.select(F.col("spot").alias("i"), "spot", "x", "y", "macro", "dist", "zone", F.concat_ws("_", "macro", "zone").alias("comp")), "labelled")
 
 
 COARSE = "n AS (SELECT comp, count(*) AS n FROM lab GROUP BY 1), cg AS (SELECT a.comp AS ca, b.comp AS cb, sum(w) AS s, count(*) AS m FROM wsp JOIN lab a ON a.i = wsp.i JOIN lab b ON b.i = wsp.j GROUP BY 1, 2)"
@@ -68,7 +70,7 @@ HOPS = "hops(i, hops) AS (SELECT i, 0 FROM bnd WHERE is_boundary UNION SELECT ws
 
 
 def _hops(spark, sf_dir):
-    e = spot_graph(spark, sf_dir).cache()
+    e = spot_graph(spark, sf_dir)
     return e, G.hop_distance(e, G.boundary_nodes(e).where("is_boundary").select("i"))
 
 
@@ -202,3 +204,10 @@ def edge_class_summary(spark, sf_dir):
     c = compartments(spark, sf_dir)
     e = trade_graph(spark, sf_dir).where("i < j").join(c.select(F.col("node").alias("i"), F.col("macro").alias("a")), "i").join(c.select(F.col("node").alias("j"), F.col("macro").alias("b")), "j")
     return e.groupBy(G.edge_class("a", "b").alias("edge_class")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("total"))
+
+
+@query()
+def spot_communities(spark, sf_dir):
+    """Communities of the spot graph by modularity; SQL has no such iteration, tests hold it against plain Python."""
+    e = spot_graph(spark, sf_dir)
+    return CM.communities(e, spots(spark, sf_dir).select(F.col("spot").alias("i")))
