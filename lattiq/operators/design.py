@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import SWEEP
+from ..session import cut
+from . import order_stats, stats
+
+#: The most often that a row is drawn into a bootstrap replicate; a Poisson(1) draw is larger once in ten million.
+POISSON_MOST = 9
 
 
 def one_at_a_time(spark: SparkSession, levels: int = 7, ranges: dict[str, tuple[float, float]] = SWEEP) -> DataFrame:
@@ -130,6 +137,52 @@ def sobol_indices(design: DataFrame, outputs: DataFrame, metric: str) -> DataFra
     return each.groupBy("param").agg(F.try_divide(F.avg(F.col("yb") * (F.col("y") - F.col("ya"))), F.first("var")).alias("s1"), F.try_divide(F.avg((F.col("ya") - F.col("y")) ** 2) / 2, F.first("var")).alias("st"))
 
 
+def poisson_weight(seed: int, *keys: str):
+    """A Poisson(1) draw by the hash of its keys: how often a row is in a bootstrap replicate, without a table of draws."""
+    text = F.concat_ws(":", F.lit(seed), *keys)
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    below, term, out = 0.0, math.exp(-1), F.lit(POISSON_MOST)
+    steps = []
+    for k in range(POISSON_MOST):
+        below += term
+        steps.append((k, below))
+        term /= k + 1
+    for k, upto in reversed(steps):
+        out = F.when(u < upto, k).otherwise(out)
+    return out
+
+
+def sobol_intervals(design: DataFrame, outputs: DataFrame, metric: str, replicates: int = 100, seed: int = 0) -> DataFrame:
+    """param, s1, st and s1_conf, st_conf: half widths of 95 % intervals (1.96 standard deviations over replicates).
+
+    A replicate weighs each base point by a Poisson draw; all replicates are sums of one aggregate, by (param, replicate)
+    and, for the variance of A and B, by replicate. Unknown outputs count as the mean of the known ones.
+    """
+    known = outputs.select("run_id", F.col(metric).alias("y"))
+    fill = known.agg(F.avg("y")).first()[0]
+    rows = design.join(known, "run_id", "left").select("base", "kind", F.coalesce("y", F.lit(fill)).alias("y"))
+    ends = rows.groupBy("base").agg(F.max(F.when(F.col("kind") == "A", F.col("y"))).alias("ya"), F.max(F.when(F.col("kind") == "B", F.col("y"))).alias("yb"))
+    turns = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    drawn = ends.select("*", turns.alias("b")).withColumn("w", poisson_weight(seed, "base", "b"))
+    sq = drawn.groupBy("b").agg(F.sum(F.col("w") * (F.col("ya") + F.col("yb"))).alias("s"), F.sum(F.col("w") * (F.col("ya") ** 2 + F.col("yb") ** 2)).alias("ss"), F.sum(2 * F.col("w")).alias("n"))
+    var = sq.select("b", (F.try_divide("ss", "n") - F.try_divide("s", "n") ** 2).alias("var"))
+    crossed = rows.where("kind not in ('A', 'B')").select("base", F.col("kind").alias("param"), "y")
+    first, whole = F.col("yb") * (F.col("y") - F.col("ya")), (F.col("ya") - F.col("y")) ** 2 / 2
+    each = crossed.join(drawn, "base").groupBy("param", "b").agg(F.sum(F.col("w") * first).alias("f"), F.sum(F.col("w") * whole).alias("t"), F.sum("w").alias("n"))
+    spread = each.join(var, "b").select("param", F.try_divide(F.try_divide("f", "n"), F.col("var")).alias("s1"), F.try_divide(F.try_divide("t", "n"), F.col("var")).alias("st"))
+    spread = spread.groupBy("param").agg((1.96 * F.stddev_samp("s1")).alias("s1_conf"), (1.96 * F.stddev_samp("st")).alias("st_conf"))
+    return sobol_indices(design, outputs, metric).join(spread, "param")
+
+
+def rank_stability(peaks: DataFrame, base_run: str, value: str = "peak") -> DataFrame:
+    """mean, sd, p05, p95, n: Spearman's rho of each run's values over nodes (run_id, node, value) with those of the base
+    run; runs without a rho are left out."""
+    base = peaks.where(F.col("run_id") == base_run).select("node", F.col(value).alias("_base"))
+    r = cut(stats.spearman(peaks.where(F.col("run_id") != base_run).join(base, "node"), value, "_base", "run_id").where("rho is not null"), "rho")
+    low, high = order_stats.quantiles(r, "rho", [0.05, 0.95])
+    return r.agg(F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd"), F.lit(low).cast("double").alias("p05"), F.lit(high).cast("double").alias("p95"), F.count("*").alias("n"))
+
+
 def rewire(edges: DataFrame, replicates: int, swaps: int, seed: int = 42) -> DataFrame:
     """graph_id, i, j, w: degree-preserving double-edge swaps, a replicate a group; at most 20 tries a swap.
 

@@ -2,7 +2,7 @@
 
 A run is the rows of one run_id in a design table: node, its rates and initial state. The solver is a grouped
 pandas function with a fixed schema; the graph (at most MAX_NODES compartments) goes with it. A design may name a
-graph per run (column graph_id) for ablations and rewirings.
+graph per run (column graph_id) for ablations and rewirings; each run then meets its graph in its own group.
 """
 
 from __future__ import annotations
@@ -51,31 +51,51 @@ def rk45(f: Callable, y0: np.ndarray, times: np.ndarray, rtol: float = 1e-6, ato
     return np.array(out)
 
 
-def collect_graph(adjacency: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """graph_id -> nodes, exposure matrix, Laplacian. Raises where a graph is too large for one group."""
-    adj = adjacency if "graph_id" in adjacency.columns else adjacency.withColumn("graph_id", F.lit("g"))
-    n = adj.select("i").distinct().count()
+def collect_graph(adjacency: DataFrame) -> pd.DataFrame:
+    """The edges i, j, wt, l of one graph, to go with every run. Raises where it is too large for one group."""
+    n = adjacency.select("i").distinct().count()
     if n > MAX_NODES:
         raise ValueError(f"a graph of {n} nodes; compartment graphs have at most {MAX_NODES}")
-    out = {}
-    for g, e in adj.toPandas().groupby("graph_id"):
-        nodes = np.unique(np.concatenate([e["i"], e["j"]]))
-        wt, lap = np.zeros((len(nodes),) * 2), np.zeros((len(nodes),) * 2)
-        i, j = np.searchsorted(nodes, e["i"]), np.searchsorted(nodes, e["j"])
-        wt[i, j], lap[i, j] = e["wt"], e["l"]
-        out[g] = (nodes, wt, lap)
-    return out
-
-
-def _matrices(graphs: dict, run: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Matrices in the order of the run's nodes; a node without edges has none."""
-    g = run["graph_id"].iloc[0] if "graph_id" in run else "g"
-    nodes, wt, lap = graphs[g]
-    at = np.searchsorted(nodes, run["node"].to_numpy())
-    at = np.minimum(at, len(nodes) - 1)
-    known = nodes[at] == run["node"].to_numpy()
-    mask = np.outer(known, known)
-    return np.where(mask, wt[np.ix_(at, at)], 0.0), np.where(mask, lap[np.ix_(at, at)], 0.0)
+    return adjacency.select("i", "j", "wt", "l").toPandas()
+
+
+def _matrices(edges: pd.DataFrame, run: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Exposure matrix and Laplacian in the order of the run's nodes; a node without edges has none."""
+    nodes = run["node"].to_numpy()
+    if len(nodes) > MAX_NODES:
+        raise ValueError(f"a run of {len(nodes)} nodes; compartment graphs have at most {MAX_NODES}")
+    wt, lap = np.zeros((len(nodes),) * 2), np.zeros((len(nodes),) * 2)
+    edges = edges[edges["i"].isin(nodes) & edges["j"].isin(nodes)]
+    i, j = np.searchsorted(nodes, edges["i"].to_numpy()), np.searchsorted(nodes, edges["j"].to_numpy())
+    wt[i, j], lap[i, j] = edges["wt"], edges["l"]
+    return wt, lap
+
+
+def _solved(design: DataFrame, adjacency: DataFrame, solve: Callable, schema: str) -> DataFrame:
+    """solve(run, exposure, Laplacian) for each run, its rows in the order of node.
+
+    One graph for all runs goes with the function. Where the adjacency has a graph_id, each run meets the edges of its own
+    graph in its group, so that any number of graphs passes through the shuffle and none through the driver.
+    """
+    if "graph_id" not in adjacency.columns:
+        edges = collect_graph(adjacency)
+
+        def alone(run: pd.DataFrame) -> pd.DataFrame:
+            run = run.sort_values("node")
+            return solve(run, *_matrices(edges, run))
+
+        return design.groupBy("run_id").applyInPandas(alone, schema)
+    runs = design.select(F.col("run_id").alias("_run"), F.col("graph_id").alias("_graph")).distinct()
+    own = adjacency.join(runs, F.col("graph_id") == F.col("_graph")).select("_run", "i", "j", "wt", "l")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def met(run: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        if run.empty:
+            return pd.DataFrame(columns=names)
+        run = run.sort_values("node")
+        return solve(run, *_matrices(edges, run))
+
+    return design.groupBy("run_id").cogroup(own.groupBy("_run")).applyInPandas(met, schema)
 
 
 def _long(run: pd.DataFrame, times: np.ndarray, blocks: dict[str, np.ndarray]) -> pd.DataFrame:
@@ -101,12 +121,9 @@ def simulate(design: DataFrame, adjacency: DataFrame, t_end: float, steps: int,
     in the simplified model; else r gathers what recovers. renormalise: h, d, r are scaled to sum to 1 each step. bounded: rates
     see h and d scaled down to a sum of 1 where they exceed it, as in the layered model.
     """
-    graphs = collect_graph(adjacency)
     times = np.linspace(0.0, t_end, steps + 1)
 
-    def solve(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("node")
-        wt, lap = _matrices(graphs, run)
+    def solve(run: pd.DataFrame, wt: np.ndarray, lap: np.ndarray) -> pd.DataFrame:
         beta, rho, dh, dd = (run[c].to_numpy() for c in ("beta", "rho", "d_h", "d_d"))
         n = len(run)
 
@@ -136,7 +153,7 @@ def simulate(design: DataFrame, adjacency: DataFrame, t_end: float, steps: int,
             ys = np.array(ys)
         return _long(run, times, {"h": ys[:, :n], "d": ys[:, n : 2 * n], "r": ys[:, 2 * n :]})
 
-    return design.groupBy("run_id").applyInPandas(solve, TRAJECTORY)
+    return _solved(design, adjacency, solve, TRAJECTORY)
 
 
 def dose_rate(mode: str, t: float, t_dose: float, dose: float, width: float = 0.5, duration: float = 5.0, n_doses: int = 3, interval: float = 10.0) -> float:
@@ -153,12 +170,9 @@ def simulate_drug(design: DataFrame, adjacency: DataFrame, t_end: float, steps:
     design has the columns of simulate, those of params.drug_rates, and dose_mode, t_dose, dose; target (boolean,
     optional) says which nodes are dosed.
     """
-    graphs = collect_graph(adjacency)
     times = np.linspace(0.0, t_end, steps + 1)
 
-    def solve(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("node")
-        wt, lap = _matrices(graphs, run)
+    def solve(run: pd.DataFrame, wt: np.ndarray, lap: np.ndarray) -> pd.DataFrame:
         beta, rho, dh, dd, delta, rho2, kf, ke, df, ic50 = (run[c].to_numpy() for c in ("beta", "rho", "d_h", "d_d", "delta", "rho2", "k_f", "k_e", "d_f", "ic50"))
         mode, t_dose, dose = (run[c].iloc[0] for c in ("dose_mode", "t_dose", "dose"))
         aim = run["target"].to_numpy().astype(float) if "target" in run else np.ones(len(run))
@@ -191,7 +205,7 @@ def simulate_drug(design: DataFrame, adjacency: DataFrame, t_end: float, steps:
         part = lambda k: ys[:, k * n : (k + 1) * n]
         return _long(run, times, {"h": part(0), "d": part(1), "r": part(3), "d2": part(2), "x": part(4), "f": part(5)})
 
-    return design.groupBy("run_id").applyInPandas(solve, DRUG_TRAJECTORY)
+    return _solved(design, adjacency, solve, DRUG_TRAJECTORY)
 
 
 def finals(trajectory: DataFrame, states: tuple[str, ...] = ("h", "d", "r")) -> DataFrame:

@@ -58,7 +58,7 @@ def with_multipliers(rates: DataFrame, design: DataFrame) -> DataFrame:
     The design is crossed with the compartments, which are the runs' own rows (a few dozen), not pairs of runs.
     """
     get = lambda *name: F.coalesce(F.try_element_at("mult", F.concat(*name)), F.lit(1.0))
-    both = rates.crossJoin(design)
+    both = F.broadcast(rates).crossJoin(design)  # compartments, of which the solvers take MAX_NODES at most
     zone = F.when(F.col("region").isin("outer_medulla", "boundary"), "outer").when(F.col("region") == "inner_medulla", "inner")
     named = F.col("macro").isin("PT", "DCT", "TAL", "vascular")
     scaled = lambda p: F.when(named, get(F.lit(p + "_"), F.col("macro"))).otherwise(1.0) * F.when(zone.isNotNull(), get(F.lit(p + "_mult_"), zone)).otherwise(1.0)

@@ -98,11 +98,11 @@ def run_drug(comps: DataFrame, edges: DataFrame, t_dose: float = 20.0, mode: str
     start = dynamics.seeded(params.drug_rates(params.default_rates(comps)), seed)
     adj = graph.adjacency(edges).cache()
     two = spark.createDataFrame([("drug", mode, t_dose, dose), ("none", mode, t_dose, 0.0)], "run_id string, dose_mode string, t_dose double, dose double")
-    traj = cut(dynamics.simulate_drug(start.crossJoin(two), adj, t_end, steps, "rk45"), "drug")
+    traj = cut(dynamics.simulate_drug(F.broadcast(start).crossJoin(two), adj, t_end, steps, "rk45"), "drug")
     out = {"trajectory": traj, "summary": metrics.drug_summary(traj, comps), "finals": dynamics.finals(traj, ("h", "d", "d2", "r", "x"))}
     if sweep:
         grid = spark.range(sweep).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("run_id"), F.lit(mode).alias("dose_mode"), (F.col("id") * (0.75 * t_end / max(sweep - 1, 1))).alias("t_dose"), F.lit(dose).alias("dose"))
-        runs = dynamics.simulate_drug(start.crossJoin(grid), adj, t_end, steps // 2, "rk45", 1e-4)
+        runs = dynamics.simulate_drug(F.broadcast(start).crossJoin(grid), adj, t_end, steps // 2, "rk45", 1e-4)
         end = dynamics.finals(runs, ("h", "d", "d2", "r", "x")).groupBy("run_id").agg(F.avg("x").alias("mean_x"), F.avg("r").alias("mean_r")).join(grid, "run_id")
         out["sweep"] = cut(end, "sweep")
         best = out["sweep"].agg(F.min_by("t_dose", F.struct("mean_x", "t_dose")).alias("least_dead"), F.max_by("t_dose", F.struct(F.col("mean_r"), -F.col("t_dose"))).alias("most_recovered"))
@@ -140,7 +140,7 @@ def recovery(truth: DataFrame, sim: DataFrame, threshold: float = 0.1) -> DataFr
     known = act.where("ty is not null and tx is not null")
     one = both.agg(F.sqrt(F.avg((F.col("x") - F.col("y")) ** 2)).alias("rmse_d"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
     mae = known.agg(F.avg(F.abs(F.col("tx") - F.col("ty"))).alias("mae_t"))
-    return one.crossJoin(mae).crossJoin(stats.spearman(known, "tx", "ty").select("rho")).crossJoin(stats.kendall(known, "tx", "ty", "node").select("tau"))
+    return one.crossJoin(mae).crossJoin(stats.spearman(known, "tx", "ty").select("rho")).crossJoin(F.broadcast(stats.kendall(known, "tx", "ty").select("tau")))
 
 
 class DiffusionModel:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -197,6 +198,32 @@ def wilcoxon(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return g.select(*by, w.alias("w"), F.try_divide(w - mean, sd).alias("z"), "n")
 
 
+def uniformity(df: DataFrame, phase: str, *by: str, least: int = 10) -> DataFrame:
+    """by, n, r, p: Rayleigh's test that phases (shares of a cycle) are spread evenly; r is the mean resultant length.
+
+    p is the leading term exp(-n r^2). Groups of fewer than least rows are left out.
+    """
+    turn = 2 * math.pi * F.col(phase)
+    g = df.where(F.col(phase).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.cos(turn)).alias("_c"), F.sum(F.sin(turn)).alias("_s")).where(F.col("n") >= least)
+    square = (F.col("_c") ** 2 + F.col("_s") ** 2) / F.col("n")
+    return g.select(*by, "n", F.sqrt(square / F.col("n")).alias("r"), F.exp(-square).alias("p"))
+
+
+def adjusted(tests: DataFrame, p: str, *family: str) -> DataFrame:
+    """tests with m (tests of the family with a known p), bonferroni and holm (step-down), both at most 1.
+
+    Tests without a p get none and don't count. Windows run over a family's tests, never over the rows they came from.
+    """
+    known = F.col(p).isNotNull() & ~F.isnan(p)
+    out = tests.withColumn("_ok", known).withColumn("m", F.count_if("_ok").over(Window.partitionBy(*family)))
+    by = Window.partitionBy(*family, "_ok").orderBy(p)
+    step = out.withColumn("_k", F.row_number().over(by)).withColumn("_h", F.least(F.lit(1.0), F.col(p) * (F.col("m") - F.col("_k") + 1)))
+    upto = F.max("_h").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    ties = Window.partitionBy(*family, "_ok", p)  # equal p-values share the largest of theirs
+    step = step.withColumn("_u", upto).withColumn("_u", F.max("_u").over(ties))
+    return step.select(*tests.columns, "m", F.when(F.col("_ok"), F.least(F.lit(1.0), F.col(p) * F.col("m"))).alias("bonferroni"), F.when(F.col("_ok"), F.col("_u")).alias("holm"))
+
+
 def rank_frequencies(df: DataFrame, run: str, item: str, value: str) -> DataFrame:
     """item, position, n: how often each item takes each position; unique ranks by (value, item), nulls last as infinite."""
     pos = F.row_number().over(Window.partitionBy(run).orderBy(F.coalesce(value, F.lit(float("inf"))), item))

@@ -176,7 +176,43 @@ def monte_carlo_sweep(spark, sf_dir):
 def sobol_sensitivity(spark, sf_dir):
     """Nine multipliers from 0.6 to 1.4, 256 base points, 2,816 runs."""
     d = N.saltelli(spark, 256, {k: (0.6, 1.4) for k in SOBOL})
-    return N.sobol_indices(d, _outputs(spark, sf_dir, _runs(spark, sf_dir, d)), "auc_d").select("param", r6("s1"), r6("st"))
+    return N.sobol_intervals(d, _outputs(spark, sf_dir, _runs(spark, sf_dir, d)), "auc_d").select("param", r6("s1"), r6("st"), r6("s1_conf"), r6("st_conf"))
+
+
+def _surface(x: str, z: str):
+    return F.col(x) * F.col(x) + F.col(x) * F.col(z) + F.col(z)
+
+
+@query("""WITH a AS (SELECT c_custkey AS base, c_acctbal / 10000 AS a1, c_nationkey / 25 AS a2 FROM customer),
+p AS (SELECT x.base, x.a1, x.a2, y.a1 AS b1, y.a2 AS b2 FROM a x JOIN a y ON y.base = x.base + 1),
+e AS (SELECT base, a1 * a1 + a1 * a2 + a2 AS ya, b1 * b1 + b1 * b2 + b2 AS yb, b1 * b1 + b1 * a2 + a2 AS y1, a1 * a1 + a1 * b2 + b2 AS y2 FROM p),
+k AS (SELECT base, ya, yb, y1 AS y, 'x1' AS param FROM e UNION ALL SELECT base, ya, yb, y2, 'x2' FROM e),
+v AS (SELECT var_pop(y) AS var FROM (SELECT ya AS y FROM e UNION ALL SELECT yb FROM e)),
+s AS (SELECT param, avg(yb * (y - ya)) / any_value(var) AS s1, avg((ya - y) ** 2) / 2 / any_value(var) AS st FROM k, v GROUP BY 1),
+u AS (SELECT base, b, CAST('0x' || substr(md5('0:' || base || ':' || b), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM e, range(20) t(b)),
+c AS (SELECT k, sum(exp(-1) / gamma(j + 1)) AS upto FROM range(9) t(k), range(9) r(j) WHERE j <= k GROUP BY 1),
+w AS (SELECT base, b, count(k) AS w FROM u LEFT JOIN c ON u >= upto GROUP BY 1, 2),
+vb AS (SELECT b, sum(w * (ya * ya + yb * yb)) / sum(2 * w) - (sum(w * (ya + yb)) / sum(2 * w)) ** 2 AS var FROM e JOIN w USING (base) GROUP BY 1),
+r AS (SELECT param, b, sum(w * yb * (y - ya)) / sum(w) / any_value(var) AS s1, sum(w * (ya - y) ** 2) / 2 / sum(w) / any_value(var) AS st FROM k JOIN w USING (base) JOIN vb USING (b) GROUP BY 1, 2)
+SELECT s.param, round(s.s1, 6) AS s1, round(s.st, 6) AS st, round(i.s1, 6) AS s1_conf, round(i.st, 6) AS st_conf FROM s JOIN (SELECT param, 1.96 * stddev_samp(s1) AS s1, 1.96 * stddev_samp(st) AS st FROM r GROUP BY 1) i USING (param)""")
+def sobol_intervals(spark, sf_dir):
+    """Indices and bootstrap intervals of a known surface over a design taken from the customers: each one's place is A,
+    the next one's is B, so that SQL can follow every draw."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("base"), (F.col("c_acctbal") / 10000).alias("a1"), (F.col("c_nationkey") / 25).alias("a2"))
+    p = a.join(a.select((F.col("base") - 1).alias("base"), F.col("a1").alias("b1"), F.col("a2").alias("b2")), "base")
+    kinds = (("A", "a1", "a2"), ("B", "b1", "b2"), ("x1", "b1", "a2"), ("x2", "a1", "b2"))
+    runs = p.select("base", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _surface(x, z).alias("y")) for k, x, z in kinds])).alias("r")).select("base", "r.kind", "r.y")
+    runs = cut(runs.withColumn("run_id", F.concat_ws("#", "base", "kind")), "runs")
+    return N.sobol_intervals(runs.select("run_id", "base", "kind"), runs.select("run_id", "y"), "y", 20).select("param", r6("s1"), r6("st"), r6("s1_conf"), r6("st_conf"))
+
+
+@query()
+def sobol_rank_stability(spark, sf_dir):
+    """How far the order of the compartments by peak holds over the 2,816 runs of the Sobol design."""
+    d = N.saltelli(spark, 256, {k: (0.6, 1.4) for k in SOBOL}).select("run_id", "mult")
+    base = spark.createDataFrame([("base", {})], d.schema)
+    peaks = cut(_runs(spark, sf_dir, d.unionByName(base)).groupBy("run_id", "node").agg(F.max("d").alias("peak")), "peaks")
+    return N.rank_stability(peaks, "base").select(r6("mean"), r6("sd"), r6("p05"), r6("p95"), "n")
 
 
 # ---- scenarios and controls: each is a set of runs with its own rates, seeds or graph
@@ -207,7 +243,7 @@ RHO = [(f"rho{m}", m) for m in (0.5, 0.75, 1.0, 1.25, 1.5)]
 @query(_scen_sql(values(RHO, "rm2", "run_id, m") + ", rs AS (SELECT run_id, node, is_boundary, beta, rho * m AS rho, d_h, d_d FROM rates, rm2)", seeded(run="run_id", source="rs")))
 def rho_sensitivity(spark, sf_dir):
     m = spark.createDataFrame(RHO, "run_id string, m double")
-    return _scenario(spark, sf_dir, D.seeded(rates(spark, sf_dir).crossJoin(m).withColumn("rho", F.col("rho") * F.col("m"))))
+    return _scenario(spark, sf_dir, D.seeded(F.broadcast(rates(spark, sf_dir)).crossJoin(m).withColumn("rho", F.col("rho") * F.col("m"))))
 
 
 SEEDS = {
@@ -224,7 +260,7 @@ SEED_SQL = "CASE run_id " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEEDS.it
 def _seeded_runs(spark, c):
     runs = spark.createDataFrame([(k,) for k in SEEDS], "run_id string")
     hit = F.expr(SEED_SQL)
-    both = c.crossJoin(runs)
+    both = F.broadcast(c).crossJoin(runs)  # a row a compartment
     some = both.where(hit).select("run_id").distinct()  # seeds that no compartment meets are left out
     return D.seeded(both.join(some, "run_id", "left_semi"), 0.05, hit)
 
@@ -264,7 +300,7 @@ def per_graph(edges, convention="sym"):
 def edge_ablation_class(spark, sf_dir):
     """Each class of edges removed in turn."""
     ids, e = _ablations(spark, sf_dir)
-    c = rates(spark, sf_dir).crossJoin(ids).withColumn("run_id", F.col("graph_id"))
+    c = F.broadcast(rates(spark, sf_dir)).crossJoin(ids).withColumn("run_id", F.col("graph_id"))
     o = _outputs(spark, sf_dir, D.simulate(D.seeded(c), per_graph(e), SPAN, STEP)).cache()
     base = o.where("run_id = 'none'").select(F.col("mean_inv_time").alias("t0"), F.col("peak_d").alias("p0"))
     return o.where("run_id <> 'none'").crossJoin(F.broadcast(base)).select("run_id", F.round(F.col("mean_inv_time") - F.col("t0"), 6).alias("delta_tinv"), F.round(F.col("peak_d") - F.col("p0"), 6).alias("delta_peak"), r6("frac_invaded"))
@@ -302,7 +338,7 @@ SELECT run_id, round(t_dose, 6) AS t_dose, round(x, 6) AS mean_x, round(r, 6) AS
 def dose_sweep_best(spark, sf_dir):
     """When to dose: the fewest dead and the most recovered, the first on ties."""
     d = spark.createDataFrame([(r, m, t) for r, m, t in SWEEP_T], "run_id string, dose_mode string, t_dose double").withColumn("dose", F.lit(1.0))
-    par = D.seeded(P.drug_rates(rates(spark, sf_dir)), 0.1).crossJoin(d)
+    par = F.broadcast(D.seeded(P.drug_rates(rates(spark, sf_dir)), 0.1)).crossJoin(d)
     t = D.simulate_drug(par, G.adjacency(trade_graph(spark, sf_dir), "sym"), 20.0, 80)
     end = D.finals(t, ("h", "d", "d2", "r", "x")).groupBy("run_id").agg(F.avg("x").alias("x"), F.avg("r").alias("r")).join(d, "run_id")
     return end.select("run_id", r6("t_dose"), F.round("x", 6).alias("mean_x"), F.round("r", 6).alias("mean_r"), (F.row_number().over(Window.orderBy(F.round("x", 9), "t_dose")) == 1).alias("least_dead"), (F.row_number().over(Window.orderBy(F.desc(F.round("r", 9)), "t_dose")) == 1).alias("most_recovered"))
@@ -324,7 +360,7 @@ def rewired_null(spark, sf_dir):
     e = cut(trade_graph(spark, sf_dir), "edges")
     w = N.rewire(e, 20, 50).unionByName(e.select(F.lit("base").alias("graph_id"), "i", "j", "w"))
     ids = spark.createDataFrame([(f"rw{k}",) for k in range(20)] + [("base",)], "graph_id string")
-    c = D.seeded(rates(spark, sf_dir).crossJoin(ids).withColumn("run_id", F.col("graph_id")))
+    c = D.seeded(F.broadcast(rates(spark, sf_dir)).crossJoin(ids).withColumn("run_id", F.col("graph_id")))
     t = M.crossing_time(D.simulate(c, per_graph(w), SPAN, STEP)).join(compartments(spark, sf_dir).select("node", "macro"), "node")
     m = t.groupBy("run_id", "macro").agg(F.avg("t_cross").alias("t")).where("t is not null").cache()
     base = m.where("run_id = 'base'").select("macro", F.col("t").alias("t0"))
@@ -335,7 +371,7 @@ def rewired_null(spark, sf_dir):
 def random_seeds(spark, sf_dir):
     """Five random halves of the seeded set, by hash: mean invasion time and share."""
     runs = spark.range(5).select(F.concat(F.lit("seed"), F.col("id").cast("string")).alias("run_id"))
-    c = rates(spark, sf_dir).crossJoin(runs)
+    c = F.broadcast(rates(spark, sf_dir)).crossJoin(runs)
     k = F.row_number().over(Window.partitionBy("run_id", "is_boundary").orderBy(F.xxhash64("run_id", "node"), "node"))
     n = F.count("*").over(Window.partitionBy("run_id", "is_boundary"))
     c = c.withColumn("_pick", F.col("is_boundary") & (k <= F.greatest(F.lit(1), F.floor(n / 2))))

@@ -75,7 +75,7 @@ DOSES = [("bolus", 8.0), ("infusion", 8.0), ("repeated", 4.0)]
 
 def _drug_design(spark, sf_dir, doses):
     d = spark.createDataFrame([(m, m, t) for m, t in doses], "run_id string, dose_mode string, t_dose double").withColumn("dose", F.lit(1.0))
-    return D.seeded(P.drug_rates(rates(spark, sf_dir)), 0.1).crossJoin(d)
+    return F.broadcast(D.seeded(P.drug_rates(rates(spark, sf_dir)), 0.1)).crossJoin(d)  # a row a compartment
 
 
 def _drug_par(doses):

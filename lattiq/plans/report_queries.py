@@ -41,7 +41,7 @@ def edge_ablation_single(spark, sf_dir):
     ids = top.unionByName(spark.createDataFrame([(-1, -1, "none")], "ei long, ej long, graph_id string")).cache()
     cut_ = (F.col("i") == F.col("ei")) & (F.col("j") == F.col("ej")) | (F.col("i") == F.col("ej")) & (F.col("j") == F.col("ei"))
     left = e.join(F.broadcast(ids), ~cut_).select("graph_id", "i", "j", "w")
-    c = D.seeded(rates(spark, sf_dir).crossJoin(ids.select("graph_id")).withColumn("run_id", F.col("graph_id")))
+    c = D.seeded(F.broadcast(rates(spark, sf_dir)).crossJoin(ids.select("graph_id")).withColumn("run_id", F.col("graph_id")))
     o = _outputs(spark, sf_dir, D.simulate(c, per_graph(left), SPAN, STEP)).cache()
     base = o.where("run_id = 'none'").select(F.col("mean_inv_time").alias("t0"), F.col("peak_d").alias("p0"))
     return o.where("run_id <> 'none'").crossJoin(F.broadcast(base)).select("run_id", F.round(F.col("mean_inv_time") - F.col("t0"), 6).alias("delta_tinv"), F.round(F.col("peak_d") - F.col("p0"), 6).alias("delta_peak"))
@@ -151,3 +151,16 @@ def simplified_controls(spark, sf_dir):
     both = e.withColumn("graph_id", F.lit("whole")).unionByName(less.withColumn("graph_id", F.lit("cut")))
     traj = D.simulate(D.seeded(c, 0.05, F.expr(SIMPLE_SEED)), per_graph(both, "row"), 60.0, 240, conserve=True)
     return _outputs(spark, sf_dir, traj).select("run_id", *[r6(x) for x in OUT])
+
+
+@query("""WITH e AS (SELECT event_type, user_id % 15 AS node, 2 * pi() * ((epoch_us(ts) / 1000000) % 86400) / 86400 AS a FROM events WHERE ts IS NOT NULL),
+t AS (SELECT event_type, node, count(*) AS n, (sum(cos(a)) ** 2 + sum(sin(a)) ** 2) / count(*) AS z FROM e GROUP BY 1, 2 HAVING count(*) >= 10),
+p AS (SELECT event_type, node, n, sqrt(z / n) AS r, exp(-z) AS p, count(*) OVER (PARTITION BY event_type) AS m, row_number() OVER (PARTITION BY event_type ORDER BY exp(-z)) AS k FROM t),
+h AS (SELECT *, max(least(1, p * (m - k + 1))) OVER (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING) AS holm FROM p)
+SELECT event_type, node, n, round(r, 6) AS r, round(p, 6) AS p, m, round(least(1, p * m), 6) AS bonferroni, round(holm, 6) AS holm FROM h""")
+def event_rhythm_tests(spark, sf_dir):
+    """Whether each node's events keep to a time of day, a family of tests for each type of event, adjusted."""
+    second = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) % 86400
+    e = table(spark, sf_dir, "events").where("ts is not null").select("event_type", (F.col("user_id") % 15).alias("node"), (second / 86400).alias("phase"))
+    t = S.adjusted(S.uniformity(e, "phase", "event_type", "node"), "p", "event_type")
+    return t.select("event_type", "node", "n", r6("r"), r6("p"), "m", r6("bonferroni"), r6("holm"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import dims
 from lattiq.functions.columns import is_boundary
-from lattiq.operators import design, dynamics, graph, matrices, metrics, params
+from lattiq.operators import design, dynamics, graph, matrices, metrics, params, stats
 
 NAMES = ["PT_cortex", "PT_outer_medulla", "PT_inner_medulla", "PT_boundary", "DCT_cortex", "DCT_outer_medulla", "DCT_boundary", "TAL_outer_medulla", "TAL_inner_medulla", "vascular_cortex", "vascular_boundary", "immune_cortex", "other_cortex", "other_outer_medulla", "other_inner_medulla"]
 CROSS = [(0, 4), (2, 6), (3, 8), (5, 10), (7, 12)]
@@ -173,3 +173,47 @@ def test_too_large_a_graph_is_refused(spark, monkeypatch):
     monkeypatch.setattr(dynamics, "MAX_NODES", 2)
     with pytest.raises(ValueError):
         dynamics.collect_graph(spark.createDataFrame([(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.0), (2, 0, 1.0, 1.0)], "i long, j long, wt double, l double"))
+
+
+def test_runs_meet_their_own_graphs(spark, comps, edges):
+    """Runs over graphs of their own equal runs over each graph alone, also where a run's graph has no edges."""
+    adj = graph.adjacency(edges)
+    half = adj.withColumn("wt", F.col("wt") / 2)
+    both = adj.withColumn("graph_id", F.lit("whole")).unionByName(half.withColumn("graph_id", F.lit("half")))
+    names = ("whole", "half", "none")
+    design_ = base(comps).drop("run_id").crossJoin(spark.createDataFrame([(n, n) for n in names], "run_id string, graph_id string"))
+    t = dynamics.simulate(design_, both, 10.0, 40).where("t_idx = 40")
+    got = {(r["run_id"], r["node"]): (r["h"], r["d"], r["r"]) for r in t.collect()}
+    for name, a in zip(names, (adj, half, adj.where("false"))):
+        for r in dynamics.simulate(base(comps), a, 10.0, 40).where("t_idx = 40").collect():
+            assert got[name, r["node"]] == pytest.approx((r["h"], r["d"], r["r"]))
+
+
+def test_bootstrap_intervals(spark):
+    """Weights are Poisson draws; intervals hold the indices of an additive function and shrink with the design."""
+    w = [r[0] for r in spark.range(20000).select(design.poisson_weight(3, "id")).collect()]
+    assert np.mean(w) == pytest.approx(1, abs=0.03) and np.var(w) == pytest.approx(1, abs=0.05) and max(w) < 10
+    r = {"a": (0.0, 1.0), "b": (0.0, 1.0)}
+    wide = {}
+    for n in (64, 512):
+        d = design.saltelli(spark, n, r).cache()
+        y = d.select("run_id", (3 * F.col("mult")["a"] + F.col("mult")["b"]).alias("y"))
+        got = {x["param"]: x for x in design.sobol_intervals(d, y, "y").collect()}
+        for name, s1 in (("a", 0.9), ("b", 0.1)):
+            assert abs(got[name]["st"] - s1) <= 1.5 * got[name]["st_conf"] and 0 < got[name]["s1_conf"] < 1.2  # the spread of yb (y - ya) over 64 points alone gives 0.8
+        wide[n] = got["a"]["st_conf"]
+    assert wide[512] < wide[64]
+
+
+def test_rank_stability(spark):
+    rows = [("base", k, float(k)) for k in range(6)] + [("same", k, 2.0 * k) for k in range(6)] + [("turned", k, -1.0 * k) for k in range(6)] + [("flat", k, 1.0) for k in range(6)]
+    r = design.rank_stability(spark.createDataFrame(rows, "run_id string, node long, peak double"), "base").first()
+    assert (r["n"], r["mean"], r["p05"], r["p95"]) == (2, pytest.approx(0), pytest.approx(-0.9), pytest.approx(0.9))
+
+
+def test_adjusted_p_values(spark):
+    rows = [("f", 0.01), ("f", 0.04), ("f", 0.03), ("f", 0.005), ("f", None), ("g", 0.4), ("g", 0.4), ("g", 0.9)]
+    got = {(r["f"], r["p"]): r for r in stats.adjusted(spark.createDataFrame(rows, "f string, p double"), "p", "f").collect()}
+    assert [round(got["f", p]["holm"], 9) for p in (0.005, 0.01, 0.03, 0.04)] == [0.02, 0.03, 0.06, 0.06]
+    assert [round(got["f", p]["bonferroni"], 9) for p in (0.005, 0.01, 0.03, 0.04)] == [0.02, 0.04, 0.12, 0.16]
+    assert got["f", None]["holm"] is None and got["g", 0.4]["holm"] == 1.0 and got["g", 0.9]["m"] == 3
