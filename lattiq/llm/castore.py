@@ -83,14 +83,35 @@ _CHUNKED = T.StructType([
 ])
 
 
+#: Digests that a task remembers at least, of those met last: a chunk met again among them isn't sent again.
+MEMORY = 1 << 16
+
+
+class _Met:
+    """Digests met last, in two generations, so that frequent ones stay and memory is bounded."""
+
+    def __init__(self) -> None:
+        self.now: set[bytes] = set()
+        self.before: set[bytes] = set()
+
+    def add(self, digest: bytes) -> bool:
+        """Whether the digest isn't among those met last."""
+        if digest in self.now:
+            return False
+        if len(self.now) >= MEMORY:
+            self.before, self.now = self.now, set()
+        self.now.add(digest)
+        return digest not in self.before
+
+
 def _chunker(path: str, end_id: int):
     count = {"rows": 0}
+    met = _Met()
 
     def run(b: pa.RecordBatch):
         from pyspark import TaskContext
 
         enc, base = encoder(path), TaskContext.get().partitionId() << 36
-        seen: set[bytes] = set()
         doc_ids, texts = b.column(0).to_pylist(), b.column(1)
         for lo, hi in column_batches(texts, 4_000_000):
             out: list[list] = [[] for _ in _CHUNKED.fields]
@@ -108,8 +129,7 @@ def _chunker(path: str, end_id: int):
                     width = 4 if wide and int(flat[at:e].max()) >= 65536 else 2
                     data = raw[4 * at : 4 * e] if width == 4 else flat[at:e].astype("<u2").data.cast("B") if wide else narrow[2 * at : 2 * e]
                     digest = hashlib.sha256(data).digest()
-                    if digest not in seen:
-                        seen.add(digest)
+                    if met.add(digest):
                         fresh.append((digest, width, bytes(data)))
                     digests.append(digest)
                     at = e
@@ -181,7 +201,7 @@ def write_store(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     rows = running_total(incoming.select("uid", "doc_id", "n_tokens", "digests", "root"), ["doc_id", "root", "uid"], "n_tokens", "start", "recipes")
     rows.sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{store.path}/recipes")
     fresh = incoming.select(F.explode("fresh").alias("f")).select("f.digest", "f.width", "f.data")
-    # dealt first: batches have no repeats within themselves, so aggregating before the shuffle would only sort
+    # dealt first: tasks have hardly any repeats left, so aggregating before the shuffle would only sort
     writer = fresh.repartition(store.buckets, "digest").dropDuplicates(["digest"]).write.option("compression", "zstd").option("path", f"{store.path}/chunks")
     writer.bucketBy(store.buckets, "digest").sortBy("digest").saveAsTable(store.table)
     _segments(store.recipes()).write.option("compression", "zstd").parquet(f"{store.path}/manifest")

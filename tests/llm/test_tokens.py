@@ -163,3 +163,15 @@ def test_packing_rows(odd_docs, no_docs, plain):
     assert sum(r["n_tokens"] for r in whole.values()) == sum(r["length"] for r in rows)
     assert len(whole) == plain_best_fit([r["length"] for r in rows], 4096)[0]
     assert packing.pack_documents(no_docs).collect() == []
+
+
+def test_chunks_met_lately_are_not_sent_again(monkeypatch):
+    """Frequent digests stay through any number of generations; memory holds two of them; a forgotten one is sent again."""
+    monkeypatch.setattr(castore, "MEMORY", 10)
+    met = castore._Met()
+    sent = []
+    for k in range(500):
+        sent += [d for d in (b"hot", k.to_bytes(2, "big")) if met.add(d)]
+        assert len(met.now) <= 10 and len(met.before) <= 10
+    assert sent.count(b"hot") == 1 and len(sent) == 501
+    assert met.add((3).to_bytes(2, "big")) and not met.add((499).to_bytes(2, "big"))
