@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 MAX_NODES = 4096
 TRAJECTORY = "run_id string, t_idx int, t double, node long, h double, d double, r double"
 DRUG_TRAJECTORY = TRAJECTORY + ", d2 double, x double, f double"
@@ -86,7 +88,7 @@ def _solved(design: DataFrame, adjacency: DataFrame, solve: Callable, schema: st
 
         return design.groupBy("run_id").applyInPandas(alone, schema)
     runs = design.select(F.col("run_id").alias("_run"), F.col("graph_id").alias("_graph")).distinct()
-    own = adjacency.join(runs, F.col("graph_id") == F.col("_graph")).select("_run", "i", "j", "wt", "l")
+    own = cut(adjacency, "graphs").join(runs, F.col("graph_id") == F.col("_graph")).select("_run", "i", "j", "wt", "l")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def met(run: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:

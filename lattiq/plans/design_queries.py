@@ -285,7 +285,7 @@ ABL = "el AS (SELECT i, j, w, CASE WHEN a.macro = b.macro THEN 'intra_' || a.mac
 
 def _ablations(spark, sf_dir):
     c = compartments(spark, sf_dir)
-    e = trade_graph(spark, sf_dir).join(c.select(F.col("node").alias("i"), F.col("macro").alias("a")), "i").join(c.select(F.col("node").alias("j"), F.col("macro").alias("b")), "j").select("i", "j", "w", G.edge_class("a", "b").alias("cls")).cache()
+    e = cut(trade_graph(spark, sf_dir), "edges").join(c.select(F.col("node").alias("i"), F.col("macro").alias("a")), "i").join(c.select(F.col("node").alias("j"), F.col("macro").alias("b")), "j").select("i", "j", "w", G.edge_class("a", "b").alias("cls")).cache()
     ids = e.select(F.col("cls").alias("graph_id")).distinct().unionByName(spark.createDataFrame([("none",)], "graph_id string"))
     return ids, e.join(F.broadcast(ids), F.col("cls") != F.col("graph_id")).select("graph_id", "i", "j", "w")
 
