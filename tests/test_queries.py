@@ -26,7 +26,8 @@ def test_query_equals_sql(spark, con, name):
     spark.catalog.clearCache()
 
 
-LONG = {"benchmark_grid", "benchmark_shares", "diagnosis_grid"}  # hundreds of runs; test_benchmark.py takes their parts
+#: Hundreds of runs or jobs; test_benchmark.py and test_community.py take their parts.
+LONG = {"benchmark_grid", "benchmark_shares", "diagnosis_grid", "spot_communities"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - LONG))
