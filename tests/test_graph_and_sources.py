@@ -1,10 +1,12 @@
 import gzip
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattiq.operators import annotate, graph, metrics, stats, synthetic
+from lattiq.plans import ORACLES, QUERIES
 from lattiq.session import cut
 from lattiq.sources import readers
 
@@ -49,6 +51,25 @@ def test_hops_and_components(spark):
     assert parts[0] == "c_cc0" and parts[5] == "c_cc1" and parts[9] == "c"
 
 
+@pytest.mark.parametrize("name", ["hop_distance"])
+def test_hop_queries_stop_where_their_sql_does(spark, tmp_path, name):
+    """Spots on a line, the widest spaced at one end, so that the other is over 30 hops away."""
+    x = np.cumsum(1 + np.arange(300) / 100)
+    rows = [(k, [float(v), 0.0, 1.0], k % 6) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    rel = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall()) and max(r[0 if name == "profile_by_distance" else 1] for r in got) == 30
+
+
+def test_hops_up_to_a_number(spark):
+    df = spark.createDataFrame([(a, a + 1) for a in range(6)], "i long, j long")
+    hops = graph.hop_distance(df, spark.createDataFrame([(0,)], "i long"), 4)
+    assert {r["i"]: r["hops"] for r in hops.collect()} == {k: k for k in range(5)}
+
+
 @pytest.mark.parametrize("convention", ["sym", "row", "raw"])
 def test_conventions(spark, convention):
     w = np.array([[0, 2, 1], [2, 0, 0], [1, 0, 0]], float)
