@@ -51,7 +51,7 @@ def test_hops_and_components(spark):
     assert parts[0] == "c_cc0" and parts[5] == "c_cc1" and parts[9] == "c"
 
 
-@pytest.mark.parametrize("name", ["hop_distance"])
+@pytest.mark.parametrize("name", ["hop_distance", "profile_by_distance"])
 def test_hop_queries_stop_where_their_sql_does(spark, tmp_path, name):
     """Spots on a line, the widest spaced at one end, so that the other is over 30 hops away."""
     x = np.cumsum(1 + np.arange(300) / 100)
