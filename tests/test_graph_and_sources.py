@@ -26,6 +26,42 @@ def test_neighbours_equal_brute_force(spark, points):
         assert [j for _, j in sorted(got[i])] == want
 
 
+def test_neighbours_on_a_lattice(spark):
+    """Cells a whole number wide have spots on their far edges, which tie with spots inside."""
+    rng = np.random.default_rng(1)
+    xy = np.array([(x, y) for x in range(17) for y in range(17)], float)
+    ids = rng.permutation(len(xy))
+    df = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(ids, xy)], "spot long, x double, y double")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    for k in (1, 4, 6):
+        got = {}
+        for r in graph.knn(df, k).collect():
+            got.setdefault(r["i"], []).append((r["rank"], r["j"]))
+        for a in range(len(xy)):
+            want = [int(ids[b]) for b in np.lexsort((ids, d[a])) if b != a][:k]
+            assert [j for _, j in sorted(got[int(ids[a])])] == want
+
+
+def test_candidates_stay_few_as_spots_grow(spark, monkeypatch):
+    """Rows that the ranking reads a spot, on a normal cloud: no more on the larger table."""
+    kept = graph._around
+    seen = []
+
+    def around(points, cell):
+        near = kept(points, cell)
+        right = graph._celled(cloud, cell).select("cx", "cy")
+        seen.append(near.join(right, ["cx", "cy"]).count())
+        return near
+
+    monkeypatch.setattr(graph, "_around", around)
+    rng = np.random.default_rng(2)
+    for n in (1000, 4000):
+        seen.clear()
+        cloud = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(0, 1, (n, 2)))], "spot long, x double, y double")
+        graph.knn(cloud, 6).count()
+        assert sum(seen) < 250 * n
+
+
 def test_neighbours_of_few_points(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "spot long, x double, y double")
     assert sorted((r["i"], r["j"], r["d"]) for r in graph.knn(df, 6).collect()) == [(1, 2, 5.0), (2, 1, 5.0)]
