@@ -13,7 +13,8 @@ earlier or broken run left:
 
 A word is what lies between ASCII white space, lower-cased (A-Z) and without ASCII punctuation at its ends. Documents
 with a null or empty text are units without features; a null source is the sample "none". A sample may hold a third of
-all rows: Spark's rebalancing cuts it into several writing tasks, and files have a bounded number of rows.
+all rows: ranges of its units go to several writing tasks, and files have a bounded number of rows. The folders _counts,
+_units and _moments hold what the last run staged.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from lattiq.operators import samples
 log = logging.getLogger("jobs.sample_features")
 DEFAULTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "sample_features.json")
 
+#: Most samples whose bins (a few rows a sample) are broadcast.
+FEW_SAMPLES = 5000
 MATRIX = "unit long, feature string, count long, value double, sample string"
 VARIABLE = "rank int, feature string, n_found long, mean double, dispersion double, score double, sample string"
 SUMMARY = "n_units long, n_empty long, n_features long, total long, largest long, mean_features double, mean_total double, sample string"
@@ -54,23 +57,35 @@ def units_of(documents: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, rows_per_file: int) -> None:
-    df.hint("rebalance", "sample").write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", rows_per_file).partitionBy("sample").parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", rows_per_file).partitionBy("sample").parquet(path)
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    """df written below the output folder and read again; Spark's readers skip names that begin with _."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run(spark: SparkSession, documents: str, out: str, config: dict | None = None) -> dict:
-    """Read documents and write the three tables below out; returns counts of what was read and written."""
+    """Read documents and write the three tables below out; returns counts of what was read and written.
+
+    Texts are dealt to their units before they are split, so that words are counted where they are; the counts are written
+    once (out/_counts) and shuffled twice: by feature for the filter, by ranges of units for totals and output alike.
+    """
     config = load_config() | (config or {})
     docs = units_of(spark.read.parquet(documents))
-    counts = docs.select("sample", "unit", F.explode(words(F.col("text"))).alias("feature")).groupBy("sample", "unit", "feature").agg(F.count("*").alias("count"))
-    counts = samples.filter_features(counts, config["least_units"])
-    matrix = samples.normalise(counts, config["target"]).select("unit", "feature", "count", "value", "sample")
+    counts = docs.repartition("sample", "unit").select("sample", "unit", F.explode(words(F.col("text"))).alias("feature")).groupBy("sample", "unit", "feature").agg(F.count("*").alias("count"))
+    counts = samples.filter_features(_staged(counts, f"{out}/_counts"), config["least_units"])
+    matrix = samples.normalise(counts.repartitionByRange("sample", "unit"), config["target"]).select("unit", "feature", "count", "value", "sample")
     _write(matrix, f"{out}/matrix", config["rows_per_file"])
-    n_units = samples.sizes(docs.select("sample", "unit").distinct())
+    n_units = _staged(samples.sizes(docs.select("sample", "unit").distinct()), f"{out}/_units")
     held = read(spark, out, "matrix")  # what follows reads the matrix back instead of the texts
-    moments = samples.feature_moments(held, n_units)
-    _write(samples.variable_features(moments, config["top"], config["bins"]).select("rank", "feature", "n_found", "mean", "dispersion", "score", "sample"), f"{out}/variable", config["rows_per_file"])
-    s = samples.summary(held, n_units).select("n_units", "n_empty", "n_features", "total", "largest", "mean_features", "mean_total", "sample")
-    _write(s, f"{out}/summary", config["rows_per_file"])
+    moments = _staged(samples.feature_moments(held, n_units), f"{out}/_moments")
+    few = n_units.count() <= FEW_SAMPLES
+    variable = samples.variable_features(moments, config["top"], config["bins"], few).select("rank", "feature", "n_found", "mean", "dispersion", "score", "sample")
+    _write(variable.hint("rebalance", "sample"), f"{out}/variable", config["rows_per_file"])
+    s = samples.summary(held, n_units, moments).select("n_units", "n_empty", "n_features", "total", "largest", "mean_features", "mean_total", "sample")
+    _write(s.hint("rebalance", "sample"), f"{out}/summary", config["rows_per_file"])
     done = read(spark, out, "summary").agg(F.count("*").alias("samples"), F.sum("n_units").alias("units"), F.sum("total").alias("counts")).first().asDict()
     log.info("read %s from %s; wrote matrix, variable and summary of %d samples into %s", done, documents, done["samples"], out)
     return done

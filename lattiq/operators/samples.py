@@ -18,9 +18,9 @@ def filter_features(counts: DataFrame, least_units: int) -> DataFrame:
 
 def normalise(counts: DataFrame, target: float = 1e4) -> DataFrame:
     """counts with value = log(1 + target * count / the unit's total)."""
-    total = counts.groupBy("sample", "unit").agg(F.sum("count").alias("_total"))
-    v = F.log1p(F.coalesce(F.try_divide(F.col("count") * target, F.col("_total")), F.lit(0.0)))
-    return counts.join(total, ["sample", "unit"]).select(*counts.columns, v.alias("value"))
+    total = F.sum("count").over(Window.partitionBy("sample", "unit"))  # a window of one unit's features
+    v = F.log1p(F.coalesce(F.try_divide(F.col("count") * target, "_total"), F.lit(0.0)))
+    return counts.withColumn("_total", total).select(*counts.columns, v.alias("value"))
 
 
 def sizes(units: DataFrame) -> DataFrame:
@@ -38,29 +38,32 @@ def feature_moments(values: DataFrame, n_units: DataFrame) -> DataFrame:
     return g.withColumn("dispersion", F.try_divide("var", "mean"))
 
 
-def variable_features(moments: DataFrame, top: int, bins: int = 20) -> DataFrame:
+def variable_features(moments: DataFrame, top: int, bins: int = 20, few: bool = False) -> DataFrame:
     """The top features of each sample by dispersion, standardised within bins of equal width of the sample's means.
 
     Ranks are by the standardised dispersion to nine digits, then by name; a bin of one feature gives it 0. A sample's
     bins come from its smallest and largest mean, joined as a row a sample, and a bin's moments as a row a bin; the
-    last ranking keeps top rows a task before the shuffle (a window group limit).
+    last ranking keeps top rows a task before the shuffle (a window group limit). few: broadcast both, so that the
+    features aren't shuffled to meet them.
     """
+    side = F.broadcast if few else lambda df: df
     m = moments.where("dispersion is not null")
     ends = m.groupBy("sample").agg(F.min("mean").alias("low"), ((F.max("mean") - F.min("mean")) / bins).alias("width"))
-    m = m.join(ends, "sample")
+    m = m.join(side(ends), "sample")
     m = m.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col("mean") - F.col("low"), F.col("width")), F.lit(0.0)))))
     by_bin = m.groupBy("sample", "bin").agg(F.avg("dispersion").alias("bm"), F.stddev_samp("dispersion").alias("bs"))
     z = F.coalesce(F.try_divide(F.col("dispersion") - F.col("bm"), F.col("bs")), F.lit(0.0))
-    m = m.join(by_bin, ["sample", "bin"]).select("sample", "feature", "n_found", "mean", "dispersion", F.round(z, 9).alias("score"))
+    m = m.join(side(by_bin), ["sample", "bin"]).select("sample", "feature", "n_found", "mean", "dispersion", F.round(z, 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("score"), "feature"))
     return m.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def summary(counts: DataFrame, n_units: DataFrame) -> DataFrame:
-    """A row a sample: n_units, n_empty (units without a feature), n_features, total, mean features and counts a unit."""
+def summary(counts: DataFrame, n_units: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """A row a sample: n_units, n_empty (units without a feature), n_features, total, mean features and counts a unit.
+    features: a table with one row for each (sample, feature), where there is one already."""
     unit = counts.groupBy("sample", "unit").agg(F.count("*").alias("k"), F.sum("count").alias("c"))
     u = unit.groupBy("sample").agg(F.count("*").alias("n_full"), F.sum("k").alias("pairs"), F.sum("c").alias("total"), F.max("c").alias("largest"))
-    f = counts.select("sample", "feature").distinct().groupBy("sample").agg(F.count("*").alias("n_features"))
+    f = (features or counts.select("sample", "feature").distinct()).groupBy("sample").agg(F.count("*").alias("n_features"))
     out = n_units.join(u, "sample", "left").join(f, "sample", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select("sample", "n_units", (F.col("n_units") - zero(F.col("n_full"))).alias("n_empty"), zero(F.col("n_features")).alias("n_features"), zero(F.col("total")).alias("total"), zero(F.col("largest")).alias("largest"), (zero(F.col("pairs")) / F.col("n_units")).alias("mean_features"), (zero(F.col("total")) / F.col("n_units")).alias("mean_total"))

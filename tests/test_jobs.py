@@ -8,6 +8,7 @@ import subprocess
 import sys
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -159,3 +160,19 @@ def test_command_lines(spark, tmp_path):
         assert done.returncode == 0 and "read" in done.stderr, done.stderr[-2000:]
     assert trajectory_feed.read_nodes(spark, f"file://{tmp_path}/one").count() == 4
     assert sample_features.read(spark, f"file://{tmp_path}/two", "summary").count() == 2
+
+
+def _shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.length())}
+
+
+def test_features_are_shuffled_a_few_times_only(spark, tmp_path):
+    """Once by feature and once by unit, besides sums of them; not once for each table that needs them."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 60, 200)), "en", f"s{k % 3}", 0) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int").write.parquet(str(tmp_path / "documents"))
+    before = set(_shuffled_rows(spark))
+    sample_features.run(spark, str(tmp_path / "documents"), str(tmp_path / "out"))
+    moved = sum(n for k, n in _shuffled_rows(spark).items() if k not in before)
+    assert moved < 3 * sample_features.read(spark, str(tmp_path / "out"), "matrix").count()
