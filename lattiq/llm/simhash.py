@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 def keep_one(docs: DataFrame, shard_rows: int = similar.BAND_ROWS) -> DataFrame:
     """docs with one row of each group of near copies, in its own columns: the smallest doc_id, rows without one last.
 
-    Near copies are texts whose sets of 5-word shingles are 0.8 similar or more (similar.py: BK-trees at a wide radius,
-    each link checked), not those within 3 bits, which would miss most of them.
+    Near copies are texts whose sets of 5-word shingles are 0.8 similar or more: fingerprints within 3 bits, found by
+    fingerprint_links, and the rest, which that radius would miss, by BK-trees at a wide one (similar.py); each link is checked.
     """
-    return survivors(docs, similar.groups(docs, shard_rows))
+    return survivors(docs, similar.groups(docs, fingerprint_links, shard_rows))

@@ -7,6 +7,9 @@ shards are dealt by the shingles themselves: 40 bands of 5 minima of permuted sh
 shares no band once in 8 million, a nearer one less often). Each shard holds a BK-tree of its fingerprints, the
 tree finds what is within the radius, and every pair found is checked with the whole sets.
 
+Fingerprints that differ in few bits are found by their own bit bands and BK-trees first (simhash.fingerprint_links),
+whatever minima their sets share; those links are checked too.
+
 Texts of one set count once. Bands with the same members are searched once. A shard that outgrows BAND_ROWS is cut
 into blocks, and each pair of blocks is searched in a task of its own. A search skips pairs that its links already
 connect, and gives a spanning forest only.
@@ -18,6 +21,8 @@ table gives no groups; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +40,7 @@ _MASKS = _draws.integers(0, 1 << 64, BANDS * BAND_SIZE, np.uint64)
 _FACTORS = _draws.integers(0, 1 << 64, BANDS * BAND_SIZE, np.uint64) | np.uint64(1)
 
 _KEYS = T.StructType([T.StructField("text_sha", T.StringType()), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
@@ -202,15 +208,38 @@ def set_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
-    """text_sha, component of each different text of docs."""
+def checked(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) whose sets (node, shingles) are similar."""
+    sides = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+
+    def run(b: pa.RecordBatch):
+        for at in range(0, len(b), 100):
+            part = b.slice(at, 100)
+            rows = zip(*(part.column(k) for k in range(4)))
+            good = [(x.as_py(), y.as_py()) for x, y, left, right in rows if similar(np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64))]
+            yield [[x for x, _ in good], [y for _, y in good]]
+
+    return arrow_map(sides.select("a", "b", "left", "right"), run, _LINKS)
+
+
+def groups(docs: DataFrame, near_links: Callable[[DataFrame], DataFrame], band_rows: int = BAND_ROWS) -> DataFrame:
+    """text_sha, component of each different text of docs.
+
+    near_links gives the links (a, b) that fingerprints (fp, node) alone find; they are checked like those of the bands,
+    which find what lies further apart.
+    """
     texts = only(docs, text="string").select(text_sha().alias("text_sha"), "text")
     keys = staged(shingle_keys(texts), "shingles")
-    members = candidates(keys.select("node", "fp", "bands").dropDuplicates(["node"]), band_rows)
+    different = keys.select("node", "fp", "bands").dropDuplicates(["node"])
+    first = staged(different.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    shared = different.select("node", "fp").join(first.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = staged(near_links(first).unionByName(shared), "near")
+    members = candidates(different, band_rows)
     # shingles are made anew for candidates only, from one text a node
-    named = keys.groupBy("node").agg(F.min("text_sha").alias("text_sha")).join(members.select("node").distinct(), "node")
+    wanted = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    named = keys.groupBy("node").agg(F.min("text_sha").alias("text_sha")).join(wanted, "node")
     named = staged(named.select("node", "text_sha"), "candidates")
     sets = staged(shingle_sets(texts.join(named, "text_sha").select("node", "text")).dropDuplicates(["node"]), "sets")
-    comp = components(set_links(members, sets), "similar")
+    comp = components(checked(near, sets).unionByName(set_links(members, sets)), "similar")
     names = keys.select("text_sha", "node").distinct()
     return names.join(comp, "node", "left").select("text_sha", F.coalesce("component", "node").alias("component"))

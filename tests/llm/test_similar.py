@@ -92,3 +92,20 @@ def test_shards_equal_brute_force_for_any_blocks():
         own = nodes[part]
         links += [(own[0] * 0 + a, b) for a, b in similar.shard_links(own, fps[part], [sets[k] for k in own], part[part], part[part])]
     assert components(links) == want
+
+
+def test_fingerprints_alone_find_the_nearest_copies(spark, monkeypatch):
+    """Without any shared minima, what lies within three bits is found by the fingerprints' own bands and BK-trees, and checked."""
+    whole = similar.candidates
+    monkeypatch.setattr(similar, "candidates", lambda keys, rows: whole(keys.limit(0), rows))
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(6):
+        words = [f"g{g}x{x}" for x in rng.integers(0, 9999, 900)]
+        texts += [" ".join(words), " ".join([*words[:-1], "edited"])]
+    bits = [similar.fingerprint(similar.shingles(t.encode())) & (1 << 64) - 1 for t in texts]
+    close = {k for k in range(0, 12, 2) if (bits[k] ^ bits[k + 1]).bit_count() <= simhash.RADIUS}
+    assert len(close) >= 3
+    docs = spark.createDataFrame(_rows(enumerate(texts)), DOCS)
+    got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert got == set(range(12)) - {k + 1 for k in close}
