@@ -1,6 +1,7 @@
 """The feature-space index against brute force: clusters, spread-out points, copies, ties, small and empty tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lattiq.operators import feature_index as FI
@@ -91,3 +92,35 @@ def test_labels_follow_the_clusters(spark):
     named = dr.join(spark.createDataFrame([(j, f"c{c}") for j, c in enumerate(kind.tolist())], "j long, label string"), "j")
     got = {r["i"]: (r["label"], r["share"]) for r in FI.transfer_labels(dq, named, 7, 2).collect()}
     assert got == {0: ("c0", 1.0), 1: ("c1", 1.0), 2: ("c2", 1.0), 3: ("c2", 1.0)}
+
+
+def test_rows_are_sent_by_grove_where_nothing_is_pruned(spark):
+    """Noise in many dimensions: every cell is near enough, yet a query goes once to each grove, not to each cell."""
+    rng = np.random.default_rng(6)
+    q, r = rng.normal(size=(40, 32)), rng.normal(size=(2500, 32))
+    dq, dr = frames(spark, q, r)
+    index = FI.build(dr, 5)
+    near = FI.nearest(dq, index)
+    bound = near.where("rank = 5").selectExpr("i", "d AS t").join(dq, "i").select("i", "v", "t")
+    assert len(index.pivots) > 20
+    assert FI._visits(bound, index, True).count() <= 5 * 40
+    assert {(x["i"], x["rank"], x["j"], round(x["d"], 9)) for x in near.collect()} == brute(q, r, 5)
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e18])
+def test_blocks_narrow_to_the_exact_neighbours(monkeypatch, scale):
+    """Small tiles, bounds that are missing or loose, far-off centres, ties and numbers beyond single precision."""
+    monkeypatch.setattr(FI, "TILE", 32)
+    monkeypatch.setattr(FI, "CANDIDATES", 16)
+    rng = np.random.default_rng(7)
+    y = scale * (np.vstack([rng.normal(size=(250, 3)), rng.integers(0, 3, (150, 3))]) + 100)
+    x = scale * (np.vstack([rng.normal(size=(20, 3)), rng.integers(0, 3, (20, 3))]) + 100)
+    pivots = y[:5]
+    far = np.sqrt(((y[:, None] - pivots) ** 2).sum(2))
+    cell = far.argmin(1)
+    rows = FI._Rows(pd.DataFrame({"j": range(400), "v": list(y), "cell": cell, "dist": far.min(1)}), pivots, np.array([far[cell == c, c].max() for c in range(5)]))
+    d = np.sqrt(((x[:, None] - y) ** 2).sum(2))
+    want = {(i, j) for i in range(40) for j in np.lexsort((np.arange(400), d[i]))[:6].tolist()}
+    for t in (np.full(40, np.inf), np.sort(d, axis=1)[:, 60], np.sort(d, axis=1)[:, 5], rows.bound(x, 2, 6)):
+        p, j, _ = rows.nearest(x, t, 6)
+        assert set(zip(p.tolist(), j.tolist())) == want
