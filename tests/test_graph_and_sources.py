@@ -100,6 +100,38 @@ def test_hop_queries_stop_where_their_sql_does(spark, tmp_path, name):
     assert sorted(map(tuple, got)) == sorted(rel.fetchall()) and max(r[0 if name == "profile_by_distance" else 1] for r in got) == 30
 
 
+def line_of_spots(spark, tmp_path):
+    """300 spots on a line, the widest spaced at one end, so that the other is over 30 hops away; its folder and a connection to it."""
+    x = np.cumsum(1 + np.arange(300) / 100)
+    rows = [(k, [float(v), 0.0, 1.0], k % 6) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    return str(tmp_path), con
+
+
+def plain_hops(spark, folder):
+    """A search in plain Python over the edges and sources that the other queries return."""
+    near = {}
+    for r in QUERIES["gaussian_edges"](spark, folder).collect():
+        near.setdefault(r["i"], []).append(r["j"])
+    front = [r["i"] for r in QUERIES["boundary_quantile"](spark, folder).where("is_boundary").collect()]
+    hops = dict.fromkeys(front, 0)
+    while front:
+        step = {j for i in front for j in near[i]} - hops.keys()
+        hops |= dict.fromkeys(step, hops[front[0]] + 1)
+        front = list(step)
+    return hops
+
+
+def test_hop_distance_reaches_all_spots(spark, tmp_path):
+    folder, con = line_of_spots(spark, tmp_path)
+    got = [tuple(r) for r in QUERIES["hop_distance"](spark, folder).select("i", "hops").collect()]
+    want = plain_hops(spark, folder)
+    assert sorted(got) == sorted(want.items()) and len(got) == 300 and max(want.values()) > 30
+    assert sorted(con.sql(ORACLES["hop_distance"]).select("i", "hops").fetchall()) == sorted(got)
+
+
 def test_hops_up_to_a_number(spark):
     df = spark.createDataFrame([(a, a + 1) for a in range(6)], "i long, j long")
     hops = graph.hop_distance(df, spark.createDataFrame([(0,)], "i long"), 4)
