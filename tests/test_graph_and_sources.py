@@ -132,6 +132,13 @@ def test_hop_distance_reaches_all_spots(spark, tmp_path):
     assert sorted(con.sql(ORACLES["hop_distance"]).select("i", "hops").fetchall()) == sorted(got)
 
 
+def test_profile_by_distance_counts_all_spots(spark, tmp_path):
+    folder, con = line_of_spots(spark, tmp_path)
+    got = sorted(tuple(r) for r in QUERIES["profile_by_distance"](spark, folder).select("bin", "mean_x", "n").collect())
+    assert sum(n for _, _, n in got) == 300 and len(got) > 31
+    assert got == sorted(con.sql(ORACLES["profile_by_distance"]).select("bin", "mean_x", "n").fetchall())
+
+
 def test_hops_up_to_a_number(spark):
     df = spark.createDataFrame([(a, a + 1) for a in range(6)], "i long, j long")
     hops = graph.hop_distance(df, spark.createDataFrame([(0,)], "i long"), 4)
