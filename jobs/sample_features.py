@@ -14,7 +14,7 @@ earlier or broken run left:
 A word is what lies between ASCII white space, lower-cased (A-Z) and without ASCII punctuation at its ends. Documents
 with a null or empty text are units without features; a null source is the sample "none". A sample may hold a third of
 all rows: ranges of its units go to several writing tasks, and files have a bounded number of rows. The folders _counts,
-_units and _moments hold what the last run staged.
+_rare, _units and _moments hold what the last run staged.
 """
 
 from __future__ import annotations
@@ -23,8 +23,13 @@ import argparse
 import json
 import logging
 import os
+import string
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.operators import samples
@@ -34,6 +39,10 @@ DEFAULTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "sample_feat
 
 #: Most samples whose bins (a few rows a sample) are broadcast.
 FEW_SAMPLES = 5000
+#: Rows of texts whose words a task counts at once.
+PIECE = 1000
+UNIT_COLUMNS = ["sample", "unit", "features", "counts", "total"]
+UNITS = "sample string, unit long, features string, counts array<long>, total long"
 MATRIX = "unit long, feature string, count long, value double, sample string"
 VARIABLE = "rank int, feature string, n_found long, mean double, dispersion double, score double, sample string"
 SUMMARY = "n_units long, n_empty long, n_features long, total long, largest long, mean_features double, mean_total double, sample string"
@@ -44,16 +53,61 @@ def load_config(path: str = DEFAULTS) -> dict:
         return json.load(f)
 
 
-def words(text: Column) -> Column:
-    """Lower-cased words without punctuation at their ends; words of punctuation alone are left out."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.split(low, r"[\x20\x09-\x0D]+")
-    return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "")), lambda w: w != "")
+def _counted(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """A row a unit of rows sorted by (sample, unit): its words, lower-cased (A-Z), without ASCII punctuation at their ends, each once, joined by blanks (no word has one), with their counts."""
+    sample, unit = (rows[c].to_numpy(zero_copy_only=False) for c in ("sample", "unit"))
+    starts = np.flatnonzero(np.r_[True, (sample[1:] != sample[:-1]) | (unit[1:] != unit[:-1])])
+    words = pc.ascii_split_whitespace(pc.ascii_lower(rows["text"]))
+    n = np.diff(words.offsets.to_numpy())
+    at = np.repeat(np.searchsorted(starts, np.arange(len(n)), "right") - 1, n)
+    flat = pc.ascii_trim(words.flatten(), string.punctuation)
+    some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    coded = flat.dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    keys, counts = np.unique(at[some] * np.int64(size) + coded.indices.to_numpy()[some], return_counts=True)
+    ends = pa.array(np.searchsorted(keys, np.arange(len(starts) + 1) * np.int64(size)), pa.int32())
+    features = pc.binary_join(pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(keys % size))), " ")
+    totals = pa.array(np.bincount(at[some], minlength=len(starts)), pa.int64())
+    first = pa.array(starts)
+    return pa.RecordBatch.from_arrays([rows["sample"].take(first), rows["unit"].take(first), features, pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), totals], UNIT_COLUMNS)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row from rows of the same unit."""
+    some = [p for p in parts if p["features"][0].as_py()] or parts[:1]
+    if len(some) == 1:
+        return some[0]
+    words = pc.split_pattern(pa.concat_arrays([p["features"] for p in some]), " ").flatten().dictionary_encode()
+    n = np.zeros(len(words.dictionary), np.int64)
+    np.add.at(n, words.indices.to_numpy(), np.concatenate([p["counts"].flatten().to_numpy() for p in some]))
+    features = pa.array([" ".join(words.dictionary.to_pylist())], pa.string())
+    return pa.RecordBatch.from_arrays([parts[0]["sample"], parts[0]["unit"], features, pa.array([n], pa.list_(pa.int64())), pa.array([n.sum()], pa.int64())], UNIT_COLUMNS)
+
+
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a unit from rows sorted by (sample, unit). The last unit of a piece waits for the next, which may go on with it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        for k in range(0, b.num_rows, PIECE):
+            found = _counted(b.slice(k, PIECE))
+            if held and (held[0]["sample"][0], held[0]["unit"][0]) == (found["sample"][0], found["unit"][0]):
+                held.append(found.slice(0, 1))
+                found = found.slice(1)
+            if found.num_rows:
+                if held:
+                    yield _joined(held)
+                yield found.slice(0, found.num_rows - 1)
+                held = [found.slice(found.num_rows - 1)]
+    if held:
+        yield _joined(held)
 
 
 def units_of(documents: DataFrame) -> DataFrame:
-    """sample, unit, text; rows of one doc_id are one unit of each of their samples."""
-    return documents.select(F.coalesce("source", F.lit("none")).alias("sample"), F.col("doc_id").cast("long").alias("unit"), "text")
+    """row, sample, unit, features, counts, total: a row a unit; rows of one doc_id are one unit of each of their samples.
+    A task gives a range of units, and row is a number of its own that rises with the task."""
+    docs = documents.select(F.coalesce("source", F.lit("none")).alias("sample"), F.col("doc_id").cast("long").alias("unit"), F.coalesce("text", F.lit("")).alias("text"))
+    counted = docs.repartitionByRange("sample", "unit").sortWithinPartitions("sample", "unit").mapInArrow(_count_words, UNITS)
+    return counted.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 def _write(df: DataFrame, path: str, rows_per_file: int) -> None:
@@ -70,21 +124,22 @@ def run(spark: SparkSession, documents: str, out: str, config: dict | None = Non
     """Read documents and write the three tables below out; returns counts of what was read and written.
 
     Texts are dealt to their units before they are split, so that words are counted where they are; the counts are written
-    once (out/_counts) and shuffled twice: by feature for the filter, by ranges of units for totals and output alike.
+    once (out/_counts), a row a unit. A unit's features stay one row through all shuffles until the matrix is written:
+    the filter finds the places of rare features by sums over features, and drops them there.
     """
     config = load_config() | (config or {})
-    docs = units_of(spark.read.parquet(documents))
-    counts = docs.repartition("sample", "unit").select("sample", "unit", F.explode(words(F.col("text"))).alias("feature")).groupBy("sample", "unit", "feature").agg(F.count("*").alias("count"))
-    counts = samples.filter_features(_staged(counts, f"{out}/_counts"), config["least_units"])
-    matrix = samples.normalise(counts.repartitionByRange("sample", "unit"), config["target"]).select("unit", "feature", "count", "value", "sample")
-    _write(matrix, f"{out}/matrix", config["rows_per_file"])
-    n_units = _staged(samples.sizes(docs.select("sample", "unit").distinct()), f"{out}/_units")
-    held = read(spark, out, "matrix")  # what follows reads the matrix back instead of the texts
-    moments = _staged(samples.feature_moments(held, n_units), f"{out}/_moments")
+    units = _staged(units_of(spark.read.parquet(documents)), f"{out}/_counts")
+    rare = _staged(samples.rare_places(units, config["least_units"]), f"{out}/_rare")
+    lots = (units.agg(F.max(samples.lot_of("row"))).first()[0] or 0) + 1
+    left = samples.without_rare(units, rare, lots)
+    _write(samples.normalise(left, config["target"]), f"{out}/matrix", config["rows_per_file"])
+    n_units = _staged(samples.sizes(units), f"{out}/_units")
+    moments = _staged(samples.feature_moments(read(spark, out, "matrix"), n_units), f"{out}/_moments")
     few = n_units.count() <= FEW_SAMPLES
     variable = samples.variable_features(moments, config["top"], config["bins"], few).select("rank", "feature", "n_found", "mean", "dispersion", "score", "sample")
     _write(variable.hint("rebalance", "sample"), f"{out}/variable", config["rows_per_file"])
-    s = samples.summary(held, n_units, moments).select("n_units", "n_empty", "n_features", "total", "largest", "mean_features", "mean_total", "sample")
+    left = samples.without_rare(units.drop("features"), rare, lots)
+    s = samples.summary(left, n_units, moments).select("n_units", "n_empty", "n_features", "total", "largest", "mean_features", "mean_total", "sample")
     _write(s.hint("rebalance", "sample"), f"{out}/summary", config["rows_per_file"])
     done = read(spark, out, "summary").agg(F.count("*").alias("samples"), F.sum("n_units").alias("units"), F.sum("total").alias("counts")).first().asDict()
     log.info("read %s from %s; wrote matrix, variable and summary of %d samples into %s", done, documents, done["samples"], out)

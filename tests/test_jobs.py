@@ -9,6 +9,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -176,3 +177,50 @@ def test_features_are_shuffled_a_few_times_only(spark, tmp_path):
     sample_features.run(spark, str(tmp_path / "documents"), str(tmp_path / "out"))
     moved = sum(n for k, n in _shuffled_rows(spark).items() if k not in before)
     assert moved < 3 * sample_features.read(spark, str(tmp_path / "out"), "matrix").count()
+
+
+def test_counts_stay_with_their_unit(spark, tmp_path):
+    """A unit is one row in every shuffle, so that fewer rows move than the matrix has; each count moved twice before."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 60, 200)), "en", f"s{k % 3}", 0) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int").write.parquet(str(tmp_path / "documents"))
+    before = set(_shuffled_rows(spark))
+    sample_features.run(spark, str(tmp_path / "documents"), str(tmp_path / "out"))
+    moved = sum(n for k, n in _shuffled_rows(spark).items() if k not in before)
+    assert moved < sample_features.read(spark, str(tmp_path / "out"), "matrix").count()
+
+
+@pytest.mark.parametrize("piece", [1, 3, 1000])
+def test_units_over_several_pieces(monkeypatch, piece):
+    """Rows of one unit lie in several batches and pieces; words are those of plain Python."""
+    odd = ["", " ,. !! ", "The cat-1 SAT\x0bon «Mat»\x1c(mat)! x", "a\tb\r\nb --b- 'B'", "ÄÖ äö [İ]", "!!! a!b !"]
+    docs = sorted((("a", "b", "c")[k % 3], k % 7, odd[k * 5 % 6] + f" w{k % 4}" * (k % 3)) for k in range(60))
+    schema = pa.schema([("sample", pa.string()), ("unit", pa.int64()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, d)) for d in docs[k : k + 4]], schema) for k in range(0, 60, 4)]
+    monkeypatch.setattr(sample_features, "PIECE", piece)
+    rows = [r for b in sample_features._count_words([*batches, batches[0].slice(0, 0)]) for r in b.to_pylist()]
+    got = {(r["sample"], r["unit"]): dict(zip(r["features"].split(" "), r["counts"])) if r["counts"] else {} for r in rows}
+    want, _ = plain_counts([(k, text, None, s, 0) for s, k, text in docs], 1)
+    assert len(got) == len(rows) == 21 and {(s, k, w): n for (s, k), c in got.items() for w, n in c.items()} == want
+    assert all(r["total"] == sum(r["counts"]) for r in rows)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 4, 6])
+def test_rare_features_of_any_bound(spark, least):
+    rng = np.random.default_rng(least)
+    docs = [sorted({f"w{int(x)}" for x in rng.zipf(1.6, int(rng.integers(0, 30))) if x < 500}) for _ in range(80)]
+    seen = Counter(w for d in docs for w in d)
+    rows = [(f"s{k % 3}", k, " ".join(d), [len(w) for w in d], sum(map(len, d))) for k, d in enumerate(docs)]
+    from pyspark.sql import functions as F
+
+    from lattiq.operators import samples
+    from lattiq.session import cut
+
+    units = cut(spark.createDataFrame(rows, "sample string, unit long, features string, counts array<long>, total long").repartition(3).select(F.monotonically_increasing_id().alias("row"), "*"))
+    left = samples.without_rare(units, cut(samples.rare_places(units, least)), 3)
+    got = {(r.unit, r.feature): (r["count"], r.value) for r in samples.normalise(left).collect()}
+    kept = {k: [w for w in d if seen[w] >= least] for k, d in enumerate(docs)}
+    total = {k: sum(map(len, d)) for k, d in kept.items()}
+    assert {k: c for k, (c, _) in got.items()} == {(k, w): len(w) for k, d in kept.items() for w in d}
+    assert all(v == pytest.approx(math.log1p(1e4 * c / total[k])) for (k, _), (c, v) in got.items())
+    assert {r.unit: (r.n_left, r.total_left) for r in left.collect()} == {k: (len(d), total[k]) for k, d in kept.items()}
