@@ -55,8 +55,9 @@ def load_config(path: str = DEFAULTS) -> dict:
 
 def _counted(rows: pa.RecordBatch) -> pa.RecordBatch:
     """A row a unit of rows sorted by (sample, unit): its words, lower-cased (A-Z), without ASCII punctuation at their ends, each once, joined by blanks (no word has one), with their counts."""
-    sample, unit = (rows[c].to_numpy(zero_copy_only=False) for c in ("sample", "unit"))
-    starts = np.flatnonzero(np.r_[True, (sample[1:] != sample[:-1]) | (unit[1:] != unit[:-1])])
+    # a null unit is one of its own, and large numbers stay exact
+    keys = [c.to_numpy(zero_copy_only=False) for c in (rows["sample"], pc.is_null(rows["unit"]), pc.fill_null(rows["unit"], 0))]
+    starts = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
     words = pc.ascii_split_whitespace(pc.ascii_lower(rows["text"]))
     n = np.diff(words.offsets.to_numpy())
     at = np.repeat(np.searchsorted(starts, np.arange(len(n)), "right") - 1, n)
@@ -90,7 +91,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, PIECE):
             found = _counted(b.slice(k, PIECE))
-            if held and (held[0]["sample"][0], held[0]["unit"][0]) == (found["sample"][0], found["unit"][0]):
+            if held and all(held[0][c][0].as_py() == found[c][0].as_py() for c in ("sample", "unit")):
                 held.append(found.slice(0, 1))
                 found = found.slice(1)
             if found.num_rows:

@@ -224,3 +224,13 @@ def test_rare_features_of_any_bound(spark, least):
     assert {k: c for k, (c, _) in got.items()} == {(k, w): len(w) for k, d in kept.items() for w in d}
     assert all(v == pytest.approx(math.log1p(1e4 * c / total[k])) for (k, _), (c, v) in got.items())
     assert {r.unit: (r.n_left, r.total_left) for r in left.collect()} == {k: (len(d), total[k]) for k, d in kept.items()}
+
+
+@pytest.mark.parametrize("piece", [1, 1000])
+def test_units_without_a_number(monkeypatch, piece):
+    """Rows of a null id are one unit of their sample; ids beyond 2**53 beside them stay apart."""
+    rows = [("a", None, "x"), ("a", None, "x y"), ("a", 2**53, "p"), ("a", 2**53 + 1, "q"), ("b", None, "z"), ("b", 0, "z")]
+    schema = pa.schema([("sample", pa.string()), ("unit", pa.int64()), ("text", pa.string())])
+    monkeypatch.setattr(sample_features, "PIECE", piece)
+    got = [tuple(r.values())[:4] for b in sample_features._count_words([pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)]) for r in b.to_pylist()]
+    assert got == [("a", None, "x y", [2, 1]), ("a", 2**53, "p", [1]), ("a", 2**53 + 1, "q", [1]), ("b", None, "z", [1]), ("b", 0, "z", [1])]
